@@ -26,16 +26,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 win AS (SELECT doc_id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS v
         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS n FROM win),
 pos AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY doc_id),
-f AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+f AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
              coalesce(pos.n, 0) AS n_repeat_words,
-             len(list_filter(w, x -> regexp_matches(x, '\p{L}'))) AS n_letter_words,
-             len(list_filter(w, x -> regexp_matches(x, '^\p{Lu}{3}'))) AS n_capital_words
+             len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
+             len(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}{3}'))) AS n_capital_words
       FROM d JOIN lines USING (doc_id) LEFT JOIN pos USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

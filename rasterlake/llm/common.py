@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word of the contracts: a run of anything but space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,3 +89,24 @@ def with_small(df: DataFrame, small: DataFrame, on: str, most: int = BROADCAST_R
     salted = small.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = df.withColumn("__salt_l", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return left.join(salted, same & (F.col("__salt_l") == F.col("__salt_r")), "left").drop("__small_key", "__salt_l", "__salt_r")
+
+
+def ranked(df: DataFrame, group: str, order: list[Column], rank: str, buckets: int = 256, weigh: str | None = None) -> DataFrame:
+    """df with `rank`: each row's place from 0 in its group, and with weigh the sum before it in `<rank>_sum`.
+
+    A group may hold any share of the rows: its rows are dealt to buckets by the hash of order's
+    columns, and only a bucket is sorted in one task. Rows that are equal in all of them are told
+    apart as they come. The order is by bucket first, the same on every run.
+    """
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    n = df.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"), F.sum(weigh if weigh else F.lit(0)).alias("__w"))
+    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select(group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__w"))
+    at = Window.partitionBy(group, "__bucket").orderBy(*order)
+    df = df.withColumn("__i", F.row_number().over(at) - 1)
+    if weigh:
+        df = df.withColumn("__s", F.coalesce(F.sum(weigh).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    df = df.join(n, [group, "__bucket"]).withColumn(rank, F.col("__n") + F.col("__i"))
+    if weigh:
+        df = df.withColumn(f"{rank}_sum", F.col("__w") + F.col("__s"))
+    return df.drop("__bucket", "__n", "__w", "__i", "__s")

@@ -6,23 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, quality
-from .common import read
+from . import ctw, fingerprints, jaccard_join, line_templates, mixing, packing, quality, secrets, sharding, warc
+from .common import read, shared_path
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op3_quality_rules, op5_ngram_jaccard_join)}
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"))
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
+
+
+def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(read(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_lm_scoring, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join, op6_source_mixing, op7_secret_scans, op8_hilbert_sharding, op9_best_fit_packing, op10_warc)
+}
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -44,4 +77,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL}
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+s AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS cap, ([5.0, 2.0, 1.0])[((rn - 1) % 3 + 1)::INT]::DOUBLE AS w
+      FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source)),
+o AS (SELECT *, cap / w AS fills_at,
+             (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT source, source_size, least(cap, (SELECT level FROM o WHERE fills_at >= level ORDER BY fills_at, level LIMIT 1) * w) AS target FROM o),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+kd AS (SELECT d.source, k, sum(size) AS size FROM d GROUP BY d.source, k),
+c AS (SELECT source, k, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kd),
+cut AS (SELECT c.source, max(k) AS last FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE before + c.size / 2 <= target - whole * source_size GROUP BY c.source)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       (d.size * least(p.whole + CASE WHEN k <= coalesce(cut.last, '') THEN 1 ELSE 0 END, 3))::BIGINT AS taken,
+       least(p.whole + CASE WHEN k <= coalesce(cut.last, '') THEN 1 ELSE 0 END, 3)::BIGINT AS copies
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_source_mixing": OP6_SQL, "op10_warc": OP10_SQL}

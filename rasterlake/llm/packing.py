@@ -29,7 +29,9 @@ from .common import BROADCAST_ROWS, ranked, written
 
 CAPACITY, END = 2048, 0
 #: Groups of large lengths; what is at most capacity / SMALL is small.
-GROUPS, SMALL = 96, 32
+GROUPS, SMALL = 160, 5
+#: Least pieces of a group: patterns are used a whole number of times, so few pieces want few sizes.
+PER_GROUP = 32
 TOKENIZER = "byte_bpe_50k"
 #: Texts of these characters alone are encoded by the faster library of the same vocabulary and pattern.
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ‐-‧]*")
@@ -174,6 +176,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
         bins.put(capacity, 0, full, bins.new(full), 0)
     large = sorted((n for n in counts if capacity // small < n < capacity), reverse=True)
     total = sum(counts[n] for n in large)
+    groups = min(groups, max(8, total // PER_GROUP))
     # Queues of a group: [length, next rank, left], longest first; a group's size is its longest length.
     queues: list[list[list[int]]] = []
     left = 0

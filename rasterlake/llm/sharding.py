@@ -41,40 +41,39 @@ def quantised(df: DataFrame, dims: dict[str, Column], levels: int = LEVELS) -> D
     return df
 
 
-def with_hilbert_index(df: DataFrame, n: int, bits: int = BITS) -> DataFrame:
-    """df with __hilbert, the place on the curve of the cell (__x0 .. __x<n-1>) of `bits` bits each.
+def hilbert_tables(n: int) -> tuple[list[int], list[int]]:
+    """(next state, digit of the index) at state * 2**n + the cell's bits, for a curve of n dimensions.
 
-    Axes are turned into the curve's transposed form from the highest bit down: where an axis has
-    the bit, the lower bits of the first are flipped, else exchanged with its own. The Gray code
-    is then undone across axes and the bits are interleaved. Each step is a projection.
+    A state is the corner where the curve enters a cube and the axis along which it crosses it:
+    within, sub-cubes follow a Gray code that is turned and mirrored to fit.
     """
-    x = [f"__x{i}" for i in range(n)]
-    rest = [c for c in df.columns if c not in x]
-
-    def step(df: DataFrame, new: dict[str, Column]) -> DataFrame:
-        return df.select(*rest, *(new.get(c, F.col(c)).alias(c) for c in x))
-
-    for b in reversed(range(1, bits)):
-        low = F.lit((1 << b) - 1)
-        for i in range(n):
-            has = F.col(x[i]).bitwiseAND(F.lit(1 << b)) != 0
-            if i == 0:
-                df = step(df, {x[0]: F.when(has, F.col(x[0]).bitwiseXOR(low)).otherwise(F.col(x[0]))})
-            else:
-                swap = F.when(has, F.lit(0)).otherwise(F.col(x[0]).bitwiseXOR(F.col(x[i])).bitwiseAND(low))
-                flip = F.when(has, low).otherwise(swap)
-                df = step(df, {x[0]: F.col(x[0]).bitwiseXOR(flip), x[i]: F.col(x[i]).bitwiseXOR(swap)})
-    for i in range(1, n):
-        df = step(df, {x[i]: F.col(x[i]).bitwiseXOR(F.col(x[i - 1]))})
-    turn = F.lit(0)
-    for b in range(1, bits):
-        turn = turn.bitwiseXOR(F.when(F.col(x[-1]).bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)))
-    df = df.withColumn("__turn", turn)
-    bit = [F.shiftright(F.col(c).bitwiseXOR(F.col("__turn")), b).bitwiseAND(F.lit(1)) for b in reversed(range(bits)) for c in x]
-    index = F.lit(0)
-    for k, e in enumerate(reversed(bit)):
-        index = index + F.shiftleft(e, k)
-    return df.withColumn("__hilbert", index).drop("__turn", *x)
+    full = (1 << n) - 1
+    ones = lambda i: (~i & (i + 1)).bit_length() - 1  # noqa: E731  trailing ones
+    turned = lambda b, k: ((b >> k % n) | (b << (n - k % n))) & full
+    gray = [i ^ (i >> 1) for i in range(1 << n)]
+    place = {g: i for i, g in enumerate(gray)}
+    entry = [gray[2 * ((i - 1) // 2)] if i else 0 for i in range(1 << n)]
+    axis = [0 if i == 0 else ones(i - 1 if i % 2 == 0 else i) % n for i in range(1 << n)]
+    after, digit = [], []
+    for corner in range(1 << n):
+        for way in range(n):
+            for bits in range(1 << n):
+                w = place[turned(bits ^ corner, way + 1)]
+                digit.append(w)
+                after.append((corner ^ turned(entry[w], n - (way + 1) % n)) * n + (way + axis[w] + 1) % n)
+    return after, digit
+
+
+def with_hilbert_index(df: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """df with __hilbert, the place on the curve of the cell (__x0 .. __x<n-1>) of `bits` bits each."""
+    after, digit = (F.array(*(F.lit(v) for v in t)) for t in hilbert_tables(n))
+    state, index = F.lit(0), F.lit(0)
+    for b in reversed(range(bits)):
+        cell = sum((F.shiftleft(F.shiftright(f"__x{i}", b).bitwiseAND(F.lit(1)), i) for i in range(n)), F.lit(0))
+        at = state * (1 << n) + cell + 1
+        index = index * (1 << n) + F.element_at(digit, at)
+        state = F.element_at(after, at)
+    return df.withColumn("__hilbert", index.cast("int")).drop(*(f"__x{i}" for i in range(n)))
 
 
 def placed(df: DataFrame, dims: dict[str, Column], tie: list[Column], size: Column, shards: int = SHARDS, law: str = "rows") -> DataFrame:

@@ -452,3 +452,69 @@ def render_truncated(spark, sf_dir):
 @query("SELECT l_orderkey, max(l_quantity) AS peak, sum(l_quantity) AS total, bool_or(l_returnflag = 'R') AS any_returned, bool_and(l_quantity > 5) AS all_large FROM lineitem GROUP BY l_orderkey")
 def peak_metrics(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("peak"), F.sum("l_quantity").alias("total"), F.bool_or(c("l_returnflag") == "R").alias("any_returned"), F.bool_and(c("l_quantity") > 5).alias("all_large"))
+
+
+def _kernel(docs: DataFrame, work, schema: str) -> DataFrame:
+    """Rows of work(doc_id, bytes of the text), for byte kernels that SQL has no word for."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = [r for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True) for r in work(i, t or b"")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+@query()
+def reed_solomon_roundtrip(spark, sf_dir):
+    """Two of six shards of every document are lost and made again."""
+    def work(doc_id, data):
+        import numpy as np
+
+        from ..functions import gf256
+
+        size = max(-(-len(data) // 4), 1)
+        shards = np.zeros((4, size), np.uint8)
+        shards.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
+        every = np.concatenate([shards, gf256.parity(shards, 2)])
+        good = np.ones(6, bool)
+        good[[doc_id % 6, (doc_id * 5 + 1) % 6]] = False
+        broken = np.where(good[:, None], every, np.uint8(0xA5))
+        yield doc_id, int((~good).sum()), bool((gf256.repaired(broken, good, 4) == every).all())
+
+    return _kernel(table(spark, sf_dir, "documents"), work, "doc_id long, lost long, repaired boolean")
+
+
+@query("SELECT doc_id, strlen(text) AS original, sha256(text) AS digest, 'ok (full)' AS verdict, true AS repaired FROM documents")
+def archive_roundtrip(spark, sf_dir):
+    """Every document is archived with parity, damaged, repaired and given back."""
+    def work(doc_id, data):
+        import hashlib
+
+        from ..archive import format as fmt
+
+        raw = fmt.pack(data, str(doc_id), "zlib", fmt.Parity(4, 2, 1024))
+        broken = bytearray(raw)
+        broken[len(raw) // 5] ^= 0xFF
+        mended = fmt.repair(bytes(broken))
+        fmt.verify(mended)
+        back = fmt.unpack(mended)
+        yield doc_id, len(back), hashlib.sha256(back).hexdigest(), "ok (full)", mended == raw
+
+    return _kernel(table(spark, sf_dir, "documents"), work, "doc_id long, original long, digest string, verdict string, repaired boolean")
+
+
+@query("SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY event_type")
+def stream_ingest(spark, sf_dir):
+    """Events as a stream of files that is read once and ends, summed into a table of the session's memory."""
+    import uuid
+
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"ingest_{uuid.uuid4().hex}"
+    events.groupBy("event_type").agg(F.count(lit(1)).alias("n"), F.sum("value").alias("total")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

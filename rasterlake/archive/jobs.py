@@ -6,13 +6,22 @@ and renamed when complete, so that a task may be run again.
 
 from __future__ import annotations
 
+import io
+import json
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import images
+from ..sources import icc, tiff
 from . import format as fmt
 
 RESULT = "path string, target string, original long, stored long, status string, error_code string, error_detail string"
@@ -109,3 +118,70 @@ def repair(files: DataFrame, apply: bool = False) -> DataFrame:
         return None, sum(a + b for _, a, b, _ in found), len(raw), ("repaired" if apply else "repairable") if found else "clean"
 
     return _each(files, work)
+
+
+_PREVIEW = "path string, width int, height int, png binary, status string, error_code string, error_detail string"
+
+
+def _picture(raw: bytes) -> tuple[tiff.Segment, bytes, int, bytes]:
+    """(segment, its bytes, orientation, the file with zeros for pixels) of the smallest image of three samples."""
+    kept = fmt.is_archive(raw)
+    bare = fmt.skeleton(raw) if kept else raw
+    _, turn, found = tiff.layout(io.BytesIO(bare))
+    own = min((s for s in found if s.spec and s.spec.samples == 3), key=lambda s: s.len, default=None)
+    if own is None:
+        raise fmt.ArchiveError("preview", "no image of three samples")
+    pixels = fmt.unpack(raw) if kept else raw
+    return own, pixels[own.offset : own.offset + own.len], turn, bare
+
+
+def _colour(bare: bytes) -> tuple[str, bool]:
+    """(transfer curve, whether primaries are BT.2020) by the file's colour profile."""
+    _, found = tiff.directories(tiff.window(io.BytesIO(bare)))
+    data = next((e.data for d in found for e in d.entries if e.tag == 34675 and e.data is not None), None)
+    try:
+        p = icc.parse(data or b"")
+    except ValueError:
+        return "srgb", False
+    return p["curve"], p["bt2020"]
+
+
+def previews(files: DataFrame, edge: int = 512) -> DataFrame:
+    """An upright PNG of each file's, or archive's, smallest image of three samples."""
+    names = [x.split()[0] for x in _PREVIEW.split(", ")]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                try:
+                    own, data, turn, bare = _picture(read_bytes(path))
+                    s = own.spec
+                    pixels = np.frombuffer(data, f"{'<' if s.le else '>'}u{s.bits // 8}").reshape(s.height, s.width, 3)
+                    png = images.preview(pixels, turn, edge, *_colour(bare))
+                    row = (path, *struct.unpack(">II", png[16:24]), png, "ok", None, None)
+                except fmt.ArchiveError as why:
+                    row = (path, None, None, None, "FAILED", why.code, why.detail)
+                except (ValueError, OSError) as why:
+                    row = (path, None, None, None, "FAILED", "io", str(why))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
+
+    return files.select("path").mapInArrow(run, _PREVIEW)
+
+
+MANIFEST = "struct<version:bigint,container:string,orientation:int,original:struct<name:string,len:bigint,sha256:string>,body:struct<len:bigint,sha256:string>,segments:array<struct<offset:bigint,len:bigint,codec:string,parts:array<bigint>,spec:struct<width:bigint,height:bigint,bits:int,samples:int,layout:string,le:boolean>>>,provenance:struct<software:string>,parity:struct<data:int,parity:int,shard:int>>"
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """path, manifest of every archive; null where a file has no intact one."""
+    @F.pandas_udf(T.StringType())
+    def text(col: pd.Series) -> pd.Series:
+        def one(path):
+            try:
+                return json.dumps(fmt.manifest(read_bytes(path)))
+            except (fmt.ArchiveError, OSError):
+                return None
+
+        return col.map(one)
+
+    return files.select("path", F.from_json(text(F.col("path")), MANIFEST).alias("manifest"))

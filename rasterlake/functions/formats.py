@@ -164,3 +164,35 @@ def parity_for_percent(percent: int, data: int = 32) -> int | None:
     """Parity shards for a share of data, rounded up; None for none or too many."""
     shards = max(-(-data * percent // 100), 1)
     return shards if percent > 0 and data + shards <= 255 else None
+
+
+def throughput(size: Column, seconds: Column) -> Column:
+    """Bytes a second; a dash for times too short to tell."""
+    rate = F.floor(F.try_divide(size.cast("double"), seconds)).cast("long")
+    return F.when(seconds < 0.005, F.lit("—")).otherwise(F.concat(human_bytes(rate), F.lit("/s")))
+
+
+def bar(share: Column, width: int) -> Column:
+    """A share of 0 to 1 as a bar of eighths."""
+    eighths = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (width * 8) + 0.5).cast("int")
+    part = F.substring(F.lit("▏▎▍▌▋▊▉"), F.greatest(eighths % 8, F.lit(1)), F.when(eighths % 8 > 0, 1).otherwise(0))
+    return F.rpad(F.concat(F.array_join(F.array_repeat(F.lit("█"), (eighths / 8).cast("int")), ""), part), width, "·")
+
+
+def camera_name(make: Column, model: Column) -> Column:
+    """Make and model; the model alone where it begins with the make, in either case."""
+    return F.when(F.lower(model).startswith(F.lower(make)), model).otherwise(F.concat_ws(" ", make, model))
+
+
+def dynamic_range(bits: Column, sample_format: Column, raw: Column) -> Column:
+    """What bit depth and sample format tell of a file's range; null where they tell nothing."""
+    return (
+        F.when(sample_format == 3, F.lit("floating point, scene-linear, unbounded"))
+        .when(raw & (bits >= 12), F.concat(F.lit("high, "), bits.cast("string"), F.lit("-bit linear sensor data")))
+        .when(bits == 8, F.lit("standard, 8-bit, display-referred"))
+    )
+
+
+def orientation(value: Column) -> Column:
+    """1 to 8, else 1."""
+    return F.when(value.between(1, 8), value).otherwise(F.lit(1))

@@ -64,6 +64,5 @@ def summary(found: DataFrame) -> DataFrame:
 
     gps = gps.select("path", degrees("GPSLatitude").alias("lat"), degrees("GPSLongitude").alias("lon"))
     w, h = F.col("ImageWidth").try_cast("bigint"), F.col("ImageLength").try_cast("bigint")
-    camera = F.when(F.lower("Model").startswith(F.lower("Make")), F.col("Model")).otherwise(F.concat_ws(" ", "Make", "Model"))
     s = s.join(gps, "path", "left")
-    return s.withColumns({"camera": camera, "taken": formats.human_date(F.coalesce("DateTimeOriginal", "DateTime")), "aspect": formats.aspect(w, h), "megapixels": formats.megapixels(w, h)})
+    return s.withColumns({"camera": formats.camera_name(F.col("Make"), F.col("Model")), "taken": formats.human_date(F.coalesce("DateTimeOriginal", "DateTime")), "aspect": formats.aspect(w, h), "megapixels": formats.megapixels(w, h)})

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import colour, dictionaries, formats
 from ..operators import integrity, layout, lookups, pixels, tags
@@ -518,3 +519,45 @@ def stream_ingest(spark, sf_dir):
     name = f"ingest_{uuid.uuid4().hex}"
     events.groupBy("event_type").agg(F.count(lit(1)).alias("n"), F.sum("value").alias("total")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+_RANGE = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 14 ELSE 16 END AS bits, p_size % 4 AS fmt, p_partkey % 3 = 0 AS raw, p_partkey % 11 AS turn FROM part"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN fmt = 3 THEN 'floating point, scene-linear, unbounded' WHEN raw AND bits >= 12 THEN 'high, ' || bits || '-bit linear sensor data' WHEN bits = 8 THEN 'standard, 8-bit, display-referred' END AS dynamic,
+CASE WHEN turn BETWEEN 1 AND 8 THEN turn ELSE 1 END AS orientation FROM ({_RANGE})""")
+def dynamic_range(spark, sf_dir):
+    k = c("p_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 4 == 0, 8).when(k % 4 == 1, 12).when(k % 4 == 2, 14).otherwise(16).alias("bits"), (c("p_size") % 4).alias("fmt"), (k % 3 == 0).alias("raw"), (k % 11).alias("turn"))
+    return part.select("p_partkey", formats.dynamic_range(c("bits"), c("fmt"), c("raw")).alias("dynamic"), formats.orientation(c("turn")).alias("orientation"))
+
+
+@query("""SELECT c_custkey, CASE WHEN starts_with(lower(model), lower(make)) THEN model ELSE make || ' ' || model END AS camera
+FROM (SELECT c_custkey, c_mktsegment AS make, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) || ' X' ELSE c_name END AS model FROM customer)""")
+def camera_name(spark, sf_dir):
+    model = F.when(c("c_custkey") % 2 == 0, F.concat(F.lower("c_mktsegment"), lit(" X"))).otherwise(c("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", formats.camera_name(c("c_mktsegment"), model).alias("camera"))
+
+
+@query("""WITH t AS (SELECT doc_id, strlen(text) AS n, (doc_id % 50) / 1000.0::DOUBLE AS s FROM documents), r AS (SELECT *, CASE WHEN s > 0 THEN floor(n / s) END::BIGINT AS rate FROM t)
+SELECT doc_id, CASE WHEN s < 0.005::DOUBLE THEN '—' WHEN rate < 1024 THEN rate || ' B/s' WHEN rate < 1048576 THEN printf('%.1f KB/s', rate / 1024.0::DOUBLE) ELSE printf('%.1f MB/s', rate / 1048576.0::DOUBLE) END AS shown FROM r""")
+def throughput(spark, sf_dir):
+    return objects(spark, sf_dir).select("doc_id", formats.throughput(c("total_len"), (c("doc_id") % 50) / 1000.0).alias("shown"))
+
+
+@query("""WITH e AS (SELECT p_partkey, floor(p_size / 50.0::DOUBLE * 80 + 0.5::DOUBLE)::INT AS e FROM part)
+SELECT p_partkey, rpad(repeat('█', e // 8) || CASE WHEN e % 8 > 0 THEN substr('▏▎▍▌▋▊▉', e % 8, 1) ELSE '' END, 10, '·') AS bar FROM e""")
+def proportion_bar(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", formats.bar(c("p_size") / 50.0, 10).alias("bar"))
+
+
+@query("""SELECT user_id, event_id, event_type, value > coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raised FROM events""")
+def peak_phase(spark, sf_dir):
+    """Which step raised the highest value so far."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (c("value") > F.coalesce(F.max("value").over(before), lit(0.0))).alias("raised"))
+
+
+@query(_SEGMENTS + "SELECT doc_id, seg_no, len, kind FROM seg WHERE kind = 'image' AND len >= 400")
+def image_filter(spark, sf_dir):
+    return segments(spark, sf_dir).where("kind = 'image' and len >= 400").select("doc_id", "seg_no", "len", "kind")

@@ -74,8 +74,10 @@ def test_hostile_bytes_fail_with_a_reason(raw):
 
 def test_profiles():
     text = "Näme".encode("utf-16-be")
-    found = profiles.parse(icc([(b"desc", b"mluc" + bytes(4) + struct.pack(">IIII", 1, 12, len(text), 28)[:12] + struct.pack(">II", len(text), 28)[:0] + b"enUS"[:0] + b""), (b"cicp", b"cicp" + bytes(4) + bytes([9, 16, 0, 1]))]))
-    assert (found["version"], found["primaries"], found["transfer"], found["hdr"]) == ("4.3", "BT.2020", "PQ", True)
+    name = b"mluc" + bytes(4) + struct.pack(">II", 1, 12) + b"enUS" + struct.pack(">II", len(text), 28) + text
+    found = profiles.parse(icc([(b"desc", name), (b"cicp", b"cicp" + bytes(4) + bytes([9, 16, 0, 1]))]))
+    assert (found["description"], found["curve"], found["bt2020"]) == ("Näme", "pq", True)
+    assert (found["version"], found["primaries"], found["transfer"], found["hdr"]) == ("4.3", "BT.2020 / BT.2100", "PQ (SMPTE ST 2084)", True)
     for bad in (b"", icc([], b"nope"), icc([], count=2**32 - 1)):
         with pytest.raises(ValueError):
             profiles.parse(bad)
@@ -215,6 +217,24 @@ def test_jobs_over_files(spark, folder):
     assert jobs.archive_name("x/a.3FR") == "x/a.rla.3FR"
 
 
+def test_previews_manifests_and_measures(spark, folder):
+    (folder / "in" / "rgb.tif").write_bytes(image(900, 600, 3, 2, 8, orientation=6)[0])
+    made = {r.path.rpartition("/")[2]: r for r in jobs.previews(paths(spark, folder), 128).collect()}
+    assert (made["rgb.tif"].width, made["rgb.tif"].height, made["rgb.tif"].png[:4]) == (85, 128, b"\x89PNG")
+    assert made["a.tif"].status == "FAILED" and made["a.tif"].error_code == "preview"
+    done = jobs.archive(paths(spark, folder, "rgb.tif"), str(folder / "out")).select(F.col("target").alias("path"))
+    (m,) = jobs.manifests(done).collect()
+    assert (m.manifest.original.name, m.manifest.version, [s.spec is not None for s in m.manifest.segments]) == ("rgb.tif", 1, [False, True, False])
+    (back,) = jobs.previews(done, 128).collect()
+    assert (back.width, back.height) == (85, 128)
+
+
+def test_profile_column(spark):
+    raw = icc([(b"cicp", b"cicp" + bytes(4) + bytes([12, 18, 0, 1]))])
+    out = spark.createDataFrame([(1, raw), (2, b"x"), (3, None)], "i int, raw binary").select("i", profiles.profile(F.col("raw")).alias("p")).orderBy("i").collect()
+    assert [(r.p.primaries, r.p.hdr) for r in out] == [("Display P3", True), (None, None), (None, None)]
+
+
 def test_stream_reads_each_file_once(spark, folder):
     target, check = str(folder / "table"), str(folder / "check")
     for more in (None, "d.txt"):

@@ -8,7 +8,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Texts are worked on in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 3 << 20
+GROUP_BYTES = 3 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,8 +53,8 @@ def grouped(texts: Iterable[bytes], most: int = GROUP_BYTES) -> Iterator[list[by
         yield group
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the place of its first word (one more at the end)."""
+def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts' bytes in one row, start and end of each word there, and each text's first word; one more at the end)."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     space = _SPACE[joined]
@@ -62,13 +62,22 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     if len(joined) and not space[0]:
         edge = np.concatenate([np.zeros(1, np.int64), edge])
     start, end = edge[0::2], edge[1::2]
+    return joined, start, end, np.searchsorted(start, np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)]))
+
+
+def hashed(joined: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of the stretches from start to end."""
     up, down = _rising(len(joined) + 1)
     total = np.empty(len(joined) + 1, U64)
     total[0] = 0
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[joined] * up[: len(joined)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start])
-    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)])
-    return hashes, np.searchsorted(start, bounds)
+    return mix((total[end] - total[start]) * down[start])
+
+
+def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text the place of its first word (one more at the end)."""
+    joined, start, end, first = spans(texts)
+    return hashed(joined, start, end, lower), first
 
 
 _TURN = mix(np.arange(101, 165, dtype=U64)) | U64(1)

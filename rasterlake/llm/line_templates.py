@@ -16,39 +16,71 @@ as they are, and rows with the same doc_id count as one document. Other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
 from .common import written
 
 LEAD, STRONG, LEAST, WEAK = 4, 8, 3, 50
-_SPACES = r"[\x20\x09-\x0D]+"
+U64 = np.uint64
+_KEYS = "doc_id long, row long, pos int, key long, const int"
 
 
 def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def templates(docs: DataFrame, lead: int = LEAD, strong: int = STRONG, least: int = LEAST) -> DataFrame:
-    """(doc_id, row, pos, keys, const) for every line that may recur: keys are its templates' hashes."""
-    c = F.col
-    lines = docs.where(c("doc_id").isNotNull() & c("text").isNotNull()).select(c("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), F.posexplode(F.split(c("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("t", F.filter(F.split("line", _SPACES), lambda x: x != "")).drop("line")
-    lines = lines.withColumn("t", F.transform("t", lambda x: F.when(x.rlike("[0-9]"), F.lit("<*>")).otherwise(x)))
-    lines = lines.withColumn("n", F.size("t")).where(c("n") >= least)
-    lines = lines.withColumn("half", F.expr(f"cast((n - {lead}) div 2 as int)"))
-    lines = lines.withColumn("const", F.size(F.filter("t", lambda x: x != "<*>"))).where(c("const") >= least)
-    leaf = F.xxhash64("n", F.slice("t", 1, lead))
-    first = F.slice("t", F.lit(lead + 1), F.greatest(c("half"), F.lit(0)))
-    second = F.slice("t", F.lit(lead + 1) + F.greatest(c("half"), F.lit(0)), F.greatest(c("n"), F.lit(0)))
-    lines = lines.withColumn("leaf", leaf).withColumn("a", first).withColumn("b", second)
-    constant = lambda x: F.size(F.filter(x, lambda y: y != "<*>"))
-    head = constant(F.slice("t", 1, lead))
-    whole = F.struct(F.xxhash64(F.lit(0), "leaf", F.xxhash64("a"), F.xxhash64("b")).alias("key"), c("const").alias("const"))
-    by_first = F.struct(F.xxhash64(F.lit(1), "leaf", F.xxhash64("a")).alias("key"), (head + constant("a")).alias("const"))
-    by_second = F.struct(F.xxhash64(F.lit(2), "leaf", F.xxhash64("b")).alias("key"), (head + constant("b")).alias("const"))
-    keys = F.array(whole, F.when(by_first["const"] >= strong, by_first), F.when(by_second["const"] >= strong, by_second))
-    return lines.select("doc_id", "row", "pos", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("k")).select("doc_id", "row", "pos", "k.key", "k.const")
+def line_keys(lines: list[bytes], lead: int = LEAD, strong: int = STRONG, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, constant tokens) of every template of every line.
+
+    A token's hash is mixed with its place in the line, so that sums over places name a template.
+    """
+    joined, start, end, first = kernels.spans(lines)
+    digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((joined >= 48) & (joined <= 57))])
+    fixed = digits[end] == digits[start]
+    n = np.diff(first)
+    place = np.arange(len(start)) - np.repeat(first[:-1], n)
+    token = np.where(fixed, kernels.hashed(joined, start, end, lower=False), U64(0))
+    token = kernels.mix(token + (place.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(token, dtype=U64)])
+    count = np.concatenate([np.zeros(1, np.int64), np.cumsum(fixed)])
+    a, b = first[:-1], first[1:]
+    head = a + np.minimum(lead, n)
+    middle = head + np.maximum((n - lead) // 2, 0)
+    wide = (n >= least) & (count[b] - count[a] >= least)
+    out = []
+    for kind, parts in enumerate((((a, b),), ((a, middle),), ((a, head), (middle, b)))):
+        sums, const = np.zeros(len(n), U64), np.zeros(len(n), np.int64)
+        for x, y in parts:
+            sums += total[y] - total[x]
+            const += count[y] - count[x]
+        take = np.flatnonzero(wide if kind == 0 else wide & (const >= strong))
+        out.append((take, kernels.mix(sums[take] + n[take].astype(U64) * U64(0xD1342543DE82EF95) + U64(kind)), const[take]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        ids, rows, at = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy(), 0
+        for group in kernels.grouped(texts):
+            lines = [t.split(b"\n") for t in group]
+            n = np.array([len(x) for x in lines])
+            owner, pos = np.repeat(np.arange(len(group)), n) + at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            line, key, const = line_keys([x for own in lines for x in own])
+            at += len(group)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[line]]), pa.array(rows[owner[line]]), pa.array(pos[line].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(const.astype(np.int32))], names=[x.split()[0] for x in _KEYS.split(", ")])
+
+
+def templates(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, pos, key, const) for every template of every line that may recur."""
+    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_templates, _KEYS)
 
 
 def recurring(lines: DataFrame, strong: int = STRONG, weak: int = WEAK) -> DataFrame:

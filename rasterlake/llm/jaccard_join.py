@@ -8,10 +8,13 @@ has one of them in common. "Rarest" is by counts over all texts in a table of fi
 fixed order is correct, a good one keeps frequent shingles out of the lists. The boundary is the
 one with the least cost, by the sizes present and the length of the lists that they would scan.
 
-A list may hold a large group of near copies, so its pairs are never all made. Members are ranked
-by how much they share; rounds compare ranks 1, 2-4, 5-16, ... with the list's members that are
-not yet in the same component. When the ranks are used up, every pair that shares a list has been
-compared or was already connected: components are exact. Every comparison intersects whole sets.
+A posted shingle that no other set has posted is in no set that links, so a set shares at most its
+size less the number of these: pairs that this rules out are never made.
+The pairs of lists of at most `FEW` members are all made.
+Longer lists may be large groups of near copies, so their pairs are never all made. Members are
+ranked by how much they share; rounds compare ranks 1, 2-4, 5-16, ... with the list's members that
+are not yet in the same component. When the ranks are used up, every pair that shares a list has
+been compared or was already connected: components are exact. Comparisons intersect whole sets.
 
 Shingles and classes are known by 64-bit hashes. Null and empty texts have no shingles and are
 linked with nothing; a text of fewer words than a shingle has one, its whole sequence; rows with
@@ -40,7 +43,8 @@ WIDTH, PIECE = 1 << 21, 1 << 16
 MOST_SMALL = 16
 #: Cost of comparing a pair, in postings.
 PAIR_COST = 8
-GROWTH = 4
+#: Longest list of which all pairs are made; growth of the ranks that a round compares beyond.
+FEW, GROWTH = 32, 4
 
 
 def need(s: int, u: int, num: int, den: int) -> int:
@@ -164,6 +168,12 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.binary())], names=["cid", "hashes"])
 
 
+def may_link(a: str, b: str, num: int, den: int):
+    """Whether sets n_<a> and n_<b> can link that share at most the lesser of their caps."""
+    n_a, n_b, most = F.col(f"n{a}"), F.col(f"n{b}"), F.least(f"cap{a}", f"cap{b}", f"n{a}", f"n{b}")
+    return den * most >= num * (n_a + n_b - most)
+
+
 def _linked(batches, num: int, den: int):
     for b in batches:
         keep = []
@@ -193,6 +203,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    if not links.limit(1).count() or not labelled.limit(1).count():
+        return labelled
+    new = components(links).withColumnRenamed("label", "new")
+    return labelled.join(new, labelled["cid"] == new["node"], "left").withColumn("label", F.coalesce("new", "label")).drop("node", "new")
+
+
 def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, cid; links between classes: a, b), with any unlinked classes left out.
 
@@ -218,24 +235,43 @@ def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
     small = classes.where("small is not null").dropDuplicates(["cid"]).select("small").mapInArrow(met, "n long, met double")
     boundary = best_boundary({r.n: (r.sets, r.met) for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("met").alias("met")).collect()}, num, den)
 
-    signed = docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>")
-    posted = written(signed, "signatures").select("cid", "n", F.explode("sigs").alias("sig"))
-    common = posted.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig")
+    signed = written(docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>"), "signatures")
+    posted = signed.select("cid", "n", F.explode("sigs").alias("sig"))
+    common = posted.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
+    common = common.where(f"lo <> hi and not (all = 2 and {den} * least < {num} * most)").select("sig")
     lists = written(posted.join(common, "sig").select("sig", "cid", "n").distinct(), "lists")
-
-    lists_size = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-    score = lists.join(lists_size, "sig").groupBy("cid").agg(F.sum("size").alias("score"))
+    # What a set can share: all but its posted shingles that are in no other list. Sets that post subsets are not bounded.
+    held = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("k"))
+    alone = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1 - k")
+    lists = lists.join(held, "cid").withColumn("cap", F.when(F.col("n") > boundary, F.col("n") - alone).otherwise(F.col("n"))).drop("k").where(den * F.col("cap") >= num * F.col("n"))
+    lists = written(lists, "bounded")
+    lists = written(lists.join(lists.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig"), "sized")
+
+    few = lists.where(f"size > 1 and size <= {FEW}").select("sig", "cid", "n", "cap")
+    pairs = few.toDF("sig", "a", "n_a", "cap_a").join(few.toDF("sig", "b", "n_b", "cap_b"), "sig").where((F.col("a") < F.col("b")) & may_link("_a", "_b", num, den))
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+
+    many = lists.where(f"size > {FEW}")
+    score = written(many.groupBy("cid").agg(F.sum("size").alias("score")), "score")
+    wanted = score.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct()
     ids = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    members = written(score.join(ids, "cid").select("cid", "score", "doc_id"), "members")
-    lists = written(lists.join(members.select("cid", "score"), "cid"), "lists")
-    texts = docs.join(members.select("cid", "doc_id"), docs["doc_id"].eqNullSafe(members["doc_id"])).select("cid", "text")
+    members = written(wanted.join(ids, "cid"), "members")
+    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"])).select("cid", "text")
     sets = texts.mapInArrow(lambda b: _sets(b, k), "cid long, hashes binary")
-    if members.where("doc_id is null").limit(1).count():  # null ids do not name one text
+    repeated = rows.groupBy("doc_id").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi or doc_id is null")
+    if members.join(repeated, members["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").limit(1).count():
+        # some id does not name one text: sets are found by class
         sets = docs.mapInArrow(lambda b: _with_class(b, k), "cid long, hashes binary").join(members.select("cid"), "cid", "left_semi")
-    sets = written(sets.dropDuplicates(["cid"]), "sets")
+        sets = sets.dropDuplicates(["cid"])
+    sets = written(sets, "sets")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+        return written(both.mapInArrow(lambda b: _linked(b, num, den), "a long, b long").distinct(), "found")
 
-    links = spark.createDataFrame([], "a long, b long")
-    labelled = lists.withColumn("label", F.col("cid"))
+    links = compared(pairs)
+    labelled = many.join(score, "cid").select("sig", "cid", "n", "cap", "score", F.col("cid").alias("label"))
+    labelled = _relabelled(labelled, links)
     low, high = 0, 1
     while True:
         open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > {low}").select("sig")
@@ -243,16 +279,14 @@ def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
         if not labelled.limit(1).count():
             break
         rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "cid"))
-        pivots = labelled.withColumn("rank", rank).where(f"rank <= {high}").where(f"rank > {low}").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("score").alias("score_a"))
-        near = (F.col("label") != F.col("label_a")) & (den * F.least("n", "n_a") >= num * F.greatest("n", "n_a"))
+        pivots = labelled.withColumn("rank", rank).where(f"rank <= {high}").where(f"rank > {low}").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("cap").alias("cap_a"), F.col("label").alias("label_a"), F.col("score").alias("score_a"))
+        near = (F.col("label") != F.col("label_a")) & may_link("", "_a", num, den)
         # The lower rank of two pivots of one round is compared with the other, not both ways.
         pairs = labelled.join(pivots, "sig").where(near & ((F.col("score") < F.col("score_a")) | ((F.col("score") == F.col("score_a")) & (F.col("cid") > F.col("a"))))).select("a", F.col("cid").alias("b")).distinct()
-        found = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lambda b: _linked(b, num, den), "a long, b long")
-        found = written(found, "found")
+        found = compared(pairs)
         links = links.union(found)
         if found.limit(1).count():
-            merged = components(links)
-            labelled = labelled.join(merged.withColumnRenamed("label", "new"), labelled["cid"] == merged["node"], "left").withColumn("label", F.coalesce("new", "label")).drop("node", "new")
+            labelled = _relabelled(labelled, links)
         low, high = high, high * GROWTH
     return rows, links
 

@@ -8,8 +8,10 @@ has one of them in common. "Rarest" is by counts over all texts in a table of fi
 fixed order is correct, a good one keeps frequent shingles out of the lists. The boundary is the
 one with the least cost, by the sizes present and the length of the lists that they would scan.
 
-A posted shingle that no other set has posted is in no set that links, so a set shares at most its
-size less the number of these: pairs that this rules out are never made.
+In the common order, the first shingle that a linked pair shares is posted by both, at ranks i and j
+from 0, and nothing before it is shared: they share at most min(n - i, m - j). A list makes only the
+pairs that this bound lets link. It may rule out a pair in a list of a later common shingle, never
+in that of the first. Subsets have no rank and are bounded by the sizes alone.
 The pairs of lists of at most `FEW` members are all made.
 Longer lists may be large groups of near copies, so their pairs are never all made. Members are
 ranked by how much they share; rounds compare ranks 1, 2-4, 5-16, ... with the list's members that
@@ -146,19 +148,22 @@ def _subsets(s: np.ndarray, boundary: int, num: int, den: int) -> Iterator[int]:
 def _signatures(batches, k: int, table, boundary: int, num: int, den: int):
     table, seen = table.value, set()
     for _, texts in _texts(batches):
-        cids, sizes, sigs = [], [], []
+        cids, sizes, sigs, lefts = [], [], [], []
         for s in kernels.shingle_sets(texts, k):
             n = len(s)
             if not n or (cid := _class_id(s)) in seen:
                 continue
             seen.add(cid)
             own = list(_subsets(s, boundary, num, den)) if n <= boundary else []
+            left = [n] * len(own)
             if n > boundary or den * n // num > boundary:
                 own += _rarest(s, table, prefix(n, num, den)).view(np.int64).tolist()
+                left += range(n, n - prefix(n, num, den), -1)
             cids.append(cid)
             sizes.append(n)
             sigs.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["cid", "n", "sigs"])
+            lefts.append(left)
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lefts, pa.list_(pa.int64()))], names=["cid", "n", "sigs", "lefts"])
 
 
 def _sets(batches, k: int):
@@ -169,8 +174,8 @@ def _sets(batches, k: int):
 
 
 def may_link(a: str, b: str, num: int, den: int):
-    """Whether sets n_<a> and n_<b> can link that share at most the lesser of their caps."""
-    n_a, n_b, most = F.col(f"n{a}"), F.col(f"n{b}"), F.least(f"cap{a}", f"cap{b}", f"n{a}", f"n{b}")
+    """Whether sets of n<a> and n<b> can link whose first common shingle leaves them left<a> and left<b>, itself included."""
+    n_a, n_b, most = F.col(f"n{a}"), F.col(f"n{b}"), F.least(f"left{a}", f"left{b}")
     return den * most >= num * (n_a + n_b - most)
 
 
@@ -235,20 +240,15 @@ def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
     small = classes.where("small is not null").dropDuplicates(["cid"]).select("small").mapInArrow(met, "n long, met double")
     boundary = best_boundary({r.n: (r.sets, r.met) for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("met").alias("met")).collect()}, num, den)
 
-    signed = written(docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>"), "signatures")
-    posted = signed.select("cid", "n", F.explode("sigs").alias("sig"))
+    signed = written(docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>, lefts array<long>"), "signatures")
+    posted = signed.select("cid", "n", F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("lefts").alias("left")))).toDF("cid", "n", "sig", "left")
     common = posted.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
     common = common.where(f"lo <> hi and not (all = 2 and {den} * least < {num} * most)").select("sig")
-    lists = written(posted.join(common, "sig").select("sig", "cid", "n").distinct(), "lists")
-    # What a set can share: all but its posted shingles that are in no other list. Sets that post subsets are not bounded.
-    held = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("k"))
-    alone = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1 - k")
-    lists = lists.join(held, "cid").withColumn("cap", F.when(F.col("n") > boundary, F.col("n") - alone).otherwise(F.col("n"))).drop("k").where(den * F.col("cap") >= num * F.col("n"))
-    lists = written(lists, "bounded")
+    lists = written(posted.join(common, "sig").select("sig", "cid", "n", "left").distinct(), "lists")
     lists = written(lists.join(lists.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig"), "sized")
 
-    few = lists.where(f"size > 1 and size <= {FEW}").select("sig", "cid", "n", "cap")
-    pairs = few.toDF("sig", "a", "n_a", "cap_a").join(few.toDF("sig", "b", "n_b", "cap_b"), "sig").where((F.col("a") < F.col("b")) & may_link("_a", "_b", num, den))
+    few = lists.where(f"size > 1 and size <= {FEW}").select("sig", "cid", "n", "left")
+    pairs = few.toDF("sig", "a", "n_a", "left_a").join(few.toDF("sig", "b", "n_b", "left_b"), "sig").where((F.col("a") < F.col("b")) & may_link("_a", "_b", num, den))
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
 
     many = lists.where(f"size > {FEW}")
@@ -270,7 +270,7 @@ def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
         return written(both.mapInArrow(lambda b: _linked(b, num, den), "a long, b long").distinct(), "found")
 
     links = compared(pairs)
-    labelled = many.join(score, "cid").select("sig", "cid", "n", "cap", "score", F.col("cid").alias("label"))
+    labelled = many.join(score, "cid").select("sig", "cid", "n", "left", "score", F.col("cid").alias("label"))
     labelled = _relabelled(labelled, links)
     low, high = 0, 1
     while True:
@@ -279,7 +279,7 @@ def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
         if not labelled.limit(1).count():
             break
         rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "cid"))
-        pivots = labelled.withColumn("rank", rank).where(f"rank <= {high}").where(f"rank > {low}").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("cap").alias("cap_a"), F.col("label").alias("label_a"), F.col("score").alias("score_a"))
+        pivots = labelled.withColumn("rank", rank).where(f"rank <= {high}").where(f"rank > {low}").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("label").alias("label_a"), F.col("score").alias("score_a"))
         near = (F.col("label") != F.col("label_a")) & may_link("", "_a", num, den)
         # The lower rank of two pivots of one round is compared with the other, not both ways.
         pairs = labelled.join(pivots, "sig").where(near & ((F.col("score") < F.col("score_a")) | ((F.col("score") == F.col("score_a")) & (F.col("cid") > F.col("a"))))).select("a", F.col("cid").alias("b")).distinct()

@@ -58,6 +58,25 @@ def test_small_sets_and_a_large_group(spark, random_prose):
     assert got == brute(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100)])
+def test_longer_and_shorter_copies(spark, k, num, den):
+    rng = random.Random(12)
+    new = iter(range(10**6))
+    fresh = lambda n: [f"w{next(new)}" for _ in range(n)]
+    rows = []
+    for n in (17, 40, 85, 100, 205, 300, 400):  # sets of n shingles against sets with others added or cut
+        for share in (0.05, 0.09, 0.14, 0.17, 0.2, 0.24):
+            words, more = fresh(n + k - 1), max(1, int(share * n))
+            at = rng.randrange(1, n)
+            rows += [words, rng.choice([words + fresh(more), fresh(more) + words, words[more:], words[: -more], words[:at] + fresh(max(1, more - k)) + words[at:]])]
+    large = fresh(150)  # and a group whose lists are long
+    rows += [large[: 150 - rng.randint(0, 20)] + fresh(rng.randint(0, 20)) for _ in range(60)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jj.jaccard_components(df, k, num, den).collect()), key=str)
+    assert got == brute(rows, k, num, den)
+
+
 def test_subsets_meet_whenever_sets_link():
     rng = random.Random(2)
     import numpy as np

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import jaccard_join, line_templates, mixing, packing, quality
-from rasterlake.llm.common import written
+from rasterlake.llm.common import WORD, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Five-word shingles and a similarity of 0.8 or more.
 SHINGLE_WORDS, NUM, DEN = 5, 80, 100
-#: A document that lost more than this share of its text to line dedup is a copy and goes.
-MOST_LOST = 0.7
+#: Share of its text that a document may lose to line dedup: all but the whole.
+MOST_LOST = 1 - 1e-9
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur in others; those that were little else go."""
+    """Documents without the lines that recur in others; those with no word left go."""
     out = line_templates.dedup_lines(docs.select(*COLUMNS))
     left = F.char_length("text")
-    out = out.where((F.col("n_dropped") == 0) | (F.col("dropped_chars") <= MOST_LOST * (left + F.col("dropped_chars"))))
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, left.cast("long")).otherwise(F.col("n_chars").cast("long"))).select(*COLUMNS)
 
 

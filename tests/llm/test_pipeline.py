@@ -90,3 +90,12 @@ def test_stages_keep_columns_and_take_hard_cases(spark, docs, clashing, empty):
             out = stage(spark, df, "")
             assert out.columns == list(corpus_pipeline.COLUMNS)
             assert out.count() <= 3 * df.count()
+
+
+def test_line_dedup_keeps_own_words_of_documents_that_lose_most(spark, random_prose):
+    rng = random.Random(6)
+    shared, own = [random_prose(rng, 40) for _ in range(9)], "a few words of its own that recur nowhere else"
+    rows = [(1, "\n".join(shared)), (2, "\n".join([*shared, own])), (3, "\n".join(shared)), (4, "\n".join([*shared, " ", ""]))]
+    df = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (own, len(own))}

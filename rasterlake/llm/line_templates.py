@@ -7,8 +7,11 @@ which one half of the rest is masked as well, so that two lines of a leaf are of
 they agree in the other half. Templates are counted by hash over all documents, with partial counts
 before the shuffle; there is no pairwise comparison, so that a leaf of any size is shared by tasks.
 
-A template with at least `strong` constant tokens recurs if two documents have it; one with fewer
-(but `least`) needs `weak` occurrences in two or more documents. Recurring lines are dropped
+Every line that is not blank is also counted as it stands, word by word. A line of `least` words or
+more recurs if two documents have it (`weak` occurrences); a shorter one needs `short` occurrences
+in two or more documents. Masked forms are held more strictly: one with at least `strong` constant
+tokens recurs if two documents have it, one with fewer (but `least`) needs `masked` occurrences in
+two or more documents. Recurring lines are dropped
 from all documents but the one with the smallest doc_id that has the template; lines repeated
 within one document stay. Blank lines stay, null texts stay null, rows with a null doc_id are kept
 as they are, and rows with the same doc_id count as one document. Other columns pass through.
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import written
 
-LEAD, STRONG, LEAST, WEAK = 4, 8, 3, 50
+LEAD, STRONG, LEAST, WEAK = 4, 8, 3, 2
+#: Occurrences that a line of fewer than LEAST words and a masked form of fewer than STRONG tokens need.
+SHORT, MASKED = 3, 50
 U64 = np.uint64
-_KEYS = "doc_id long, row long, pos int, key long, const int"
+_KEYS = "doc_id long, row long, pos int, key long, need int"
 
 
 def _row_key() -> Column:
@@ -36,7 +41,7 @@ def _row_key() -> Column:
 
 
 def line_keys(lines: list[bytes], lead: int = LEAD, strong: int = STRONG, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, constant tokens) of every template of every line.
+    """(line, key, occurrences it needs) of every template of every line.
 
     A token's hash is mixed with its place in the line, so that sums over places name a template.
     """
@@ -45,22 +50,25 @@ def line_keys(lines: list[bytes], lead: int = LEAD, strong: int = STRONG, least:
     fixed = digits[end] == digits[start]
     n = np.diff(first)
     place = np.arange(len(start)) - np.repeat(first[:-1], n)
-    token = np.where(fixed, kernels.hashed(joined, start, end, lower=False), U64(0))
-    token = kernels.mix(token + (place.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(token, dtype=U64)])
+    word, turn = kernels.hashed(joined, start, end, lower=False), (place.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
+    total, whole = (np.concatenate([np.zeros(1, U64), np.cumsum(kernels.mix(x + turn), dtype=U64)]) for x in (np.where(fixed, word, U64(0)), word))
     count = np.concatenate([np.zeros(1, np.int64), np.cumsum(fixed)])
     a, b = first[:-1], first[1:]
     head = a + np.minimum(lead, n)
     middle = head + np.maximum((n - lead) // 2, 0)
     wide = (n >= least) & (count[b] - count[a] >= least)
-    out = []
+    plain, exact = count[b] - count[a] == n, np.where(n < least, SHORT, WEAK)
+    # A line without a digit is its own masked form; that of a strong line stands for the line too.
+    own = np.flatnonzero((n > 0) & ~plain & (count[b] - count[a] < strong))
+    out = [(own, kernels.mix((whole[b] - whole[a])[own] + n[own].astype(U64) * U64(0xD1342543DE82EF95) + U64(3)), exact[own])]
     for kind, parts in enumerate((((a, b),), ((a, middle),), ((a, head), (middle, b)))):
         sums, const = np.zeros(len(n), U64), np.zeros(len(n), np.int64)
         for x, y in parts:
             sums += total[y] - total[x]
             const += count[y] - count[x]
-        take = np.flatnonzero(wide if kind == 0 else wide & (const >= strong))
-        out.append((take, kernels.mix(sums[take] + n[take].astype(U64) * U64(0xD1342543DE82EF95) + U64(kind)), const[take]))
+        take = np.flatnonzero(wide | (plain & (n > 0)) if kind == 0 else wide & (const >= strong))
+        needed = np.where(const >= strong, 2, np.where(plain, exact, MASKED))
+        out.append((take, kernels.mix(sums[take] + n[take].astype(U64) * U64(0xD1342543DE82EF95) + U64(kind)), needed[take]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -72,21 +80,21 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = [t.split(b"\n") for t in group]
             n = np.array([len(x) for x in lines])
             owner, pos = np.repeat(np.arange(len(group)), n) + at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            line, key, const = line_keys([x for own in lines for x in own])
+            line, key, needed = line_keys([x for own in lines for x in own])
             at += len(group)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[line]]), pa.array(rows[owner[line]]), pa.array(pos[line].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(const.astype(np.int32))], names=[x.split()[0] for x in _KEYS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[line]]), pa.array(rows[owner[line]]), pa.array(pos[line].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(needed.astype(np.int32))], names=[x.split()[0] for x in _KEYS.split(", ")])
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, key, const) for every template of every line that may recur."""
+    """(doc_id, row, pos, key, need) for every template of every line that may recur."""
     own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return own.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_templates, _KEYS)
 
 
-def recurring(lines: DataFrame, strong: int = STRONG, weak: int = WEAK) -> DataFrame:
+def recurring(lines: DataFrame) -> DataFrame:
     """(key, first): templates that recur across documents, and the smallest doc_id that has each."""
-    t = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.min("const").alias("const"))
-    return t.where((F.col("first") != F.col("last")) & ((F.col("const") >= strong) | (F.col("n") >= weak))).select("key", "first")
+    t = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    return t.where((F.col("first") != F.col("last")) & (F.col("n") >= F.col("need"))).select("key", "first")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

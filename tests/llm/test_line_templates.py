@@ -62,6 +62,14 @@ def test_weak_templates_need_many_occurrences(spark):
     assert lt.dedup_lines(made(spark, rows[:-1])).where("n_dropped > 0").count() == 0
 
 
+def test_short_lines_that_recur_as_they_stand(spark):
+    rows = [(i, f"Les.\nAnd ornd.\npage 3\n7 of 9 seen here\nErreth was the that\nown{chr(97 + i)} alone\npart {i} of it all") for i in range(4)]
+    got = {r.doc_id: r.text for r in lt.dedup_lines(made(spark, rows)).collect()}
+    assert got == {i: rows[i][1] if i == 0 else f"own{chr(97 + i)} alone\npart {i} of it all" for i in range(4)}
+    two = {r.doc_id: r.text for r in lt.dedup_lines(made(spark, rows[:2])).collect()}
+    assert two[1] == "Les.\nAnd ornd.\npage 3\nownb alone\npart 1 of it all"  # a shorter line needs a third
+
+
 def test_empty_table_and_clashing_names(empty, clashing, docs):
     assert lt.dedup_lines(empty).count() == 0
     out = lt.dedup_lines(clashing)

@@ -7,16 +7,22 @@ compare how well the node and its children code all training bits. Nodes never s
 leave the decision to their parent. Texts are lower-cased (A-Z), and end with a byte that no UTF-8
 text has, so that probabilities of texts sum to one.
 
-Training counts every (context, byte) of every training text: tasks count their own, a shuffle adds
-them up. Below the last two context bytes a tree is worked out by one task of 64, since all its
-nodes are there. What goes to every task is of fixed size whatever the corpus: hash tables of nodes
-(a slot goes to the node with the most bits, the others read as unseen) and one of frequent words.
+The model is exact and grows with the corpus: no node and no word is left out, and none is handed
+to every task. Instead, groups of texts ask for what they need:
 
-The base score needs exact counts of all words: frequent ones are looked up in the table, all
-others are joined with the counts by shuffle. Words are known by 64-bit hashes.
+1. Each task cuts its texts into groups and passes them on with the group's distinct keys (contexts
+   with their byte, and words) and their training counts, dealt to pieces by hash.
+2. A piece's counts are added up, then contexts are sorted so that all contexts with the same last
+   two bytes meet. Their subtrees are worked out one after the other, twice: first for the sums of
+   the nodes at depth 1, of which 65,280 are possible, then for the probability of each key.
+3. Each piece answers each group's keys, and a group's texts are scored with its answers alone.
+
+Memory follows the size of a group, the distinct keys of a piece and the contexts with two bytes in
+common. Words are known by 64-bit hashes. A long text is scored in stretches that carry its context.
 
 Null texts are empty (one token, the end); a null doc_id counts as the text '' and so is held out;
-repeated rows are learnt from and scored each; without training texts the model gives each bit 1/2.
+repeated rows are learnt from and scored each; without training texts the model gives each bit 1/2;
+an empty table gives an empty table; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,49 +41,92 @@ from . import kernels
 from .common import written
 
 DEPTH = 5
-CHUNKS = 64
-#: Slots of a chunk's table of nodes, by depth; a slot takes five bytes.
-SLOT_BITS = {2: 14, 3: 15, 4: 17, 5: 17}
-#: Frequent words that are looked up at most, and slots of their table.
-FREQUENT, WORD_SLOT_BITS = 1 << 19, 21
-#: A task passes its counts on when it holds so many.
-HELD = 4 << 20
-#: Slots of a worker's memory of code lengths.
-CACHE_BITS = 20
-GROUP = 2 << 20
+#: Bytes of text in a group, and of text that is worked on at once.
+GROUP_BYTES, STRETCH = 16 << 20, 1 << 20
+#: Keys that a task holds before it adds up equal ones, and that a group has at most before it ends.
+HELD, GROUP_KEYS = 4 << 20, 2 << 20
+#: Text for each piece, and least and most pieces; asked keys for each task that answers.
+PIECE_BYTES, LEAST_PIECES, MOST_PIECES, ANSWERED = 16 << 20, 16, 4096, 16 << 20
+#: Sorted keys of whole two-byte contexts that are worked out at once.
+TREE_KEYS = 1 << 17
 HELD_OUT = 10
 U64 = np.uint64
 WORD, GRAM, TEXT = 0, 1, 2
+END = b"\xff"
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT == 0
 
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(context and byte of every position as a number, the last byte lowest; first place of each text and the end)."""
-    joined = np.frombuffer(b"".join(bytes(DEPTH) + t + b"\xff" for t in texts), np.uint8)
+def stretches(texts: list[bytes], most: int = STRETCH) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes]]]:
+    """The texts with their end bytes as runs of about `most` bytes: (each one's text, bytes before it, its bytes)."""
+    owner, before, body, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        t += END
+        for at in range(0, len(t), most):
+            owner.append(i)
+            before.append(t[at - DEPTH : at] if at else bytes(DEPTH))
+            body.append(t[at : at + most])
+            size += len(body[-1])
+            if size >= most:
+                yield np.array(owner), before, body
+                owner, before, body, size = [], [], [], 0
+    if owner:
+        yield np.array(owner), before, body
+
+
+def codes(before: list[bytes], body: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(context and byte of every position, first place of each body).
+
+    A code has the byte lowest and the byte just before it highest, so that sorted codes have
+    contexts with a common end side by side.
+    """
+    joined = np.frombuffer(b"".join(x + y for x, y in zip(before, body, strict=True)), np.uint8)
     joined = np.where((joined >= 65) & (joined <= 90), joined + 32, joined).astype(U64)
-    n = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    out = np.zeros(len(joined), U64)
-    for k in range(DEPTH + 1):
-        out[k:] |= joined[: len(joined) - k] << U64(8 * k)
+    n = np.fromiter((len(x) for x in body), np.int64, len(body))
+    out = joined.copy()
+    for k in range(1, DEPTH + 1):
+        out[k:] |= joined[: len(joined) - k] << U64(8 * (DEPTH + 1 - k))
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    starts = first[:-1] + DEPTH * np.arange(len(n))
     keep = np.ones(len(joined), bool)
-    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(n + DEPTH)[:-1]]) if len(n) else np.zeros(0, np.int64)
     keep[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    return out[keep], np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    return out[keep], first
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The values byte by byte, all lowest bytes first: what is zero throughout compresses away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return planes(np.diff(keys, prepend=U64(0)))
 
-def chunk_of(code: np.ndarray) -> np.ndarray:
-    return (kernels.mix((code >> U64(8)) & U64(0xFFFF)) % U64(CHUNKS)).astype(np.int32)
 
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, U64), dtype=U64)
 
-_COUNTS = "kind int, chunk int, key long, n long"
 
+def piece_of(keys: np.ndarray, pieces: int) -> np.ndarray:
+    return (kernels.mix(keys) % U64(pieces)).astype(np.int64)
 
-def _batch(kind: int, chunk, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    size = len(key)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(chunk), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "chunk", "key", "n"])
+
+def by_piece(pieces: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """(piece, its ascending keys, their values) of ascending keys."""
+    at = piece_of(keys, pieces)
+    order = np.argsort(at, kind="stable")
+    keys, values = keys[order], [v[order] for v in values]
+    ends = np.searchsorted(at[order], np.arange(pieces + 1))
+    for p in np.flatnonzero(ends[1:] > ends[:-1]):
+        part = slice(ends[p], ends[p + 1])
+        yield int(p), keys[part], *(v[part] for v in values)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,51 +138,105 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """(doc_ids, texts) of about GROUP bytes."""
-    ids, texts, size = [], [], 0
+class Tally:
+    """Counts by key, added up whenever many are held."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = self.distinct = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.held += len(keys)
+        if self.held > 2 * self.distinct + HELD:
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        self.parts = [_summed(self.parts)] if len(self.parts) > 1 else self.parts
+        self.held = self.distinct = len(self.parts[0][0])
+        return self.parts[0]
+
+
+_ASKED = "kind int, part int, seq int, piece int, doc_id long, text binary, keys binary, counts binary, n long"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _batch(schema: str, size: int, **columns) -> pa.RecordBatch:
+    """Columns by name; a scalar stands for all rows, and columns left out are null."""
+    out, names = [], []
+    for name, kind in (x.split() for x in schema.split(", ")):
+        value = columns.get(name)
+        if not isinstance(value, (pa.Array, np.ndarray, list)):
+            value = [value] * size
+        out.append(value.cast(_TYPES[kind]) if isinstance(value, pa.Array) else pa.array(value, _TYPES[kind]))
+        names.append(name)
+    return pa.RecordBatch.from_arrays(out, names)
+
+
+def _texts(column) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def _ask(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.RecordBatch]:
+    part, seq = TaskContext.get().partitionId(), 0
+    tallies, size = {WORD: Tally(), GRAM: Tally()}, 0
+
+    def asked():
+        for kind, tally in tallies.items():
+            for p, keys, n in by_piece(pieces, *tally.sum()):
+                yield _batch(_ASKED, 1, kind=kind, part=part, seq=seq, piece=p, keys=[packed_keys(keys)], counts=[planes(n.astype(np.uint32))], n=len(keys))
+
     for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or b"")
-            size += len(texts[-1])
-            if size >= GROUP:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+        ids, at = b.column("doc_id").to_pylist(), 0
+        texts = _texts(b.column("text"))
+        while at < len(texts):
+            end, room = at, GROUP_BYTES - size
+            while end < len(texts) and (room > 0 or end == at):
+                room -= len(texts[end])
+                end += 1
+            own = texts[at:end]
+            learnt = np.array([not held_out(i) for i in ids[at:end]])
+            yield _batch(_ASKED, len(own), kind=TEXT, part=part, seq=seq, doc_id=b.column("doc_id")[at:end], text=b.column("text")[at:end], n=learnt.astype(np.int64))
+            for owner, before, body in stretches(own):
+                code, first = codes(before, body)
+                trains = np.repeat(learnt[owner], np.diff(first))
+                for keys, n in (np.unique(code[trains], return_counts=True), (x := np.unique(code[~trains]), np.zeros(len(x), np.int64))):
+                    tallies[GRAM].add(keys, n)
+            start = 0
+            for group in kernels.grouped(own):
+                words, first = kernels.words(group)
+                trains = np.repeat(learnt[start : start + len(group)], np.diff(first))
+                start += len(group)
+                for keys, n in (np.unique(words[trains], return_counts=True), (x := np.unique(words[~trains]), np.zeros(len(x), np.int64))):
+                    tallies[WORD].add(keys, n)
+            size += sum(map(len, own))
+            at = end
+            if size >= GROUP_BYTES or any(t.held > GROUP_KEYS and len(t.sum()[0]) > GROUP_KEYS for t in tallies.values()):
+                yield from asked()
+                tallies, size, seq = {WORD: Tally(), GRAM: Tally()}, 0, seq + 1
+    yield from asked()
+
+
+_COUNTED = "kind int, piece int, key long, n long, keys binary, counts binary, tokens long, known long"
+SLICE = 1 << 16
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {WORD: [], GRAM: []}
-    size, n_texts = {WORD: 0, GRAM: 0}, 0
-
-    def passed(kind):
-        key, n = _summed(held[kind])
-        for at in range(0, len(key), 1 << 16):
-            k = key[at : at + (1 << 16)]
-            yield _batch(kind, chunk_of(k) if kind == GRAM else np.full(len(k), -1, np.int32), k, n[at : at + (1 << 16)])
-        held[kind], size[kind] = [], 0
-
-    for ids, texts in _rows(batches):
-        own = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
-        if not own:
-            continue
-        n_texts += len(own)
-        for kind, keys in ((WORD, kernels.words(own)[0]), (GRAM, codes(own)[0])):
-            key, n = np.unique(keys, return_counts=True)
-            held[kind].append((key, n))
-            size[kind] += len(key)
-            if size[kind] > HELD:
-                held[kind] = [_summed(held[kind])]
-                size[kind] = len(held[kind][0][0])
-                if size[kind] > HELD // 2:
-                    yield from passed(kind)
-    for kind in held:
-        if held[kind]:
-            yield from passed(kind)
-    if n_texts:
-        yield _batch(TEXT, np.full(1, -1, np.int32), np.zeros(1, U64), np.array([n_texts]))
+    """The sums of one or more pieces: words as slices of keys with their counts, contexts as rows."""
+    tallies: dict[tuple[int, int], Tally] = {}
+    for b in batches:
+        for kind, piece, keys, n in zip(*(b.column(c).to_pylist() for c in ("kind", "piece", "keys", "counts")), strict=True):
+            tallies.setdefault((kind, piece), Tally()).add(unpacked_keys(keys), unplanes(n, np.uint32).astype(np.int64))
+    for (kind, piece), tally in tallies.items():
+        keys, n = tally.sum()
+        for at in range(0, len(keys), SLICE):
+            k, c = keys[at : at + SLICE], n[at : at + SLICE]
+            if kind == WORD:
+                yield _batch(_COUNTED, 1, kind=kind, piece=piece, keys=[packed_keys(k)], counts=[planes(c.astype(float))], tokens=int(c.sum()), known=int((c > 0).sum()))
+            else:
+                yield _batch(_COUNTED, len(k), kind=kind, piece=piece, key=k.view(np.int64), n=c)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -143,230 +247,289 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         low = y < 10
         shift[low] -= np.log(y[low])
         y[low] += 1
-    return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log probability that Krichevsky and Trofimov's rule gives a sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0)
-
+_HALVES, _WHOLES = log_gamma(np.arange(4096) + 0.5), log_gamma(np.arange(8192) + 1.0)
 
-def bit_counts(code: np.ndarray, n: np.ndarray, depth: int, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, zeros, ones) of one decision at one depth; a node is the context and the bits so far."""
-    byte = code & U64(0xFF)
-    context = (code >> U64(8)) & U64((1 << (8 * depth)) - 1)
-    node = (context << U64(8)) | U64(1 << bit) | (byte >> U64(8 - bit))
-    one = ((byte >> U64(7 - bit)) & U64(1)).astype(bool)
-    nodes, at = np.unique(node, return_inverse=True)
-    ones = np.bincount(at, n * one, len(nodes))
-    return nodes, np.bincount(at, n, len(nodes)) - ones, ones
 
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log probability that Krichevsky and Trofimov's rule gives a sequence with these counts."""
+    out = np.empty(len(zeros))
+    low = (zeros < 4096) & (ones < 4096)
+    a, b = zeros[low].astype(np.int64), ones[low].astype(np.int64)
+    out[low] = _HALVES[a] + _HALVES[b] - _WHOLES[a + b]
+    a, b = zeros[~low], ones[~low]
+    out[~low] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0)
+    return out - math.log(math.pi)
+
+
+class Level:
+    """The nodes of one depth, for the eight decisions of a byte.
+
+    keys: distinct (context of that depth, byte), ascending; n: their counts; up: for each key one
+    level deeper its place here.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, up: np.ndarray | None = None) -> None:
+        self.keys, self.n, self.up = keys, n, up
+
+    def decide(self, bit: int, below: Level | None) -> None:
+        """node: each key's node; zeros, ones; weight: log probability of the subtree; odds: of the node's own estimate against its children's."""
+        prefix = self.keys >> U64(8 - bit)
+        new = np.ones(len(prefix), bool)
+        new[1:] = prefix[1:] != prefix[:-1]
+        self.first = np.flatnonzero(new)
+        self.node = np.cumsum(new) - 1
+        one = ((self.keys >> U64(7 - bit)) & U64(1)).astype(bool)
+        self.ones = np.add.reduceat(np.where(one, self.n, 0.0), self.first)
+        self.zeros = np.add.reduceat(np.where(one, 0.0, self.n), self.first)
+        own = log_kt(self.zeros, self.ones)
+        if below is None:
+            self.weight, self.odds = own, np.full(len(own), 30.0)
+        else:
+            children = np.bincount(self.node[below.up[below.first]], below.weight, len(own))
+            self.weight, self.odds = np.logaddexp(own, children) - math.log(2), np.clip(own - children, -30, 30)
+
+
+def shorter(level: Level) -> Level:
+    """The level one byte of context less: the byte farthest back goes."""
+    cut = ((level.keys >> U64(16)) << U64(8)) | (level.keys & U64(0xFF))
+    keys, level.up = np.unique(cut, return_inverse=True)
+    return Level(keys, np.bincount(level.up, level.n, len(keys)))
+
+
+def levels(keys: np.ndarray, n: np.ndarray, to: int) -> list[Level]:
+    """From depth DEPTH down to `to`."""
+    out = [Level(keys, n.astype(float))]
+    for _ in range(DEPTH - to):
+        out.append(shorter(out[-1]))
+    return out
+
+
+def mixed(p: np.ndarray, known: np.ndarray, zeros, ones, odds) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of a one, with a node's estimate mixed into that of the nodes below it."""
+    seen = zeros + ones > 0
+    share = np.where(known, 1 / (1 + np.exp(-odds)), 1.0)
+    return np.where(seen, share * ((ones + 0.5) / (zeros + ones + 1)) + (1 - share) * p, p), known | seen
+
+
+class Top:
+    """Depths 0 and 1 by node number: (byte of context, bits so far)."""
+
+    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> None:
+        self.tables = {}
+        for d in (1, 0):
+            at = node & ((1 << (8 * d + 8)) - 1)
+            zeros, ones, below = (np.bincount(at, x, 1 << (8 * d + 8)) for x in (zeros, ones, below))
+            own = log_kt(zeros, ones)
+            self.tables[d] = zeros, ones, np.clip(own - below, -30, 30)
+            seen = np.flatnonzero(zeros + ones > 0)
+            node, zeros, ones, below = seen, zeros[seen], ones[seen], (np.logaddexp(own, below) - math.log(2))[seen]
+
+    def mix(self, byte: np.ndarray, last: np.ndarray, bit: int, p: np.ndarray, known: np.ndarray) -> np.ndarray:
+        bits = (1 << bit) | (byte >> (8 - bit))
+        for d, at in ((1, last << 8 | bits), (0, bits)):
+            p, known = mixed(p, known, *(t[at] for t in self.tables[d]))
+        return p
+
+
+def roots(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(node at depth 1, zeros, ones, sum of its children's weights) as far as these keys go."""
+    all_levels, out = levels(keys, n, 2), []
+    for bit in range(8):
+        for below, level in zip([None, *all_levels], all_levels, strict=False):
+            level.decide(bit, below)
+        top = all_levels[-1]
+        prefix = top.keys[top.first] >> U64(8 - bit)
+        # A node is its context's byte and its bits so far behind a one: (last byte, second, bits).
+        node = ((top.keys[top.first] >> U64(16)) << U64(8) | U64(1 << bit) | (prefix & U64((1 << bit) - 1))).astype(np.int64)
+        ids, at = np.unique(node, return_inverse=True)
+        out.append((ids, *(np.bincount(at, x, len(ids)) for x in (top.zeros, top.ones, top.weight))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def log10_of(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
+    """Log10 probability of each key's byte in its context; keys hold whole two-byte contexts."""
+    all_levels = levels(keys, n, 2)
+    places = [np.arange(len(keys))]
+    for level in all_levels[:-1]:
+        places.append(level.up[places[-1]])
+    byte, last = (keys & U64(0xFF)).astype(np.int64), (keys >> U64(8 * DEPTH)).astype(np.int64)
+    total = np.zeros(len(keys))
+    for bit in range(8):
+        p, known = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
+        for below, level, place in zip([None, *all_levels], all_levels, places, strict=False):
+            level.decide(bit, below)
+            at = level.node[place]
+            p, known = mixed(p, known, level.zeros[at], level.ones[at], level.odds[at])
+        p = top.mix(byte, last, bit, p, known)
+        total += np.log10(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
+    return total
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted (key, n) in runs that end where the last two bytes of context change."""
+    keys, n, size = [], [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys.append(b.column("key").to_numpy().view(U64))
+        n.append(b.column("n").to_numpy())
+        size += b.num_rows
+        if size >= TREE_KEYS:
+            k, c = np.concatenate(keys), np.concatenate(n)
+            cut = int(np.searchsorted(k >> U64(32), k[-1] >> U64(32)))
+            if cut:
+                yield k[:cut], c[:cut]
+            keys, n, size = [k[cut:]], [c[cut:]], len(k) - cut
+    if size:
+        yield np.concatenate(keys), np.concatenate(n)
 
-def weighed(nodes, zeros, ones, children=None):
-    """(log probability of the node's subtree, log of its own estimate against its children's)."""
-    own = log_kt(zeros, ones)
-    if children is None:
-        return own, np.full(len(own), 30.0)
-    parents, weight = children
-    below = np.bincount(np.searchsorted(nodes, parents), weight, len(nodes))
-    return np.logaddexp(own, below) - math.log(2), np.clip(own - below, -30, 30)
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, n in _whole_contexts(batches):
+        node, zeros, ones, below = roots(keys, n)
+        yield _batch("node int, zeros double, ones double, below double", len(node), node=node, zeros=zeros, ones=ones, below=below)
 
-def parents(nodes: np.ndarray, depth: int) -> np.ndarray:
-    """The nodes one byte of context shorter."""
-    return nodes & U64((1 << (8 * depth)) - 1)
 
+_ANSWERS = "kind int, piece int, keys binary, answers binary"
 
-def slot_of(nodes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot in the chunk, tag from 1 to 255)."""
-    h = kernels.mix(nodes ^ U64(depth << 56))
-    return (h & U64((1 << SLOT_BITS[depth]) - 1)).astype(np.int64), ((h >> U64(40)) % U64(255)).astype(np.uint8) + np.uint8(1)
 
+def _answers(batches: Iterator[pa.RecordBatch], top: Top, pieces: int) -> Iterator[pa.RecordBatch]:
+    for keys, n in _whole_contexts(batches):
+        for p, k, value in by_piece(pieces, keys, log10_of(keys, n, top)):
+            yield _batch(_ANSWERS, 1, kind=GRAM, piece=p, keys=[packed_keys(k)], answers=[planes(value)])
 
-_MODEL = "chunk int, depth int, tags binary, odds binary, own binary, node binary, zeros binary, ones binary, weight binary"
 
+_REPLIES = "kind int, part int, seq int, doc_id long, text binary, keys binary, answers binary"
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tables of a chunk's trees from its counts, and their roots at depth 2."""
-    got = [(b.column("chunk")[0].as_py(), b.column("key").to_numpy().view(U64), b.column("n").to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return
-    chunk, code, n = got[0][0], np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]).astype(float)
-    tables = {d: (np.zeros(1 << s, np.uint8), np.zeros(1 << s, np.float16), np.zeros(1 << s, np.float16), np.zeros(1 << s)) for d, s in SLOT_BITS.items()}
-    roots = []
-    for bit in range(8):
-        below = None
-        for d in range(DEPTH, 1, -1):
-            nodes, zeros, ones = bit_counts(code, n, d, bit)
-            weight, own = weighed(nodes, zeros, ones, below)
-            slot, tag = slot_of(nodes, d)
-            tags, odds, owns, size = tables[d]
-            order = np.argsort(zeros + ones, kind="stable")
-            order = order[(zeros + ones)[order] > size[slot[order]]]
-            at = slot[order]
-            tags[at], odds[at], owns[at], size[at] = tag[order], np.log((ones + 0.5) / (zeros + 0.5))[order], own[order], (zeros + ones)[order]
-            below = (parents(nodes, d), weight)
-        roots.append((nodes, zeros, ones, weight))
-    node, zeros, ones, weight = (np.concatenate(x) for x in zip(*roots, strict=True))
-    out = [(chunk, d, t[0].tobytes(), t[1].tobytes(), t[2].tobytes(), None, None, None, None) for d, t in tables.items()]
-    out.append((chunk, 0, None, None, None, node.tobytes(), zeros.tobytes(), ones.tobytes(), weight.tobytes()))
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
-    for row in out:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in _MODEL.split(", ")])
-
-
-class Model:
-    """Tables of all nodes. odds: log of the estimate's odds for a one; own: of the node against its children."""
 
-    def __init__(self) -> None:
-        self.tags = {d: np.zeros(CHUNKS << s, np.uint8) for d, s in SLOT_BITS.items()}
-        self.odds = {d: np.zeros(CHUNKS << s, np.float16) for d, s in SLOT_BITS.items()}
-        self.own = {d: np.zeros(CHUNKS << s, np.float16) for d, s in SLOT_BITS.items()}
-        for d in (0, 1):
-            self.tags[d], self.odds[d], self.own[d] = np.zeros(1 << (8 * d + 8), np.uint8), np.zeros(1 << (8 * d + 8), np.float16), np.zeros(1 << (8 * d + 8), np.float16)
-
-    @classmethod
-    def of(cls, grams: DataFrame) -> Model:
-        """From (chunk, key, n) with n summed. Tables come chunk by chunk, and are of fixed size."""
-        model = cls()
-        made = written(grams.select("chunk", "key", "n").repartitionById(CHUNKS, F.col("chunk")).mapInArrow(_trees, _MODEL), "trees")
-        roots = []
-        for r in made.toLocalIterator():
-            if r.depth:
-                size = 1 << SLOT_BITS[r.depth]
-                at = slice(r.chunk * size, (r.chunk + 1) * size)
-                model.tags[r.depth][at], model.odds[r.depth][at], model.own[r.depth][at] = np.frombuffer(r.tags, np.uint8), np.frombuffer(r.odds, np.float16), np.frombuffer(r.own, np.float16)
+def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For sorted rows (kind, piece, answers first): each group's keys with their answers."""
+    of, parts, keys, answers = None, [], None, None
+    for b in batches:
+        for kind, piece, part, seq, k, a in zip(*(b.column(c).to_pylist() for c in ("kind", "piece", "part", "seq", "keys", "answers")), strict=True):
+            if of != (kind, piece):
+                of, parts, keys = (kind, piece), [], None
+            if a is not None:
+                parts.append((unpacked_keys(k), unplanes(a, float)))
+                continue
+            if keys is None:
+                keys, answers = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(keys)
+                keys, answers, parts = keys[order], answers[order], []
+            got = answers[np.searchsorted(keys, unpacked_keys(k))]
+            yield _batch(_REPLIES, 1, kind=kind, part=part, seq=seq, keys=[k], answers=[planes(got if kind == WORD else got.astype(np.float32))])
+
+
+class Answers:
+    """What a group was told: values by key, looked up through a table of slots."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = U64(64 - max(10, int(2 * len(keys)).bit_length()))
+        at = self._slot(self.keys)
+        self.slots = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.slots[at] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """All keys are known: every one was asked for."""
+        place = self.slots[self._slot(keys)]
+        other = np.flatnonzero(self.keys[place] != keys)
+        place[other] = np.searchsorted(self.keys, keys[other])
+        return self.values[place]
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, n_bytes long, score double"
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by group with its answers first: each text's sums."""
+    of, parts, known = None, {}, {}
+    for b in batches:
+        group = list(zip(b.column("part").to_pylist(), b.column("seq").to_pylist(), (k == TEXT for k in b.column("kind").to_pylist()), strict=True))
+        at = 0
+        while at < len(group):
+            end = at
+            while end < len(group) and group[end] == group[at]:
+                end += 1
+            rows = b.slice(at, end - at)
+            if of != group[at][:2]:
+                of, parts, known = group[at][:2], {WORD: [], GRAM: []}, {}
+            if not group[at][2]:
+                for kind, keys, values in zip(*(rows.column(c).to_pylist() for c in ("kind", "keys", "answers")), strict=True):
+                    parts[kind].append((unpacked_keys(keys), unplanes(values, float if kind == WORD else np.float32)))
             else:
-                roots.append((np.frombuffer(r.node, U64), *(np.frombuffer(x) for x in (r.zeros, r.ones, r.weight))))
-        if roots:
-            model._top(*(np.concatenate(x) for x in zip(*roots, strict=True)))
-        return model
-
-    def _top(self, nodes, zeros, ones, weight) -> None:
-        for d in (1, 0):
-            up = parents(nodes, d + 1)
-            own_nodes, at = np.unique(up, return_inverse=True)
-            zeros, ones = np.bincount(at, zeros), np.bincount(at, ones)
-            weight, own = weighed(own_nodes, zeros, ones, (up, weight))
-            nodes = own_nodes
-            i = nodes.astype(np.int64)
-            self.tags[d][i], self.odds[d][i], self.own[d][i] = 1, np.log((ones + 0.5) / (zeros + 0.5)), own
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        """Log10 probability of each byte in its context."""
-        byte, total = code & U64(0xFF), np.zeros(len(code))
-        base = {d: chunk_of(code).astype(np.int64) << s for d, s in SLOT_BITS.items()}
-        for bit in range(8):
-            one = ((byte >> U64(7 - bit)) & U64(1)).astype(bool)
-            p, known = np.full(len(code), 0.5), np.zeros(len(code), bool)
-            for d in range(DEPTH, -1, -1):
-                context = (code >> U64(8)) & U64((1 << (8 * d)) - 1)
-                node = (context << U64(8)) | U64(1 << bit) | (byte >> U64(8 - bit))
-                if d > 1:
-                    slot, tag = slot_of(node, d)
-                    slot += base[d]
-                    here = self.tags[d][slot] == tag
-                else:
-                    slot = node.astype(np.int64)
-                    here = self.tags[d][slot] > 0
-                est = 1 / (1 + np.exp(-self.odds[d][slot].astype(np.float32)))
-                share = np.where(known, 1 / (1 + np.exp(-self.own[d][slot].astype(np.float32))), 1.0)
-                p = np.where(here, share * est + (1 - share) * p, p)
-                known |= here
-            total += np.log10(np.where(one, p, 1 - p))
-        return total
-
-
-class Scorer:
-    """Model and words, with a worker's memory of contexts that it has met."""
-
-    def __init__(self, model: Model, words: tuple[np.ndarray, np.ndarray]) -> None:
-        self.model = model
-        self.keys, self.values = np.zeros(1 << CACHE_BITS, U64), np.zeros(1 << CACHE_BITS)
-        self.keys[:] = U64(0xFFFFFFFFFFFFFFFF)
-        self.words = np.zeros(1 << WORD_SLOT_BITS, U64)
-        h, c = words
-        at = (h >> U64(64 - WORD_SLOT_BITS)).astype(np.int64)
-        self.words[at] = h
-        self.logs = np.zeros(1 << WORD_SLOT_BITS)
-        self.logs[at] = np.log10(c + 0.1)  # of words with one slot the last stays; the others are rare
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        slot = (kernels.mix(code) >> U64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.values[slot]
-        miss = np.flatnonzero(self.keys[slot] != code)
-        if len(miss):
-            new, back = np.unique(code[miss], return_inverse=True)
-            value = np.concatenate([self.model.log10(new[i : i + (1 << 16)]) for i in range(0, len(new), 1 << 16)])
-            out[miss] = value[back]
-            at = (kernels.mix(new) >> U64(64 - CACHE_BITS)).astype(np.int64)
-            # of new contexts with one slot the last stays, key and value alike
-            self.keys[at], self.values[at] = new, value
-        return out
-
-
-#: A worker's last broadcast and what was made of it.
-_scorers: list[tuple[tuple, Scorer]] = []
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_found long, log_found double, score double, rare array<long>"
-
-
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    own = shared.value
-    if not _scorers or _scorers[0][0] is not own:
-        _scorers[:] = [(own, Scorer(*own))]
-    s = _scorers[0][1]
-    for ids, texts in _rows(batches):
-        code, first = codes(texts)
-        score = np.add.reduceat(s.log10(code), first[:-1])
-        words, at = kernels.words(texts)
-        slot = (words >> U64(64 - WORD_SLOT_BITS)).astype(np.int64)
-        found = s.words[slot] == words
-        logs = np.concatenate([np.zeros(1), np.cumsum(np.where(found, s.logs[slot], 0.0))])
-        n_found = np.concatenate([np.zeros(1, np.int64), np.cumsum(found)])
-        rare = words[~found].view(np.int64)
-        rare_at = at - n_found[at]
-        lists = pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(rare))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(np.diff(at) + 1), pa.array(np.diff(n_found[at])),
-            pa.array(logs[at[1:]] - logs[at[:-1]]), pa.array(score), lists,
-        ], [x.split()[0] for x in _SCORED.split(", ")])
-
-
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(kind, chunk, key, n) of all training texts: words, contexts with their byte, and texts."""
-    return written(docs.mapInArrow(_count, _COUNTS).groupBy("kind", "chunk", "key").agg(F.sum("n").alias("n")), "counts")
-
-
-def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words above the lowest power of two that at most `most` words reach."""
-    by_power = {int(r.p): r.words for r in words.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("words")).collect()}
-    power, total = 64, 0
-    while power and total + by_power.get(power - 1, 0) <= most:
-        power -= 1
-        total += by_power.get(power, 0)
-    if not total:
-        return np.zeros(0, U64), np.zeros(0)
-    got = words.where(F.col("n") >= F.lit(2.0**power)).select("key", "n").toArrow()
-    return got.column("key").to_numpy().view(U64), got.column("n").to_numpy().astype(float)
+                if not known:
+                    known = {kind: Answers(*(np.concatenate(x) for x in zip(*got, strict=True))) for kind, got in parts.items() if got}
+                    parts = {}
+                yield _scored(rows.column("doc_id"), _texts(rows.column("text")), known)
+            at = end
+
+
+def _scored(ids, texts: list[bytes], known: dict[int, Answers]) -> pa.RecordBatch:
+    n = len(texts)
+    score, n_tokens, n_known, logs = np.zeros(n), np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    for owner, before, body in stretches(texts):
+        code, first = codes(before, body)
+        np.add.at(score, owner, np.add.reduceat(known[GRAM](code).astype(float), first[:-1]))
+    at = 0
+    for group in kernels.grouped(texts):
+        words, first = kernels.words(group)
+        here = slice(at, at + len(group))
+        at += len(group)
+        n_tokens[here] += np.diff(first)
+        if len(words):
+            count = known[WORD](words)
+            for out, value in ((n_known, count > 0), (logs, np.log10(count + 0.1))):
+                sums = np.concatenate([np.zeros(1, value.dtype if value.dtype != bool else np.int64), np.cumsum(value)])
+                out[here] += sums[first[1:]] - sums[first[:-1]]
+    held = np.array([held_out(i) for i in ids.to_pylist()])
+    return _batch(_SCORED, n, doc_id=ids, held_out=held, n_tokens=n_tokens, n_known=n_known, log_known=logs, n_bytes=np.array([len(t) for t in texts]), score=score)
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document.
+
+    bits_per_byte is the code length of a text's bytes and its end for each of them.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = corpus_counts(docs)
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    texts = counts.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = min(max(size // PIECE_BYTES, LEAST_PIECES), MOST_PIECES)
+    asked = written(docs.mapInArrow(lambda b: _ask(b, pieces), _ASKED), "asked")
+    keys = asked.where(F.col("kind") < TEXT)
+    n_keys, parts, groups, texts = asked.agg(
+        F.sum(F.when(F.col("kind") < TEXT, F.col("n"))), F.max("part"), F.max("seq"), F.coalesce(F.sum(F.when(F.col("kind") == TEXT, F.col("n"))), F.lit(0)),
+    ).first()
+    n_keys, parts, groups = n_keys or 0, (0 if parts is None else parts) + 1, (groups or 0) + 1
+    counted = written(keys.select("kind", "piece", "keys", "counts").repartitionById(2 * pieces, F.expr("piece * 2 + kind")).mapInArrow(_count, _COUNTED), "counted")
+    tokens, distinct, n_grams = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)), F.count("key")).first()
     tokens, distinct = tokens + texts, distinct + (texts > 0)  # with the end token
-    shared = spark.sparkContext.broadcast((Model.of(counts.where(F.col("kind") == GRAM)), frequent_words(words)))
-    scored = docs.mapInArrow(lambda b: _score(b, shared), _SCORED).withColumn("row", F.monotonically_increasing_id())
-    scored = written(scored, "scored")
-    rare = scored.select("row", F.explode("rare").alias("key"))
-    log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1))
-    rare = rare.join(words, "key", "left").groupBy("row").agg(F.sum(log).alias("log_rare"), F.count("n").alias("n_rare"))
-    out = scored.drop("rare").join(rare, "row", "left")
-    end = math.log10(texts + 0.1)
-    base = F.col("log_found") + F.coalesce("log_rare", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(math.log10(tokens + 0.1 * (distinct + 1)))
-    known = F.col("n_found") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(texts > 0))
-    return out.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_grams // (4 * TREE_KEYS))
+    grams = counted.where(F.col("kind") == GRAM).select("key", "n").repartition(deal, F.shiftright("key", 32)).sortWithinPartitions("key")
+    sums = grams.mapInArrow(_roots, "node int, zeros double, ones double, below double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow()
+    top = Top(*(sums.column(i).to_numpy() for i in range(4)))
+
+    # Answers are copied to as many tasks as one piece's questions need.
+    copies = int(max(1, n_keys // (pieces * ANSWERED)))
+    answers = grams.mapInArrow(lambda b: _answers(b, top, pieces), _ANSWERS).unionByName(counted.where(F.col("kind") == WORD).select("kind", "piece", "keys", F.col("counts").alias("answers")))
+    answers = answers.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    questions = keys.select("kind", "piece", "part", "seq", "keys", F.expr(f"pmod(part + seq, {copies})").cast("int").alias("copy"))
+    both = questions.unionByName(answers, allowMissingColumns=True).repartitionById(pieces * copies, F.expr(f"piece * {copies} + copy"))
+    replies = both.sortWithinPartitions("kind", "piece", F.col("answers").isNull()).mapInArrow(_reply, _REPLIES)
+
+    told = replies.unionByName(asked.where(F.col("kind") == TEXT).select("kind", "part", "seq", "doc_id", "text"), allowMissingColumns=True)
+    told = told.repartitionById(parts * groups, F.expr(f"seq * {parts} + part")).sortWithinPartitions("seq", "part", F.col("kind") == TEXT)
+    out = told.mapInArrow(_score, _SCORED)
+    base = F.col("log_known") + F.lit(math.log10(texts + 0.1)) - F.col("n_tokens") * F.lit(math.log10(tokens + 0.1 * (distinct + 1)))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(texts > 0))).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
+        base.alias("base_score"), "score", (-F.col("score") * F.lit(math.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+    )

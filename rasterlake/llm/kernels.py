@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 U64 = np.uint64
-#: Texts are worked on in groups of about so many bytes; a longer text is a group of its own.
+#: Texts are worked on in groups of about so many bytes; a longer text is a group of its own, and
+#: is cut between words. Words as long as that are hashed apart, so that no array is longer.
 GROUP_BYTES = 3 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,10 +77,39 @@ def hashed(joined: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool)
     return mix((total[end] - total[start]) * down[start])
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def cut_text(text: bytes, most: int = GROUP_BYTES) -> Iterator[tuple[bytes, bool]]:
+    """A text in pieces of less than `most` bytes, cut after blanks; (word, True) for a word of `most` bytes or more."""
+    at, n = 0, len(text)
+    while n - at >= most:
+        end = max(text.rfind(c, at, at + most) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+        if end >= 0:
+            yield text[at : end + 1], False
+            at = end + 1
+        else:
+            found = _BLANK.search(text, at + most)
+            end = found.start() if found else n
+            yield text[at:end], True
+            at = end
+    yield text[at:], False
+
+
+def _long_word(word: bytes, lower: bool) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), U64)
+
+
 def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the place of its first word (one more at the end)."""
-    joined, start, end, first = spans(texts)
-    return hashed(joined, start, end, lower), first
+    if all(len(t) < GROUP_BYTES for t in texts):
+        joined, start, end, first = spans(texts)
+        return hashed(joined, start, end, lower), first
+    found = []
+    for t in texts:
+        own = [_long_word(piece, lower) if long else words([piece], lower)[0] for piece, long in cut_text(t)]
+        found.append(np.concatenate(own))
+    return np.concatenate(found), np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in found])])
 
 
 _TURN = mix(np.arange(101, 165, dtype=U64)) | U64(1)

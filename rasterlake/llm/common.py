@@ -21,11 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all is one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rasterlake-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -40,18 +42,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver forgets it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and outlives lost executors."""
+    """The rows as a table in the shared folder: cuts lineage and outlives lost executors.
+
+    The shuffle files of the query that makes it are of no use afterwards and go with its end.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table that written() made and that no later plan reads."""
+def remove(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that written() made and that no later plan reads."""
     jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+    for f in {x.rsplit("/", 1)[0] for df in tables for x in df.inputFiles()}:
         at = jvm.org.apache.hadoop.fs.Path(f)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -12,15 +12,21 @@ In the common order, the first shingle that a linked pair shares is posted by bo
 from 0, and nothing before it is shared: they share at most min(n - i, m - j). A list makes only the
 pairs that this bound lets link. It may rule out a pair in a list of a later common shingle, never
 in that of the first. Subsets have no rank and are bounded by the sizes alone.
-The pairs of lists of at most `FEW` members are all made.
-Longer lists may be large groups of near copies, so their pairs are never all made. Members are
-ranked by how much they share; rounds compare ranks 1, 2-4, 5-16, ... with the list's members that
-are not yet in the same component. When the ranks are used up, every pair that shares a list has
-been compared or was already connected: components are exact. Comparisons intersect whole sets.
+
+Lists may be large groups of near copies, so that their pairs are never all made. First every class
+goes to the longest of its lists and is compared with one member there, which gathers most groups at
+the cost of one pair a class. Then rounds compare the members of ranks 1, 2-4, 5-16, ... of each list
+with those of its members that are not yet in the same component. When the ranks are used up, every
+pair that shares a list has been compared or was already connected: components are exact.
+Comparisons intersect whole sets. Each class has a label, which is lowered along the links that a
+round finds; links between classes whose labels differ at the end join the last components. Tables
+of a round are deleted once the next is written.
 
 Shingles and classes are known by 64-bit hashes. Null and empty texts have no shingles and are
 linked with nothing; a text of fewer words than a shingle has one, its whole sequence; rows with
 null or repeated ids are kept, and a null id is never a component's id unless all its ids are null.
+Texts of any length are taken whole; ties between ranks go by class; an empty table gives an empty
+table; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,16 +34,17 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels
-from .common import written
+from .common import remove, written
 
 #: Cells of the table of shingle counts and of one piece of it.
 WIDTH, PIECE = 1 << 21, 1 << 16
@@ -45,8 +52,8 @@ WIDTH, PIECE = 1 << 21, 1 << 16
 MOST_SMALL = 16
 #: Cost of comparing a pair, in postings.
 PAIR_COST = 8
-#: Longest list of which all pairs are made; growth of the ranks that a round compares beyond.
-FEW, GROWTH = 32, 4
+#: Growth of the ranks that a round compares.
+GROWTH = 4
 
 
 def need(s: int, u: int, num: int, den: int) -> int:
@@ -166,14 +173,7 @@ def _signatures(batches, k: int, table, boundary: int, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lefts, pa.list_(pa.int64()))], names=["cid", "n", "sigs", "lefts"])
 
 
-def _sets(batches, k: int):
-    for b in batches:
-        texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-        sets = [s.tobytes() for s in kernels.shingle_sets(texts, k)]
-        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.binary())], names=["cid", "hashes"])
-
-
-def may_link(a: str, b: str, num: int, den: int):
+def may_link(a: str, b: str, num: int, den: int) -> Column:
     """Whether sets of n<a> and n<b> can link whose first common shingle leaves them left<a> and left<b>, itself included."""
     n_a, n_b, most = F.col(f"n{a}"), F.col(f"n{b}"), F.least(f"left{a}", f"left{b}")
     return den * most >= num * (n_a + n_b - most)
@@ -195,31 +195,111 @@ def components(links: DataFrame) -> DataFrame:
     Labels spread along links and are then looked up at the label itself, so that the rounds grow
     with the logarithm of the longest chain; each round is a table in the shared folder.
     """
+    spark = links.sparkSession
     both = written(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "links")
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     while True:
         near = both.join(labels.toDF("v", "l"), "v").groupBy("u").agg(F.min("l").alias("l"))
-        step = labels.join(near, labels["node"] == near["u"], "left").select("node", "label", F.least("label", "l").alias("next"))
-        step = written(step, "labels")
+        step = written(labels.join(near, labels["node"] == near["u"], "left").select("node", "label", F.least("label", "l").alias("next")), "labels")
         at = step.select(F.col("node").alias("next"), F.col("next").alias("further"))
         new = written(step.join(at, "next", "left").select("node", F.coalesce("further", "next").alias("label"), (F.col("label") != F.coalesce("further", "next")).alias("moved")), "labels")
+        remove(spark, labels, step)
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
+            remove(spark, both)
             return labels
 
 
-def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
-    if not links.limit(1).count() or not labelled.limit(1).count():
-        return labelled
-    new = components(links).withColumnRenamed("label", "new")
-    return labelled.join(new, labelled["cid"] == new["node"], "left").withColumn("label", F.coalesce("new", "label")).drop("node", "new")
+def _with_class(batches, k: int):
+    for _, texts in _texts(batches):
+        sets = [s for s in kernels.shingle_sets(texts, k) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "hashes"])
+
+
+def member_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(cid, hashes) of the classes in members (cid), one row each."""
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        # Some id does not name one row: sets are found by class among all texts.
+        sets = docs.mapInArrow(lambda b: _with_class(b, k), "cid long, hashes binary").join(members, "cid", "left_semi").dropDuplicates(["cid"])
+    else:
+        ids = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+        named = members.join(ids, "cid").select(F.col("doc_id").alias("named"))
+        texts = docs.join(named.hint("merge"), docs["doc_id"] == named["named"], "left_semi")
+        sets = texts.mapInArrow(lambda b: _with_class(b, k), "cid long, hashes binary")
+    return written(sets, "sets")
 
 
-def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n_shingles, cid; links between classes: a, b), with any unlinked classes left out.
+def shared_lists(signed: DataFrame) -> DataFrame:
+    """(sig, cid, n, left, size) of the lists that two classes or more have in common. size: postings, those of equal texts too."""
+    posted = signed.select("cid", "n", F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("lefts").alias("left")))).toDF("cid", "n", "sig", "left")
+    common = posted.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).cast("int").alias("size")).where("lo <> hi").select("sig", "size")
+    # The merge is asked for so that plans, and what they shuffle, are alike at every size.
+    return written(posted.join(common.hint("merge"), "sig").select("sig", "cid", "n", "left", "size").distinct(), "lists")
+
+
+def class_labels(docs: DataFrame, rows: DataFrame, lists: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(cid, label) of every class in lists; label is the same for the classes of a component."""
+    spark = docs.sparkSession
+    labels = written(lists.select("cid", F.col("cid").alias("label")).distinct(), "roots")
+    sets = member_sets(docs, rows, labels.select("cid"), k)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
+        return written(both.mapInArrow(lambda b: _linked(b, num, den), "a long, b long").distinct(), "found")
+
+    def hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """The labels after each has gone over to the least that a found link leads down to, twice."""
+        if not found.limit(1).count():
+            return labels
+        ends = found.join(labels.toDF("a", "root_a"), "a").join(labels.toDF("b", "root_b"), "b").where("root_a <> root_b")
+        down = ends.groupBy(F.greatest("root_a", "root_b").alias("high")).agg(F.min(F.least("root_a", "root_b")).alias("low"))
+        out = labels.join(down, labels["label"] == down["high"], "left").select("cid", F.coalesce("low", "label").alias("label"))
+        down = down.toDF("high", "lower")
+        out = out.join(down, out["label"] == down["high"], "left").select("cid", F.coalesce("lower", "label").alias("label"))
+        out = written(out, "roots")
+        remove(spark, labels)
+        return out
+
+    # One pair a class: with the first of those that have the same longest list.
+    best = lists.groupBy("cid").agg(F.max(F.struct("size", "sig", "n", "left")).alias("at")).select("cid", "at.sig", "at.n", "at.left")
+    first = best.groupBy("sig").agg(F.min(F.struct("cid", "n", "left")).alias("at")).select("sig", F.col("at.cid").alias("a"), F.col("at.n").alias("n_a"), F.col("at.left").alias("left_a"))
+    found = [compared(best.join(first, "sig").where((F.col("cid") != F.col("a")) & may_link("", "_a", num, den)).select("a", F.col("cid").alias("b")))]
+    labels = hooked(labels, found[0])
+
+    def still_open(lists: DataFrame, low: int) -> DataFrame:
+        labelled = lists.drop("label").join(labels, "cid")
+        several = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where(f"lo <> hi and members > {low}").select("sig")
+        return written(labelled.join(several, "sig", "left_semi").select("sig", "cid", "n", "left", "label"), "open")
+
+    rest, low, high = still_open(lists, 0), 0, 1
+    while rest.limit(1).count():
+        rank = F.row_number().over(Window.partitionBy("sig").orderBy("cid"))
+        pivots = rest.withColumn("rank", rank).where(f"rank <= {high}").where(f"rank > {low}").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("label").alias("label_a"))
+        # Ranks go by class: a member is compared with the pivots before it.
+        pairs = rest.join(pivots, "sig").where((F.col("label") != F.col("label_a")) & (F.col("cid") > F.col("a")) & may_link("", "_a", num, den))
+        found.append(compared(pairs.select("a", F.col("cid").alias("b")).distinct()))
+        labels = hooked(labels, found[-1])
+        before, rest = rest, still_open(rest, high)
+        remove(spark, before)
+        low, high = high, high * GROWTH
 
-    links holds every link that is needed for exact components, and each is exact.
+    # Links whose ends have different labels still: few, since each pass has taken every label down.
+    apart = reduce(DataFrame.union, found).join(labels.toDF("a", "root_a"), "a").join(labels.toDF("b", "root_b"), "b").where("root_a <> root_b")
+    apart = written(apart.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "apart")
+    if apart.limit(1).count():
+        new = components(apart).withColumnRenamed("label", "new")
+        labels = written(labels.join(new, labels["label"] == new["node"], "left").select("cid", F.coalesce("new", "label").alias("label")), "roots")
+    remove(spark, sets, rest, apart, *found)
+    return labels
+
+
+def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id of every row: linked means den * common >= num * union.
+
+    Rows with equal shingle sets have one class_id, null for those without shingles. component_id is
+    the smallest doc_id of the component, for rows without shingles their own.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = written(docs.mapInArrow(lambda b: _classes(b, k), _CLASSES), "classes")
     rows = classes.where("piece is null").select("doc_id", "n_shingles", "cid")
@@ -241,71 +321,18 @@ def class_links(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
     boundary = best_boundary({r.n: (r.sets, r.met) for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("met").alias("met")).collect()}, num, den)
 
     signed = written(docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>, lefts array<long>"), "signatures")
-    posted = signed.select("cid", "n", F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("lefts").alias("left")))).toDF("cid", "n", "sig", "left")
-    common = posted.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
-    common = common.where(f"lo <> hi and not (all = 2 and {den} * least < {num} * most)").select("sig")
-    lists = written(posted.join(common, "sig").select("sig", "cid", "n", "left").distinct(), "lists")
-    lists = written(lists.join(lists.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig"), "sized")
-
-    few = lists.where(f"size > 1 and size <= {FEW}").select("sig", "cid", "n", "left")
-    pairs = few.toDF("sig", "a", "n_a", "left_a").join(few.toDF("sig", "b", "n_b", "left_b"), "sig").where((F.col("a") < F.col("b")) & may_link("_a", "_b", num, den))
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-
-    many = lists.where(f"size > {FEW}")
-    score = written(many.groupBy("cid").agg(F.sum("size").alias("score")), "score")
-    wanted = score.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    ids = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    members = written(wanted.join(ids, "cid"), "members")
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"])).select("cid", "text")
-    sets = texts.mapInArrow(lambda b: _sets(b, k), "cid long, hashes binary")
-    repeated = rows.groupBy("doc_id").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi or doc_id is null")
-    if members.join(repeated, members["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").limit(1).count():
-        # some id does not name one text: sets are found by class
-        sets = docs.mapInArrow(lambda b: _with_class(b, k), "cid long, hashes binary").join(members.select("cid"), "cid", "left_semi")
-        sets = sets.dropDuplicates(["cid"])
-    sets = written(sets, "sets")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        return written(both.mapInArrow(lambda b: _linked(b, num, den), "a long, b long").distinct(), "found")
-
-    links = compared(pairs)
-    labelled = many.join(score, "cid").select("sig", "cid", "n", "left", "score", F.col("cid").alias("label"))
-    labelled = _relabelled(labelled, links)
-    low, high = 0, 1
-    while True:
-        open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > {low}").select("sig")
-        labelled = written(labelled.join(open_sigs, "sig", "left_semi"), "open")
-        if not labelled.limit(1).count():
-            break
-        rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "cid"))
-        pivots = labelled.withColumn("rank", rank).where(f"rank <= {high}").where(f"rank > {low}").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("label").alias("label_a"), F.col("score").alias("score_a"))
-        near = (F.col("label") != F.col("label_a")) & may_link("", "_a", num, den)
-        # The lower rank of two pivots of one round is compared with the other, not both ways.
-        pairs = labelled.join(pivots, "sig").where(near & ((F.col("score") < F.col("score_a")) | ((F.col("score") == F.col("score_a")) & (F.col("cid") > F.col("a"))))).select("a", F.col("cid").alias("b")).distinct()
-        found = compared(pairs)
-        links = links.union(found)
-        if found.limit(1).count():
-            labelled = _relabelled(labelled, links)
-        low, high = high, high * GROWTH
-    return rows, links
-
-
-def _with_class(batches, k: int):
-    for _, texts in _texts(batches):
-        sets = [s for s in kernels.shingle_sets(texts, k) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "hashes"])
+    lists = shared_lists(signed)
+    remove(spark, signed)
+    labels = class_labels(docs, rows, lists, k, num, den)
+    remove(spark, lists)
+    ids = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    of = ids.join(labels, "cid")
+    of = of.join(of.groupBy("label").agg(F.min("least").alias("all")), "label").select(F.col("cid").alias("linked"), "all")
+    ids = ids.join(of, ids["cid"] == of["linked"], "left").select("cid", F.coalesce("all", "least").alias("least"))
+    component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return rows.join(ids, "cid", "left").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), component.alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: linked means den * common >= num * union."""
-    rows, links = class_links(docs.sparkSession, docs, k, num, den)
-    ids = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    linked = links.limit(1).count()
-    if linked:
-        labels = components(links)
-        of = ids.join(labels, ids["cid"] == labels["node"])
-        least = of.groupBy("label").agg(F.min("least").alias("all"))
-        of = of.join(least, "label").select(F.col("cid").alias("linked_cid"), "all")
-        ids = ids.join(of, ids["cid"] == of["linked_cid"], "left").select("cid", F.coalesce("all", "least").alias("least"))
-    return rows.join(ids, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    """doc_id, n_shingles, component_id of every row."""
+    return jaccard_classes(docs, k, num, den).drop("class_id")

@@ -10,7 +10,9 @@ most tightly. The result is a list of runs: the pieces of a length with ranks fr
 consecutive sequences at one offset; a piece finds its run by its rank among those of its length.
 
 Null texts are empty: their one token is the end token. Repeated rows are packed as often as they
-occur; an empty table gives an empty table. No piece is dropped or shortened.
+occur, ties between pieces of one length go by doc_id, place and digest; an empty table gives an
+empty table; other columns than doc_id and text are not read. No piece is dropped or shortened; texts
+of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ GROUPS, SMALL = 160, 5
 #: Least pieces of a group: patterns are used a whole number of times, so few pieces want few sizes.
 PER_GROUP = 32
 TOKENIZER = "byte_bpe_50k"
+#: Rows of one length that are sorted in one task, and buckets that each length is dealt to at least.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
 #: Texts of these characters alone are encoded by the faster library of the same vocabulary and pattern.
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ‐-‧]*")
 _encoders: dict = {}
@@ -49,13 +53,12 @@ def encoder(name: str = TOKENIZER):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(public.path(f"{name}.json"))
-        slow.encode_special_tokens = True
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(public.path(f"{name}.tiktoken")).read_bytes().splitlines())}
         fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            # The fast one's pattern needs stack for long runs of blanks.
-            if len(text) < 1 << 20 and _PLAIN.fullmatch(text):
+            # The fast one's pattern needs stack for long runs of blanks, and it knows no special tokens.
+            if len(text) < 1 << 20 and "<|" not in text and _PLAIN.fullmatch(text):
                 return fast.encode_ordinary(text)
             return slow.encode(text, add_special_tokens=False).ids
 
@@ -85,44 +88,65 @@ def _tokenised(batches: Iterator[pa.RecordBatch], name: str, capacity: int) -> I
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
 
 
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best total value, and how often each size is taken, any number of times."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    sizes_up, values_up = sizes[order], values[order]
-    fits = np.searchsorted(sizes_up, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            v = best[c - sizes_up[:k]] + values_up[:k]
-            i = int(v.argmax())
-            if v[i] > best[c] + 1e-12:
-                best[c], took[c] = v[i], order[i]
-    count, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            count[took[c]] += 1
-            c -= int(sizes[took[c]])
-    return float(best[capacity]), count
-
-
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, by the linear programme with least bins for all of demand."""
-    k = len(sizes)
-    base = np.diag((capacity // sizes).astype(float))
-    for _ in range(rounds):
-        inverse = np.linalg.inv(base)
-        prices = np.maximum(inverse.sum(axis=0), 0)
-        value, column = knapsack(sizes, prices, capacity)
-        if value <= 1 + 1e-7:
+class Knapsack:
+    """Best total value of sizes, each any number of times, by pairs of pairs: for sizes of which at most four fit."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int) -> None:
+        if capacity // int(sizes.min()) > 4:
+            raise ValueError("more than four of the least size fit")
+        self.sizes, self.capacity = sizes, capacity
+        rest = np.arange(capacity + 1) - sizes[:, None]
+        self.rest, self.fits = np.maximum(rest, 0), rest >= 0
+
+    def best(self, values: np.ndarray) -> tuple[float, np.ndarray]:
+        """(value, how often each size is taken)."""
+        one, item = np.zeros(self.capacity + 1), np.full(self.capacity + 1, -1)
+        for i in np.argsort(values, kind="stable"):
+            if values[i] > 0:
+                one[self.sizes[i]], item[self.sizes[i]] = values[i], i
+        most = np.maximum.accumulate(one)
+        at = np.maximum.accumulate(np.where((one == most) & (item >= 0), np.arange(self.capacity + 1), 0))
+        both = np.where(self.fits, values[:, None] + most[self.rest], -1.0)
+        first = both.argmax(axis=0)
+        two = np.maximum(both[first, np.arange(self.capacity + 1)], 0)
+        split = int((two + two[::-1]).argmax())
+        count = np.zeros(len(self.sizes), np.int64)
+        for c in (split, self.capacity - split):
+            if two[c] > 0:
+                i = first[c]
+                count[i] += 1
+                j = item[at[c - self.sizes[i]]]
+                if j >= 0:
+                    count[j] += 1
+        return float(two[split] + two[self.capacity - split]), count
+
+
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used, by the linear programme with least bins for all of demand.
+
+    Columns come from the knapsack over the dual prices; the inverse of the basis is updated for
+    each, and made anew now and then. It ends when no column, by the bound that prices give, can
+    save one bin in ten thousand.
+    """
+    base, sack = np.diag((capacity // sizes).astype(float)), Knapsack(sizes, capacity)
+    inverse, now = np.diag(1 / np.diag(base)), demand / np.diag(base)
+    for turn in range(1, rounds + 1):
+        value, column = sack.best(np.maximum(inverse.sum(axis=0), 0))
+        if value <= 1 + 1e-7 or now.sum() * (1 - 1 / value) < 1e-4 * now.sum():
             break
-        now, step = inverse @ demand, inverse @ column
+        step = inverse @ column
         ratio = np.where(step > 1e-9, now / np.where(step > 1e-9, step, 1), np.inf)
-        base[:, int(ratio.argmin())] = column
+        out = int(ratio.argmin())
+        base[:, out] = column
+        if turn % 64:
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(base)
+        now = inverse @ demand
     use = np.linalg.inv(base) @ demand
-    return [(base[:, j].astype(np.int64), float(use[j])) for j in range(k) if use[j] > 0]
+    return [(base[:, j].astype(np.int64), float(use[j])) for j in range(len(sizes)) if use[j] > 0]
 
 
 class Bins:
@@ -237,7 +261,8 @@ def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity:
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length).count().collect()}
     runs, _ = plan(counts, capacity)
     table = spark.createDataFrame(runs, "__length long, __from long, __to long, __at long, offset long")
-    out = ranked(pieces.drop("offset", "sequence_id"), length, [F.col(c) for c in order], "__rank")
+    buckets = max(LEAST_BUCKETS, max(counts.values(), default=0) // BUCKET_ROWS)
+    out = ranked(pieces.drop("offset", "sequence_id"), length, [F.col(c) for c in order], "__rank", buckets)
     table = F.broadcast(table) if len(runs) <= BROADCAST_ROWS * 10 else table
     out = out.join(table, (F.col(length) == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     return out.withColumn("sequence_id", F.col("__at") + F.col("__rank") - F.col("__from")).drop("__length", "__from", "__to", "__at", "__rank")

@@ -53,8 +53,15 @@ def test_patterns_reach_the_optimum():
     # three of 600 fill as well as one of 1200 and one of 800: 60 / 3 + 50 / 1
     found = packing.patterns(np.array([1200, 800, 600]), np.array([50.0, 50.0, 60.0]), 2048)
     assert sum(x for _, x in found) == pytest.approx(70)
-    value, taken = packing.knapsack(np.array([3, 5]), np.array([4.0, 7.0]), 11)
-    assert value == 15 and list(taken) == [2, 1]
+    rng = random.Random(9)
+    for _ in range(50):
+        sizes = np.array(rng.sample(range(410, 2048), 12))
+        values = np.array([rng.choice([0, rng.random(), s / 2048]) for s in sizes])
+        value, taken = packing.Knapsack(sizes, 2048).best(values)
+        best = [0.0] * 2049
+        for c in range(2049):
+            best[c] = max([0.0, *(best[c - s] + v for s, v in zip(sizes, values, strict=True) if s <= c)])
+        assert value == pytest.approx(best[2048]) == pytest.approx((taken * values).sum()) and (taken * sizes).sum() <= 2048
 
 
 def test_fast_ids_equal_those_of_the_tokenizer():
@@ -62,15 +69,29 @@ def test_fast_ids_equal_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(6)
     plain = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028))]
     texts = ["".join(rng.choice(plain) for _ in range(rng.randint(0, 300))) for _ in range(300)]
-    texts += [f"a{c}b {c}1" for c in plain] + ["", "<|endoftext|> x", "  \n\n  a   b ", "漢字 🙂", " x\x1c y", "x" * 5000, " " * 5000, "it's we'll I'D"]
+    texts += [f"a{c}b {c}1" for c in plain] + ["", "<|endoftext|> x", "a<|endoftext|>", "<|end", "1 <| 2 |>", "  \n\n  a   b ", "漢字 🙂", " x\x1c y", "x" * 5000, " " * 5000, "it's we'll I'D"]
     encode = packing.encoder()
     assert [encode(x) for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_fast_ids_equal_those_of_the_tokenizer_on_a_whole_table(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encode = packing.encoder()
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_keep_their_ids(spark):
+    row = packing.packed_documents(spark.createDataFrame([(1, "<|endoftext|>")], "doc_id long, text string")).first()
+    assert (row.length, row.ids_crc32) == (2, zlib.crc32(np.array([50256, 0], "<u4").tobytes()))
+
+
 def test_documents_come_back(spark, docs, rows):
     got = packing.packed_documents(docs).collect()
     encode = packing.encoder()

@@ -1,14 +1,17 @@
 """Operator 8: sharding by Hilbert-curve order, in DataFrame functions only.
 
-Four metadata dimensions (source, lang, length, doc_id) are cut into 16 levels each at their
-quantiles; the cell's index on the Hilbert curve orders the documents, and runs of that order are
-the shards. Neighbours on the curve are neighbours in every dimension, so a shard spans a small
-box of metadata and a filter on any dimension skips shards by their least and largest values.
+Four metadata dimensions (source, lang, length, doc_id) are cut into 16 levels each: numbers at their
+quantiles, strings by the share of rows with a lesser one, whole strings compared by code point. The
+cell's index on the Hilbert curve orders the documents, and runs of that order are the shards.
+Neighbours on the curve are neighbours in every dimension, so a shard spans a small box of metadata
+and a filter on any dimension skips shards by their least and largest values.
 
 Law `rows`: runs of equal counts, at most one apart. Law `bytes`: runs of near equal bytes, a
 document going where its middle lies. Places come from counts by cell (at most 65,536) and by hash
-bucket within a cell, so that no task sorts a hot cell. A null counts as below every value; null
-texts have size 1; repeated rows get places of their own; an empty table gives an empty table.
+bucket within a cell, so that no task sorts a hot cell; ties of a bucket go by doc_id, digest and
+size. A null counts as below every value; null texts have size 1, long ones count whole; repeated
+rows get places of their own; an empty table gives an empty table; columns shard and slot of the
+input are replaced, others than the four dimensions and text are not read.
 """
 
 from __future__ import annotations
@@ -17,27 +20,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ranked, text_of, written
+from .common import ranked, text_of, with_small, written
 
 BITS, SHARDS = 4, 8
 LEVELS = 1 << BITS
+#: Rows for each bucket of a cell.
+BUCKET_ROWS = 100_000
 
 
-def prefix_number(name: str) -> Column:
-    """A string's first seven bytes as a number: its order is the strings', up to ties."""
-    raw = F.concat(F.encode(F.col(name).cast("string"), "UTF-8"), F.lit(bytes(7)))
-    return F.conv(F.hex(F.substring(raw, 1, 7)), 16, 10).cast("long")
+def string_levels(df: DataFrame, name: str, levels: int = LEVELS) -> DataFrame:
+    """(name, level) of each distinct string: the level in which the share of rows before it falls.
+
+    Distinct strings are dealt by ranges and summed within them, so that any number of them will do.
+    """
+    n = df.groupBy(name).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(F.asc_nulls_first(name))
+    n = written(n.withColumn("__part", F.spark_partition_id()), "strings")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = n.groupBy("__part").agg(F.sum("__n").alias("__own"))
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.select("__part", F.coalesce(F.sum("__own").over(before(Window.orderBy("__part"))), F.lit(0)).alias("__start"), F.sum("__own").over(whole).alias("__all"))
+    within = F.coalesce(F.sum("__n").over(before(Window.partitionBy("__part").orderBy(F.asc_nulls_first(name)))), F.lit(0))
+    n = n.withColumn("__before", within).join(parts, "__part")
+    return n.select(name, F.expr(f"cast((__start + __before) * {levels} div __all as int)").alias("__level"))
 
 
 def quantised(df: DataFrame, dims: dict[str, Column], levels: int = LEVELS) -> DataFrame:
-    """df with a column __x<i> of 0 to levels - 1 for each dimension, cut at quantiles of all rows."""
+    """df with a column __x<i> of 0 to levels - 1 for each dimension, as numbers or strings of all rows."""
     shares = F.array(*(F.lit(i / levels) for i in range(1, levels)))
-    cuts = df.agg(*(F.percentile_approx(e, shares, 10_000).alias(f"c{i}") for i, e in enumerate(dims.values()))).first()
-    for i, e in enumerate(dims.values()):
-        own = sorted(set(cuts[i] or ()))
+    kinds = df.select(*(e.alias(f"__v{i}") for i, e in enumerate(dims.values()))).schema
+    numbers = [i for i, f in enumerate(kinds) if f.dataType.simpleString() != "string"]
+    exprs = list(dims.values())
+    cuts = df.agg(F.count(F.lit(1)), *(F.percentile_approx(exprs[i], shares, 10_000) for i in numbers)).first()[1:]
+    for i, e in enumerate(exprs):
         df = df.withColumn(f"__v{i}", e)
-        level = sum(((F.col(f"__v{i}") > F.lit(x)).cast("int") for x in own), F.lit(0))
-        df = df.withColumn(f"__x{i}", F.coalesce(level, F.lit(0))).drop(f"__v{i}")
+        if i in numbers:
+            own = sorted(set(cuts[numbers.index(i)] or ()))
+            level = sum(((F.col(f"__v{i}") > F.lit(x)).cast("int") for x in own), F.lit(0))
+            df = df.withColumn(f"__x{i}", F.coalesce(level, F.lit(0)))
+        else:
+            df = with_small(df, written(string_levels(df, f"__v{i}", levels), "string-levels"), f"__v{i}").withColumnRenamed("__level", f"__x{i}")
+        df = df.drop(f"__v{i}")
     return df
 
 
@@ -86,7 +108,7 @@ def placed(df: DataFrame, dims: dict[str, Column], tie: list[Column], size: Colu
     before = Window.orderBy("__hilbert").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("__hilbert", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__w0"))
     total, weight = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("__size"), F.lit(0))).first()
-    out = ranked(df, "__hilbert", tie, "__r", weigh="__size")
+    out = ranked(df, "__hilbert", tie, "__r", max(64, total // BUCKET_ROWS), weigh="__size")
     out = out.join(F.broadcast(cells), "__hilbert")  # at most 2 ** (bits * dimensions) rows
     rank = F.col("__n0") + F.col("__r")
     if law == "rows":
@@ -110,7 +132,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows") ->
     text = text_of()
     df = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.char_length(text).alias("length"), source.alias("source"), lang.alias("lang"))
     df = written(df, "shard-meta")
-    dims = {"source": prefix_number("source"), "lang": prefix_number("lang"), "length": F.col("length").cast("long"), "doc_id": F.col("doc_id").cast("long")}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "length": F.col("length").cast("long"), "doc_id": F.col("doc_id").cast("long")}
     out = placed(df, dims, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("size"), shards, law)
     return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

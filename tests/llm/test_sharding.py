@@ -49,3 +49,41 @@ def test_empty_one_row_and_clashing_names(spark, empty, docs, clashing):
     one = spark.createDataFrame([(None, None, None, None)], "doc_id long, text string, lang string, source string")
     assert [(r.size, r.shard, r.slot) for r in sharding.shard_documents(one).collect()] == [(1, 0, 0)]
     assert sharding.shard_documents(clashing).count() == docs.count()
+
+
+def test_levels_and_order_equal_brute_force(spark, rows):
+    """Each shard is a run of the curve's cells, which follow from quantiles and from shares of strings."""
+    prefix = "a common start of more than seven bytes/"
+    own = [(r[0], r[1], r[2], None if r[3] is None else prefix + r[3]) for r in rows]
+    df = spark.createDataFrame(own, "doc_id long, text string, lang string, source string")
+    low = lambda x: (x is not None, x)
+
+    def cuts(values):
+        v = sorted(x for x in values if x is not None)
+        return sorted({v[max(-(-i * len(v) // 16) - 1, 0)] for i in range(1, 16)})
+
+    def strings(values):
+        return {x: 16 * sum(low(y) < low(x) for y in values) // len(values) for x in set(values)}
+
+    source, lang = strings([r[3] for r in own]), strings([r[2] for r in own])
+    assert len(set(source.values())) > 3
+    lengths, ids = cuts([len(r[1] or "") for r in own]), cuts([r[0] for r in own])
+    level = lambda x, c: sum(x > y for y in c) if x is not None else 0
+    after, digit = sharding.hilbert_tables(4)
+
+    def place(r):
+        x = (source[r[3]], lang[r[2]], level(len(r[1] or ""), lengths), level(r[0], ids))
+        state = index = 0
+        for b in reversed(range(sharding.BITS)):
+            at = state * 16 + sum((x[i] >> b & 1) << i for i in range(4))
+            index, state = index * 16 + digit[at], after[at]
+        return index
+
+    cells = {}
+    for r in own:
+        cells.setdefault((r[0], zlib.crc32((r[1] or "").encode())), []).append(place(r))
+    got = sorted(sharding.shard_documents(df).collect(), key=lambda r: (r.shard, r.slot))
+    order = [cells[r.doc_id, r.text_crc32] for r in got]
+    assert all(max(a) >= min(b) or a <= b for a, b in zip(order, order[1:], strict=False))
+    certain = [c[0] for c in order if len(set(c)) == 1]
+    assert certain == sorted(certain) and len(certain) > len(order) * 0.8

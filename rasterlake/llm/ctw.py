@@ -15,7 +15,8 @@ to every task. Instead, groups of texts ask for what they need:
 2. A piece's counts are added up, then contexts are sorted so that all contexts with the same last
    two bytes meet. Their subtrees are worked out one after the other, twice: first for the sums of
    the nodes at depth 1, of which 65,280 are possible, then for the probability of each key.
-3. Each piece answers each group's keys, and a group's texts are scored with its answers alone.
+3. Each piece answers each group's keys in their order, and a group's texts, which travel packed, are
+   scored with its answers alone.
 
 Memory follows the size of a group, the distinct keys of a piece and the contexts with two bytes in
 common. Words are known by 64-bit hashes. A long text is scored in stretches that carry its context.
@@ -159,7 +160,7 @@ class Tally:
         return self.parts[0]
 
 
-_ASKED = "kind int, part int, seq int, piece int, doc_id long, text binary, keys binary, counts binary, n long"
+_ASKED = "kind int, part int, seq int, piece int, texts binary, ids binary, sizes binary, keys binary, counts binary, n long"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
@@ -179,6 +180,38 @@ def _texts(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _packed(ids: list, texts: list[bytes]) -> dict:
+    """Documents as columns of one row; a size below 0 tells a null id."""
+    sizes = np.array([len(t) if i is not None else -1 - len(t) for i, t in zip(ids, texts, strict=True)], np.int64)
+    return {"texts": [zlib.compress(b"".join(texts), 1)], "ids": [np.array([i or 0 for i in ids], np.int64).tobytes()], "sizes": [sizes.tobytes()]}
+
+
+def _unpacked(texts: bytes, ids: bytes, sizes: bytes) -> tuple[list, list[bytes]]:
+    raw, own, n = zlib.decompress(texts), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(sizes, np.int64)
+    ends = np.cumsum(np.where(n < 0, -1 - n, n)).tolist()
+    return [i if x >= 0 else None for i, x in zip(own, n, strict=True)], [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _tally(tallies: dict[int, Tally], texts: list[bytes], learnt: np.ndarray) -> None:
+    """Adds the keys of texts, and how often those that are learnt from have them."""
+    def add(kind: int, keys: np.ndarray, trains: np.ndarray) -> None:
+        own = keys[trains]
+        if len(own):
+            tallies[kind].add(*np.unique(own, return_counts=True))
+        if len(own) < len(keys):
+            others = np.unique(keys[~trains])
+            tallies[kind].add(others, np.zeros(len(others), np.int64))
+
+    for owner, before, body in stretches(texts):
+        code, first = codes(before, body)
+        add(GRAM, code, np.repeat(learnt[owner], np.diff(first)))
+    start = 0
+    for group in kernels.grouped(texts):
+        words, first = kernels.words(group)
+        add(WORD, words, np.repeat(learnt[start : start + len(group)], np.diff(first)))
+        start += len(group)
+
+
 def _ask(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.RecordBatch]:
     part, seq = TaskContext.get().partitionId(), 0
     tallies, size = {WORD: Tally(), GRAM: Tally()}, 0
@@ -189,29 +222,16 @@ def _ask(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.RecordBa
                 yield _batch(_ASKED, 1, kind=kind, part=part, seq=seq, piece=p, keys=[packed_keys(keys)], counts=[planes(n.astype(np.uint32))], n=len(keys))
 
     for b in batches:
-        ids, at = b.column("doc_id").to_pylist(), 0
-        texts = _texts(b.column("text"))
+        ids, texts, at = b.column("doc_id").to_pylist(), _texts(b.column("text")), 0
         while at < len(texts):
-            end, room = at, GROUP_BYTES - size
+            end, room = at, STRETCH
             while end < len(texts) and (room > 0 or end == at):
                 room -= len(texts[end])
                 end += 1
-            own = texts[at:end]
             learnt = np.array([not held_out(i) for i in ids[at:end]])
-            yield _batch(_ASKED, len(own), kind=TEXT, part=part, seq=seq, doc_id=b.column("doc_id")[at:end], text=b.column("text")[at:end], n=learnt.astype(np.int64))
-            for owner, before, body in stretches(own):
-                code, first = codes(before, body)
-                trains = np.repeat(learnt[owner], np.diff(first))
-                for keys, n in (np.unique(code[trains], return_counts=True), (x := np.unique(code[~trains]), np.zeros(len(x), np.int64))):
-                    tallies[GRAM].add(keys, n)
-            start = 0
-            for group in kernels.grouped(own):
-                words, first = kernels.words(group)
-                trains = np.repeat(learnt[start : start + len(group)], np.diff(first))
-                start += len(group)
-                for keys, n in (np.unique(words[trains], return_counts=True), (x := np.unique(words[~trains]), np.zeros(len(x), np.int64))):
-                    tallies[WORD].add(keys, n)
-            size += sum(map(len, own))
+            yield _batch(_ASKED, 1, kind=TEXT, part=part, seq=seq, n=int(learnt.sum()), **_packed(ids[at:end], texts[at:end]))
+            _tally(tallies, texts[at:end], learnt)
+            size += sum(map(len, texts[at:end]))
             at = end
             if size >= GROUP_BYTES or any(t.held > GROUP_KEYS and len(t.sum()[0]) > GROUP_KEYS for t in tallies.values()):
                 yield from asked()
@@ -402,11 +422,11 @@ def _answers(batches: Iterator[pa.RecordBatch], top: Top, pieces: int) -> Iterat
             yield _batch(_ANSWERS, 1, kind=GRAM, piece=p, keys=[packed_keys(k)], answers=[planes(value)])
 
 
-_REPLIES = "kind int, part int, seq int, doc_id long, text binary, keys binary, answers binary"
+_REPLIES = "kind int, part int, seq int, piece int, texts binary, ids binary, sizes binary, answers binary"
 
 
 def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For sorted rows (kind, piece, answers first): each group's keys with their answers."""
+    """For sorted rows (kind, piece, answers first): the answers to each group's keys, in their order."""
     of, parts, keys, answers = None, [], None, None
     for b in batches:
         for kind, piece, part, seq, k, a in zip(*(b.column(c).to_pylist() for c in ("kind", "piece", "part", "seq", "keys", "answers")), strict=True):
@@ -420,7 +440,7 @@ def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(keys)
                 keys, answers, parts = keys[order], answers[order], []
             got = answers[np.searchsorted(keys, unpacked_keys(k))]
-            yield _batch(_REPLIES, 1, kind=kind, part=part, seq=seq, keys=[k], answers=[planes(got if kind == WORD else got.astype(np.float32))])
+            yield _batch(_REPLIES, 1, kind=kind, part=part, seq=seq, piece=piece, answers=[planes(got if kind == WORD else got.astype(np.float32))])
 
 
 class Answers:
@@ -448,31 +468,38 @@ class Answers:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, n_bytes long, score double"
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows sorted by group with its answers first: each text's sums."""
-    of, parts, known = None, {}, {}
+def _score(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by group: each text's sums. A group's keys are found again, in the order of its questions."""
+    of, texts, told = None, [], {}
+
+    def finished():
+        tallies = {WORD: Tally(), GRAM: Tally()}
+        for row in texts:
+            _, own = _unpacked(*row)
+            _tally(tallies, own, np.zeros(len(own), bool))
+        known = {}
+        for kind, tally in tallies.items():
+            parts = [(k, unplanes(told[kind, p], float if kind == WORD else np.float32)) for p, k in by_piece(pieces, tally.sum()[0])]
+            if parts:
+                known[kind] = Answers(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for row in texts:
+            yield _scored(*_unpacked(*row), known)
+
     for b in batches:
-        group = list(zip(b.column("part").to_pylist(), b.column("seq").to_pylist(), (k == TEXT for k in b.column("kind").to_pylist()), strict=True))
-        at = 0
-        while at < len(group):
-            end = at
-            while end < len(group) and group[end] == group[at]:
-                end += 1
-            rows = b.slice(at, end - at)
-            if of != group[at][:2]:
-                of, parts, known = group[at][:2], {WORD: [], GRAM: []}, {}
-            if not group[at][2]:
-                for kind, keys, values in zip(*(rows.column(c).to_pylist() for c in ("kind", "keys", "answers")), strict=True):
-                    parts[kind].append((unpacked_keys(keys), unplanes(values, float if kind == WORD else np.float32)))
+        for kind, part, seq, piece, answers, *row in zip(*(b.column(c).to_pylist() for c in ("kind", "part", "seq", "piece", "answers", "texts", "ids", "sizes")), strict=True):
+            if of != (part, seq):
+                if texts:
+                    yield from finished()
+                of, texts, told = (part, seq), [], {}
+            if kind == TEXT:
+                texts.append(row)
             else:
-                if not known:
-                    known = {kind: Answers(*(np.concatenate(x) for x in zip(*got, strict=True))) for kind, got in parts.items() if got}
-                    parts = {}
-                yield _scored(rows.column("doc_id"), _texts(rows.column("text")), known)
-            at = end
+                told[kind, piece] = answers
+    if texts:
+        yield from finished()
 
 
-def _scored(ids, texts: list[bytes], known: dict[int, Answers]) -> pa.RecordBatch:
+def _scored(ids: list, texts: list[bytes], known: dict[int, Answers]) -> pa.RecordBatch:
     n = len(texts)
     score, n_tokens, n_known, logs = np.zeros(n), np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
     for owner, before, body in stretches(texts):
@@ -489,7 +516,7 @@ def _scored(ids, texts: list[bytes], known: dict[int, Answers]) -> pa.RecordBatc
             for out, value in ((n_known, count > 0), (logs, np.log10(count + 0.1))):
                 sums = np.concatenate([np.zeros(1, value.dtype if value.dtype != bool else np.int64), np.cumsum(value)])
                 out[here] += sums[first[1:]] - sums[first[:-1]]
-    held = np.array([held_out(i) for i in ids.to_pylist()])
+    held = np.array([held_out(i) for i in ids])
     return _batch(_SCORED, n, doc_id=ids, held_out=held, n_tokens=n_tokens, n_known=n_known, log_known=logs, n_bytes=np.array([len(t) for t in texts]), score=score)
 
 
@@ -502,7 +529,7 @@ def scores(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     pieces = min(max(size // PIECE_BYTES, LEAST_PIECES), MOST_PIECES)
-    asked = written(docs.mapInArrow(lambda b: _ask(b, pieces), _ASKED), "asked")
+    asked = written(docs.mapInArrow(lambda b: _ask(b, pieces), _ASKED), "asked", "zstd")
     keys = asked.where(F.col("kind") < TEXT)
     n_keys, parts, groups, texts = asked.agg(
         F.sum(F.when(F.col("kind") < TEXT, F.col("n"))), F.max("part"), F.max("seq"), F.coalesce(F.sum(F.when(F.col("kind") == TEXT, F.col("n"))), F.lit(0)),
@@ -525,9 +552,9 @@ def scores(docs: DataFrame) -> DataFrame:
     both = questions.unionByName(answers, allowMissingColumns=True).repartitionById(pieces * copies, F.expr(f"piece * {copies} + copy"))
     replies = both.sortWithinPartitions("kind", "piece", F.col("answers").isNull()).mapInArrow(_reply, _REPLIES)
 
-    told = replies.unionByName(asked.where(F.col("kind") == TEXT).select("kind", "part", "seq", "doc_id", "text"), allowMissingColumns=True)
-    told = told.repartitionById(parts * groups, F.expr(f"seq * {parts} + part")).sortWithinPartitions("seq", "part", F.col("kind") == TEXT)
-    out = told.mapInArrow(_score, _SCORED)
+    told = replies.unionByName(asked.where(F.col("kind") == TEXT).select("kind", "part", "seq", "texts", "ids", "sizes"), allowMissingColumns=True)
+    told = told.repartitionById(parts * groups, F.expr(f"seq * {parts} + part")).sortWithinPartitions("seq", "part")
+    out = told.mapInArrow(lambda b: _score(b, pieces), _SCORED)
     base = F.col("log_known") + F.lit(math.log10(texts + 0.1)) - F.col("n_tokens") * F.lit(math.log10(tokens + 0.1 * (distinct + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(texts > 0))).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),

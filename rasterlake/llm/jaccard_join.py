@@ -18,7 +18,9 @@ goes to the longest of its lists and is compared with one member there, which ga
 the cost of one pair a class. Then rounds compare the members of ranks 1, 2-4, 5-16, ... of each list
 with those of its members that are not yet in the same component. When the ranks are used up, every
 pair that shares a list has been compared or was already connected: components are exact.
-Comparisons intersect whole sets. Each class has a label, which is lowered along the links that a
+A pair is first judged by the classes' sketches: `SKETCH_BITS` parities of shingle hashes, of which no
+more can differ than shingles do, so that a pair is ruled out only if it can't link. What is left, links
+for the most part, is compared by intersecting whole sets. Each class has a label, which is lowered along the links that a
 round finds; links between classes whose labels differ at the end join the last components. Tables
 of a round are deleted once the next is written.
 
@@ -53,7 +55,8 @@ MOST_SMALL = 16
 #: Cost of comparing a pair, in postings.
 PAIR_COST = 8
 #: Growth of the ranks that a round compares.
-GROWTH = 4
+GROWTH = 16
+SKETCH_BITS = 512
 
 
 def need(s: int, u: int, num: int, den: int) -> int:
@@ -152,10 +155,23 @@ def _subsets(s: np.ndarray, boundary: int, num: int, den: int) -> Iterator[int]:
                 yield int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """For each of SKETCH_BITS cells whether the number of hashes in it is odd, as words of 64 bits."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_be_near(num: int, den: int) -> Column:
+    """Whether sets with sketches bits_a and bits_b, of n_a and n_b shingles, can link."""
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
+    return den * most >= num * (F.col("n_a") + F.col("n_b") - most)
+
+
 def _signatures(batches, k: int, table, boundary: int, num: int, den: int):
     table, seen = table.value, set()
     for _, texts in _texts(batches):
-        cids, sizes, sigs, lefts = [], [], [], []
+        cids, sizes, sigs, lefts, bits = [], [], [], [], []
         for s in kernels.shingle_sets(texts, k):
             n = len(s)
             if not n or (cid := _class_id(s)) in seen:
@@ -170,7 +186,8 @@ def _signatures(batches, k: int, table, boundary: int, num: int, den: int):
             sizes.append(n)
             sigs.append(own)
             lefts.append(left)
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lefts, pa.list_(pa.int64()))], names=["cid", "n", "sigs", "lefts"])
+            bits.append(sketch(s))
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lefts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["cid", "n", "sigs", "lefts", "bits"])
 
 
 def may_link(a: str, b: str, num: int, den: int) -> Column:
@@ -237,15 +254,21 @@ def shared_lists(signed: DataFrame) -> DataFrame:
     return written(posted.join(common.hint("merge"), "sig").select("sig", "cid", "n", "left", "size").distinct(), "lists")
 
 
-def class_labels(docs: DataFrame, rows: DataFrame, lists: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def class_labels(docs: DataFrame, rows: DataFrame, signed: DataFrame, lists: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(cid, label) of every class in lists; label is the same for the classes of a component."""
     spark = docs.sparkSession
     labels = written(lists.select("cid", F.col("cid").alias("label")).distinct(), "roots")
+    sketches = written(signed.select("cid", "n", "bits").join(labels.select("cid").hint("merge"), "cid", "left_semi").dropDuplicates(["cid"]), "sketches")
+    remove(spark, signed)
     sets = member_sets(docs, rows, labels.select("cid"), k)
 
     def compared(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sketches.toDF("b", "n_b", "bits_b"), "b").join(sketches.toDF("a", "n_a", "bits_a"), "a")
+        pairs = written(near.where(may_be_near(num, den)).select("a", "b"), "near")
         both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-        return written(both.mapInArrow(lambda b: _linked(b, num, den), "a long, b long").distinct(), "found")
+        found = written(both.mapInArrow(lambda b: _linked(b, num, den), "a long, b long").distinct(), "found")
+        remove(spark, pairs)
+        return found
 
     def hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
         """The labels after each has gone over to the least that a found link leads down to, twice."""
@@ -289,15 +312,16 @@ def class_labels(docs: DataFrame, rows: DataFrame, lists: DataFrame, k: int, num
     if apart.limit(1).count():
         new = components(apart).withColumnRenamed("label", "new")
         labels = written(labels.join(new, labels["label"] == new["node"], "left").select("cid", F.coalesce("new", "label").alias("label")), "roots")
-    remove(spark, sets, rest, apart, *found)
+    remove(spark, sketches, sets, rest, apart, *found)
     return labels
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row: linked means den * common >= num * union.
+    """doc_id, n_shingles, class_id, label, component_id of every row: linked means den * common >= num * union.
 
-    Rows with equal shingle sets have one class_id, null for those without shingles. component_id is
-    the smallest doc_id of the component, for rows without shingles their own.
+    Rows with equal shingle sets have one class_id, those of one component one label; both are null
+    for rows without shingles. component_id is the smallest doc_id of the component, for rows
+    without shingles their own.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -320,19 +344,49 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     small = classes.where("small is not null").dropDuplicates(["cid"]).select("small").mapInArrow(met, "n long, met double")
     boundary = best_boundary({r.n: (r.sets, r.met) for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("met").alias("met")).collect()}, num, den)
 
-    signed = written(docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>, lefts array<long>"), "signatures")
+    signed = written(docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>, lefts array<long>, bits array<long>"), "signatures")
     lists = shared_lists(signed)
-    remove(spark, signed)
-    labels = class_labels(docs, rows, lists, k, num, den)
+    labels = class_labels(docs, rows, signed, lists, k, num, den)
     remove(spark, lists)
     ids = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     of = ids.join(labels, "cid")
-    of = of.join(of.groupBy("label").agg(F.min("least").alias("all")), "label").select(F.col("cid").alias("linked"), "all")
-    ids = ids.join(of, ids["cid"] == of["linked"], "left").select("cid", F.coalesce("all", "least").alias("least"))
+    of = of.join(of.groupBy("label").agg(F.min("least").alias("all")), "label").select(F.col("cid").alias("linked"), "label", "all")
+    ids = ids.join(of, ids["cid"] == of["linked"], "left").select("cid", F.coalesce("label", "cid").alias("label"), F.coalesce("all", "least").alias("least"))
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return rows.join(ids, "cid", "left").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), component.alias("component_id"))
+    return rows.join(ids, "cid", "left").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), "label", component.alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return jaccard_classes(docs, k, num, den).drop("class_id")
+    return jaccard_classes(docs, k, num, den).drop("class_id", "label")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs (doc_id, text and others) without near duplicates: one row of each component stays.
+
+    That is a row with the smallest doc_id; where rows of one component share it, or have no doc_id,
+    the one with the least class, and of rows of one class any. Rows without words all stay. Rows are
+    told apart by doc_id where each has its own, else by doc_id and class.
+    """
+    found = written(jaccard_classes(docs, k, num, den), "groups")
+    own = found.where("class_id is not null")
+    stays = own.where("doc_id <=> component_id").groupBy("label").agg(F.min("class_id").alias("__class"), F.first("component_id").alias("__id"))
+    gone = own.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
+    several = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__several")), "several")
+    if not several.limit(1).count():
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    once = docs.join(several, docs["doc_id"].eqNullSafe(several["__several"]), "left_anti")
+    once = once.join(gone, once["doc_id"] == gone["__gone"], "left_anti")
+
+    @F.pandas_udf("long")
+    def class_of(col):
+        import pandas as pd
+
+        texts = [t.encode("utf-8", "surrogatepass") for t in col.fillna("")]
+        return pd.Series([_class_id(s) if len(s) else None for s in kernels.shingle_sets(texts, k)], index=col.index, dtype="Int64")
+
+    more = docs.join(several, docs["doc_id"].eqNullSafe(several["__several"]), "left_semi").withColumn("__of", class_of(F.col("text").cast("string")))
+    more = written(more, "repeated")
+    wordless = more.where("__of is null").drop("__of")
+    more = more.join(stays, (more["__of"] == stays["__class"]) & more["doc_id"].eqNullSafe(stays["__id"]), "left_semi").dropDuplicates(["doc_id", "__of"]).drop("__of")
+    return once.unionByName(wordless).unionByName(more)

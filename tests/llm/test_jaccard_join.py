@@ -90,6 +90,23 @@ def test_subsets_meet_whenever_sets_link():
             assert x & y
 
 
+def test_sketches_rule_out_no_link(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(4), []
+    for i in range(400):
+        a = rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64)
+        keep = a[rng.random(len(a)) < rng.choice([0.3, 0.6, 0.85, 0.9, 0.95, 1])]
+        b = np.concatenate([keep, rng.integers(0, 1 << 63, rng.integers(0, 1 + len(a) // 10), dtype=np.uint64)])
+        if len(b):
+            common = len(np.intersect1d(a, b))
+            rows.append((i, len(a), jj.sketch(a), len(b), jj.sketch(b), bool(100 * common >= 85 * (len(a) + len(b) - common))))
+    df = spark.createDataFrame(rows, "i int, n_a long, bits_a array<long>, n_b long, bits_b array<long>, links boolean")
+    got = df.select("links", jj.may_be_near(85, 100).alias("near")).collect()
+    assert all(r.near for r in got if r.links) and sum(r.links for r in got) > 50
+    assert sum(r.near for r in got) < 1.5 * sum(r.links for r in got)
+
+
 def test_boundary_follows_cost():
     cheap = {s: (100, 0.0) for s in range(1, 17)}
     dear = {s: (100, 50.0) for s in range(1, 17)}

@@ -20,7 +20,7 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _rising(n: int) -> tuple[np.ndarray, np.ndarray]:
+def rising(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i below n at least."""
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
@@ -70,7 +70,7 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def hashed(joined: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     """Hashes of the stretches from start to end."""
-    up, down = _rising(len(joined) + 1)
+    up, down = rising(len(joined) + 1)
     total = np.empty(len(joined) + 1, U64)
     total[0] = 0
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[joined] * up[: len(joined)], out=total[1:])
@@ -96,7 +96,7 @@ def cut_text(text: bytes, most: int = GROUP_BYTES) -> Iterator[tuple[bytes, bool
     yield text[at:], False
 
 
-def _long_word(word: bytes, lower: bool) -> np.ndarray:
+def long_word(word: bytes, lower: bool) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), U64)
 
 
@@ -107,7 +107,7 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
         return hashed(joined, start, end, lower), first
     found = []
     for t in texts:
-        own = [_long_word(piece, lower) if long else words([piece], lower)[0] for piece, long in cut_text(t)]
+        own = [long_word(piece, lower) if long else words([piece], lower)[0] for piece, long in cut_text(t)]
         found.append(np.concatenate(own))
     return np.concatenate(found), np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in found])])
 
@@ -115,6 +115,11 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
 _TURN = mix(np.arange(101, 165, dtype=U64)) | U64(1)
 
 
+def turn(j: int) -> np.uint64:
+    """What the hash of the word at place j of a run is multiplied by."""
+    return _TURN[j]
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles in order, and each text's first place among them.
 

@@ -7,18 +7,27 @@ which one half of the rest is masked as well, so that two lines of a leaf are of
 they agree in the other half. Templates are counted by hash over all documents, with partial counts
 before the shuffle; there is no pairwise comparison, so that a leaf of any size is shared by tasks.
 
-Every line that is not blank is also counted as it stands, word by word. A line of `least` words or
-more recurs if two documents have it (`weak` occurrences); a shorter one needs `short` occurrences
-in two or more documents. Masked forms are held more strictly: one with at least `strong` constant
-tokens recurs if two documents have it, one with fewer (but `least`) needs `masked` occurrences in
-two or more documents. Recurring lines are dropped
-from all documents but the one with the smallest doc_id that has the template; lines repeated
-within one document stay. Blank lines stay, null texts stay null, rows with a null doc_id are kept
-as they are, and rows with the same doc_id count as one document. Other columns pass through.
+Every line that is not blank is also counted as it stands, word by word, and recurs if two documents
+have it. Masked forms are held more strictly: one with at least `strong` constant tokens recurs if two
+documents have it, one with fewer (but `least`) needs `masked` occurrences in two or more documents.
+Recurring lines are dropped from all documents but the one with the smallest doc_id that has the
+template; lines repeated within one document stay.
+
+Passages inside lines, or broken into lines differently, are found in what is left: stretches of
+`passage` words or more that two documents have word by word. Every window of that many words has an
+anchor, the least hash of its runs of `GRAM` words, which only the window's own words decide. Windows
+whose anchor stands in one document alone can't recur; the others are counted by hash like lines, and
+the words of recurring ones are dropped from all documents but the first that has the window. Blanks
+after a dropped stretch go with it, but for the last line break.
+
+Blank lines stay, null texts stay null, rows with a null doc_id are kept as they are, and rows with the
+same doc_id count as one document. Texts of any length are read whole; repeated rows lose the same; an
+empty table gives an empty table. Other columns pass through, but those that are made are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import written
+from .common import remove, written
 
-LEAD, STRONG, LEAST, WEAK = 4, 8, 3, 2
-#: Occurrences that a line of fewer than LEAST words and a masked form of fewer than STRONG tokens need.
-SHORT, MASKED = 3, 50
+LEAD, STRONG, LEAST = 4, 8, 3
+#: Occurrences that a line as it stands, and a masked form of fewer than STRONG constant tokens, need.
+EXACT, MASKED = 2, 50
+#: Words of a passage, and of the runs of which the least hash is its anchor.
+PASSAGE, GRAM = 50, 8
 U64 = np.uint64
 _KEYS = "doc_id long, row long, pos int, key long, need int"
 
@@ -45,33 +56,56 @@ def line_keys(lines: list[bytes], lead: int = LEAD, strong: int = STRONG, least:
 
     A token's hash is mixed with its place in the line, so that sums over places name a template.
     """
-    joined, start, end, first = kernels.spans(lines)
-    digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((joined >= 48) & (joined <= 57))])
-    fixed = digits[end] == digits[start]
+    word, fixed, first = _tokens(lines)
     n = np.diff(first)
-    place = np.arange(len(start)) - np.repeat(first[:-1], n)
-    word, turn = kernels.hashed(joined, start, end, lower=False), (place.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
+    place = np.arange(len(word)) - np.repeat(first[:-1], n)
+    turn = (place.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
     total, whole = (np.concatenate([np.zeros(1, U64), np.cumsum(kernels.mix(x + turn), dtype=U64)]) for x in (np.where(fixed, word, U64(0)), word))
     count = np.concatenate([np.zeros(1, np.int64), np.cumsum(fixed)])
     a, b = first[:-1], first[1:]
     head = a + np.minimum(lead, n)
     middle = head + np.maximum((n - lead) // 2, 0)
     wide = (n >= least) & (count[b] - count[a] >= least)
-    plain, exact = count[b] - count[a] == n, np.where(n < least, SHORT, WEAK)
+    plain = count[b] - count[a] == n
     # A line without a digit is its own masked form; that of a strong line stands for the line too.
     own = np.flatnonzero((n > 0) & ~plain & (count[b] - count[a] < strong))
-    out = [(own, kernels.mix((whole[b] - whole[a])[own] + n[own].astype(U64) * U64(0xD1342543DE82EF95) + U64(3)), exact[own])]
+    out = [(own, kernels.mix((whole[b] - whole[a])[own] + n[own].astype(U64) * U64(0xD1342543DE82EF95) + U64(3)), np.full(len(own), EXACT))]
     for kind, parts in enumerate((((a, b),), ((a, middle),), ((a, head), (middle, b)))):
         sums, const = np.zeros(len(n), U64), np.zeros(len(n), np.int64)
         for x, y in parts:
             sums += total[y] - total[x]
             const += count[y] - count[x]
         take = np.flatnonzero(wide | (plain & (n > 0)) if kind == 0 else wide & (const >= strong))
-        needed = np.where(const >= strong, 2, np.where(plain, exact, MASKED))
+        needed = np.where((const >= strong) | plain, EXACT, MASKED)
         out.append((take, kernels.mix(sums[take] + n[take].astype(U64) * U64(0xD1342543DE82EF95) + U64(kind)), needed[take]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _tokens(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, whether it has no digit, each line's first word); long lines are cut between words."""
+    word, fixed, n = [], [], []
+    for group in kernels.grouped(lines):
+        if len(group) > 1 or len(group[0]) < kernels.GROUP_BYTES:
+            pieces = [(group, False)]
+        else:
+            pieces = [([p], long) for p, long in kernels.cut_text(group[0])]
+        count = []
+        for own, long in pieces:
+            if long:
+                word.append(kernels.long_word(own[0], False))
+                fixed.append(np.array([not re.search(rb"[0-9]", own[0])]))
+                count.append(np.ones(1, np.int64))
+                continue
+            joined, start, end, first = kernels.spans(own)
+            digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((joined >= 48) & (joined <= 57))])
+            fixed.append(digits[end] == digits[start])
+            word.append(kernels.hashed(joined, start, end, lower=False))
+            count.append(np.diff(first))
+        n.append(count[0] if len(pieces) == 1 and len(group) > 1 else np.array([sum(int(c.sum()) for c in count)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none.astype(U64), *word]), np.concatenate([none.astype(bool), *fixed]), np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([none, *n]))])
+
+
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -105,16 +139,116 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("row").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with `text` without its recurring lines, and n_lines, n_dropped, dropped_chars (code points)."""
-    names = [x for x in docs.columns if x not in ("n_lines", "n_dropped", "dropped_chars")]
+def _without_lines(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with __text (its recurring lines dropped), n_lines, n_dropped and __before, its length before."""
     own = docs.select(*names).withColumn("__row", F.when(F.col("doc_id").isNotNull(), _row_key()))
     out = own.join(dropped_lines(docs).select(F.col("row").alias("__of"), F.col("drop").alias("__drop")), F.col("__row") == F.col("__of"), "left").drop("__row", "__of")
     out = out.withColumn("__lines", F.split(F.col("text").cast("string"), "\n", -1))
     kept = F.when(F.col("__drop").isNull(), F.col("__lines")).when(F.size("__drop") == F.size("__lines"), F.array().cast("array<string>")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__drop"), i)))
     out = out.withColumn("__kept", kept)
     text = F.when(F.col("__drop").isNull(), F.col("text").cast("string")).otherwise(F.array_join("__kept", "\n"))
-    before = F.char_length(F.col("text").cast("string"))
     out = out.withColumn("__text", text).withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).withColumn("dropped_chars", F.coalesce(before - F.char_length("__text"), F.lit(0)).cast("long"))
-    return out.select(*(F.col("__text").alias("text") if x == "text" else F.col(x) for x in names), "n_lines", "n_dropped", "dropped_chars")
+    out = out.withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).withColumn("__before", F.char_length(F.col("text").cast("string")))
+    return out.drop("__drop", "__lines", "__kept")
+
+
+def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of all windows of PASSAGE words that lie in one text, their anchors)."""
+    n = len(hashes)
+    padded = np.concatenate([hashes, np.zeros(PASSAGE, U64)])
+    least = kernels.mix(sum((padded[j : j + n] * kernels.turn(j) for j in range(GRAM)), np.zeros(n, U64)))
+    width, span = 1, PASSAGE - GRAM + 1
+    while width < span:  # least of `width` neighbours
+        step = min(width, span - width)
+        least = np.minimum(least, np.concatenate([least[step:], np.full(min(step, len(least)), U64(0xFFFFFFFFFFFFFFFF))]))
+        width += step
+    ends = np.repeat(first[1:], np.diff(first))
+    at = np.flatnonzero(np.arange(n) + PASSAGE <= ends)
+    return at, least[at]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").cast(pa.binary()).to_pylist()
+        ids, rows, place = b.column("doc_id").to_numpy(), b.column("row").to_numpy(), 0
+        for group in kernels.grouped(texts):
+            words, first = kernels.words(group, lower=False)
+            at, anchor = _grams(words, first)
+            owner = np.searchsorted(first, at, "right") - 1 + place
+            new = np.ones(len(at), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+            owner, anchor = owner[new], anchor[new]
+            place += len(group)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[owner]), pa.array(rows[owner])], names=["key", "doc_id", "row"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all windows whose anchor is one of the row's shared ones."""
+    for b in batches:
+        for doc_id, row, text, keys in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "shared")), strict=True):
+            words, first = kernels.words([text.encode()], lower=False)
+            at, anchor = _grams(words, first)
+            at = at[np.isin(anchor, np.array(keys, np.int64).view(U64))]
+            up, down = kernels.rising(len(words) + 1)
+            total = np.concatenate([np.zeros(1, U64), np.cumsum(words * up[: len(words)], dtype=U64)])
+            key = kernels.mix((total[at + PASSAGE] - total[at]) * down[at])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32))], names=["key", "doc_id", "row", "pos"])
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_BLANKS = re.compile(rb"[\x20\x09\x0B-\x0D]*")
+
+
+def without_passages(text: str, starts: list[int]) -> tuple[str, int]:
+    """(the text without the words of the windows that begin at these words, stretches dropped)."""
+    raw = text.encode()
+    begin = np.fromiter((m.start() for m in _WORD.finditer(raw)), np.int64)
+    end = np.fromiter((m.end() for m in _WORD.finditer(raw)), np.int64)
+    edge = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(edge, np.array(starts), 1)
+    np.add.at(edge, np.array(starts) + PASSAGE, -1)
+    gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
+    first, last = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1]) - 1
+    out, at = [], 0
+    for a, z in zip(begin[first], end[last], strict=True):
+        out.append(raw[at:a])
+        at = _BLANKS.match(raw, z).end()
+    return b"".join([*out, raw[at:]]).decode(), len(first)
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [without_passages(t, s) if s else (t, 0) for t, s in zip(b.column("__text").to_pylist(), b.column("__starts").to_pylist(), strict=True)]
+        out = b.drop_columns(["__text", "__starts"])
+        yield out.append_column("__text", pa.array([t for t, _ in made], pa.string())).append_column("n_passages", pa.array([n for _, n in made], pa.int64()))
+
+
+def _without_passages(thin: DataFrame) -> DataFrame:
+    """thin with __text without recurring passages, and n_passages."""
+    spark = thin.sparkSession
+    key = F.when(F.col("doc_id").isNotNull() & F.col("__text").isNotNull(), F.xxhash64(F.col("doc_id"), F.col("__text")))
+    thin = thin.withColumn("__row", key)
+    own = thin.where("__row is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"))
+    anchors = written(own.mapInArrow(_anchors, "key long, doc_id long, row long"), "anchors")
+    lists = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
+    hits = anchors.join(lists, "key").groupBy(F.col("row").alias("__of")).agg(F.collect_set("key").alias("__shared"))
+    noted = written(thin.join(hits.hint("merge"), thin["__row"] == hits["__of"], "left").drop("__of"), "noted")
+    remove(spark, anchors)
+    some = noted.where("__shared is not null")
+    windows = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"), F.col("__shared").alias("shared"))
+    windows = written(windows.mapInArrow(_passages, "key long, doc_id long, row long, pos int").distinct(), "windows")
+    again = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
+    gone = windows.join(again, "key").where(F.col("doc_id") != F.col("first")).groupBy(F.col("row").alias("__of")).agg(F.collect_set("pos").alias("__starts"))
+    some = some.join(gone, some["__row"] == gone["__of"], "left").drop("__of", "__row", "__shared")
+    others = [x for x in some.columns if x not in ("__text", "__starts")]
+    done = some.mapInArrow(_apply, some.select(*others, F.col("__text"), F.lit(0).cast("long").alias("n_passages")).schema)
+    return noted.where("__shared is null").drop("__row", "__shared").withColumn("n_passages", F.lit(0).cast("long")).unionByName(done)
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs with `text` without its recurring lines and passages, and n_lines, n_dropped (lines), n_passages, dropped_chars (code points)."""
+    made = ("n_lines", "n_dropped", "n_passages", "dropped_chars")
+    names = [x for x in docs.columns if x not in made]
+    out = _without_passages(written(_without_lines(docs, names), "without-lines"))
+    out = out.withColumn("dropped_chars", F.coalesce(F.col("__before") - F.char_length("__text"), F.lit(0)).cast("long"))
+    return out.select(*(F.col("__text").alias("text") if x == "text" else F.col(x) for x in names), *made)

@@ -1,7 +1,10 @@
+import random
+import re
 from collections import defaultdict
 
 from rasterlake.llm import line_templates as lt
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LINE = "this very line stands in many of the documents here"
 
 
@@ -9,31 +12,65 @@ def made(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def brute(rows):
+def brute_lines(rows):
     """Template by template: which documents have it, and what each loses."""
     def keys(line):
-        t = ["<*>" if any(c in "0123456789" for c in x) else x for x in line.split()]
+        own = line.split()
+        t = ["<*>" if any(c in "0123456789" for c in x) else x for x in own]
         const = lambda x: sum(y != "<*>" for y in x)
+        out = [(("as it stands", *own), 2)] if own else []
         if len(t) < lt.LEAST or const(t) < lt.LEAST:
-            return []
+            return out
         lead, rest = t[: lt.LEAD], t[lt.LEAD :]
         half = max((len(t) - lt.LEAD) // 2, 0)
-        out = [((0, len(t), *t), const(t))]
+        out.append(((0, len(t), *t), 2 if const(t) >= lt.STRONG or t == own else lt.MASKED))
         for kind, part in ((1, rest[:half]), (2, rest[half:])):
             if const(lead) + const(part) >= lt.STRONG:
-                out.append(((kind, len(t), *lead, *part), const(lead) + const(part)))
+                out.append(((kind, len(t), *lead, *part), 2))
         return out
 
-    ids, n, strength = defaultdict(set), defaultdict(int), {}
+    ids, n, needed = defaultdict(set), defaultdict(int), {}
     for i, text in rows:
         if i is not None:
             for line in (text or "").split("\n"):
-                for k, c in keys(line):
+                for k, need in keys(line):
                     ids[k].add(i)
                     n[k] += 1
-                    strength[k] = c
-    again = {k: min(v) for k, v in ids.items() if len(v) > 1 and (strength[k] >= lt.STRONG or n[k] >= lt.WEAK)}
-    return sorted(((i, None if text is None else text if i is None else "\n".join(x for x in text.split("\n") if not any(k in again and again[k] != i for k, _ in keys(x)))) for i, text in rows), key=str)
+                    needed[k] = need
+    again = {k: min(v) for k, v in ids.items() if len(v) > 1 and n[k] >= needed[k]}
+    return [(i, None if text is None else text if i is None else "\n".join(x for x in text.split("\n") if not any(k in again and again[k] != i for k, _ in keys(x)))) for i, text in rows]
+
+
+def brute_passages(rows):
+    """Window by window: which documents have it, and the words that each loses."""
+    words = {k: [(m.start(), m.end(), m[0]) for m in WORD.finditer(t or "")] for k, (_, t) in enumerate(rows)}
+    ids = defaultdict(set)
+    of = lambda k, j: tuple(w for _, _, w in words[k][j : j + lt.PASSAGE])
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            for j in range(len(words[k]) - lt.PASSAGE + 1):
+                ids[of(k, j)].add(i)
+    out = []
+    for k, (i, text) in enumerate(rows):
+        gone = set()
+        if i is not None:
+            for j in range(len(words[k]) - lt.PASSAGE + 1):
+                if min(ids[of(k, j)]) != i:
+                    gone |= set(range(j, j + lt.PASSAGE))
+        left, at = "", 0
+        for j in sorted(gone):
+            if j - 1 not in gone:
+                left += text[at : words[k][j][0]]
+            if j + 1 not in gone:
+                at = words[k][j][1]
+                while at < len(text) and text[at] in " \t\v\f\r":
+                    at += 1
+        out.append((i, text if not gone else left + text[at:]))
+    return out
+
+
+def brute(rows):
+    return sorted(brute_passages(brute_lines(rows)), key=str)
 
 
 def test_equals_brute_force(spark, docs, rows):
@@ -46,7 +83,7 @@ def test_equals_brute_force(spark, docs, rows):
 def test_variable_fields_and_halves(spark):
     rows = [(1, "login of user 17 from host 10.0.0.1 was refused at the gate\nsame same\nkeep me"), (2, "login of user 99 from host 10.9.9.9 was refused at the gate\nsame same"), (3, "login of user 5 from host x1 was refused at every other door")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lt.dedup_lines(made(spark, rows)).collect()}
-    assert got[1] == (rows[0][1], 3, 0) and got[2] == ("same same", 2, 1)
+    assert got[1] == (rows[0][1], 3, 0) and got[2] == ("", 2, 2)
     assert got[3][0] == rows[2][1]  # the halves that differ leave too few constant tokens
 
 
@@ -57,21 +94,41 @@ def test_one_document_keeps_its_own_repeats_and_blanks(spark):
 
 
 def test_weak_templates_need_many_occurrences(spark):
-    rows = [(i, f"All rights reserved.\nown{chr(97 + i % 26)}") for i in range(lt.WEAK)]
-    assert lt.dedup_lines(made(spark, rows)).where("n_dropped > 0").count() == lt.WEAK - 1
+    rows = [(i, f"page {i} of it\nown{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(lt.MASKED)]
+    assert lt.dedup_lines(made(spark, rows)).where("n_dropped > 0").count() == lt.MASKED - 1
     assert lt.dedup_lines(made(spark, rows[:-1])).where("n_dropped > 0").count() == 0
 
 
-def test_short_lines_that_recur_as_they_stand(spark):
-    rows = [(i, f"Les.\nAnd ornd.\npage 3\n7 of 9 seen here\nErreth was the that\nown{chr(97 + i)} alone\npart {i} of it all") for i in range(4)]
+def test_lines_that_recur_as_they_stand(spark):
+    rows = [(i, f"Les.\nAnd ornd.\npage 3\n7 of 9 seen here\nErreth was the that\nown{chr(97 + i)} alone\npart {i} of it all") for i in range(2)]
     got = {r.doc_id: r.text for r in lt.dedup_lines(made(spark, rows)).collect()}
-    assert got == {i: rows[i][1] if i == 0 else f"own{chr(97 + i)} alone\npart {i} of it all" for i in range(4)}
-    two = {r.doc_id: r.text for r in lt.dedup_lines(made(spark, rows[:2])).collect()}
-    assert two[1] == "Les.\nAnd ornd.\npage 3\nownb alone\npart 1 of it all"  # a shorter line needs a third
+    assert got == {0: rows[0][1], 1: "ownb alone\npart 1 of it all"}
+
+
+def test_passages_inside_lines(spark, random_prose):
+    rng = random.Random(5)
+    passage = random_prose(rng, 60).split()
+    rows = []
+    for i in range(12):  # whole, cut, wrapped elsewhere, with blanks of other kinds, and too short
+        part = passage[i % 3 : 60 - i % 4] if i % 5 else passage[:49]
+        blank = rng.choice([" ", "  ", "\n", " \t"])
+        rows.append((i, random_prose(rng, rng.randint(0, 30)) + " " + blank.join(part) + rng.choice([" ", "\n", " \r\n"]) + random_prose(rng, rng.randint(0, 30))))
+    rows += [(20, " ".join(passage)), (21, " ".join(passage) + " " + " ".join(passage)), (None, " ".join(passage)), (22, None), (20, "x " + " ".join(passage)), (2, rows[2][1])]
+    got = lt.dedup_lines(made(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute(rows)
+    assert sum(r.n_passages for r in got) > 8 and all(r.dropped_chars == len(t or "") - len(r.text or "") for r in got for i, t in rows if (i, r.doc_id) == (21, 21))
+
+
+def test_a_text_and_a_line_of_many_megabytes(spark, random_prose):
+    rng = random.Random(6)
+    line, passage = random_prose(rng, 3000), random_prose(rng, 80)
+    text = " ".join(f"{line} {i}" for i in range(3_000_000 // len(line))) + " " + passage
+    got = {r.doc_id: r.text for r in lt.dedup_lines(made(spark, [(1, "start " + passage), (2, text), (3, text)])).collect()}
+    assert got[1] == "start " + passage and got[3] == "" and got[2] == text[: -len(passage)]
 
 
 def test_empty_table_and_clashing_names(empty, clashing, docs):
     assert lt.dedup_lines(empty).count() == 0
     out = lt.dedup_lines(clashing)
-    assert out.columns == [c for c in clashing.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped", "dropped_chars"]
+    assert out.columns == [c for c in clashing.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped", "n_passages", "dropped_chars"]
     assert out.count() == docs.count()

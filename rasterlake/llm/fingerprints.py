@@ -1,12 +1,14 @@
 """Operator 1: document fingerprints as threshold-scaled sketches.
 
-A sketch keeps every shingle hash below `fraction` of the 64-bit range; a text whose hashes
+A sketch keeps every 48-bit shingle hash below one part in `SCALE` of the range; a text whose hashes
 all lie above keeps its smallest one, so that only a text without words has an empty sketch.
 The rule looks at one hash at a time, so sketches of parts merge into that of the whole (their
 union, cut again), and containment of a short text in a long one is estimated without bias.
 
-Nulls and empty texts give an empty sketch; equal texts have equal sketches. Rows with a null
-or repeated doc_id are kept, and stand next to each other in the order (doc_id, text).
+Nulls and empty texts give an empty sketch; equal texts have equal sketches; texts of any length
+are sketched whole. Rows with a null or repeated doc_id are kept, and stand next to each other in
+the order (doc_id, text), in one range. An empty table gives an empty table; fingerprints() replaces
+a column of that name and keeps all others, edited_fingerprints() reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import partitions
 
-#: One hash in so many is kept; a document of 500 words keeps about 60.
-SCALE = 8
+#: One hash in so many is kept; a document of 500 words keeps about 250. The bits of a hash that are left out.
+SCALE, CUT_BITS = 2, 16
 SHINGLE_WORDS = 5
+#: Text of a range of doc_ids, which one task works on.
+RANGE_BYTES = 64 << 20
 #: Rows sampled by hash for each cut of the doc_id range.
 SAMPLE_PER_CUT = 20
 
 
 def cut_to_scale(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of distinct ascending hashes."""
-    return hashes[: max(np.searchsorted(hashes, np.uint64((1 << 64) // scale)), 1)]
+    return hashes[: max(np.searchsorted(hashes, np.uint64(min((1 << 64) // scale, (1 << 64) - 1)), "right"), 1)]
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -54,18 +58,21 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def encoded(sketch: np.ndarray) -> str:
-    return base64.b64encode(sketch.astype(">u8").tobytes()).decode()
+    """Six bytes a hash, the highest first."""
+    return base64.b64encode(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()).decode()
 
 
 def decoded(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), ">u8").astype(np.uint64)
+    raw = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, 6)
+    return np.concatenate([raw, np.zeros((len(raw), 2), np.uint8)], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
 def sketches(texts: Iterable[str], k: int = SHINGLE_WORDS, scale: int = SCALE) -> Iterator[np.ndarray]:
-    most = np.uint64((1 << 64) // scale)
+    most, cut = min((1 << 64) // scale, (1 << 64) - 1), np.uint64(CUT_BITS)
     for group in kernels.grouped(t.encode("utf-8", "surrogatepass") for t in texts):
         h, first = kernels.shingles(*kernels.words(group), k)
-        low = np.flatnonzero(h < most)
+        h = h >> cut << cut
+        low = np.flatnonzero(h <= np.uint64(most))
         at = np.searchsorted(low, first)
         for i in range(len(group)):
             own = np.unique(h[low[at[i] : at[i + 1]]])
@@ -137,12 +144,12 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, scale: int = SC
 
     Texts are dealt once by ranges of doc_id between cuts that are ids of the table, found on a
     sample by hash; the row at a cut also ends the range before it, and the row with the largest
-    id the last one. Only cuts (as many as partitions) come to the driver.
+    id the last one. Only cuts (one for each RANGE_BYTES of text) come to the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = partitions(spark)
-    n, largest = docs.agg(F.count(F.lit(1)), F.max("doc_id")).first()
+    n, largest, size = docs.agg(F.count(F.lit(1)), F.max("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(partitions(spark), size // RANGE_BYTES)
     every = max(1, n // (parts * SAMPLE_PER_CUT))
     ids = sorted((r[0] for r in docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).distinct().collect()), reverse=True)
     # Cut p is the first id of range p; nulls come last, in the last range.

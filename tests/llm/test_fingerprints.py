@@ -39,6 +39,19 @@ def test_edited_texts_follow_the_order(docs, rows):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_likenesses_of_whole_sketches_equal_brute_force(docs, rows):
+    got = fp.edited_fingerprints(docs, 5, 1).collect()
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = []
+    for i, (doc_id, text) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        a, e, n = (shingles(x, 5) for x in (text, text[: len(text) - half] + nxt[:half], nxt))
+        want.append((str(doc_id), len(text), round(like(a, e), 9), round(like(a, n), 9)))
+    assert sorted((str(r.doc_id), r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
+
+
 def test_sketches_estimate_and_merge(random_prose):
     import random
 

@@ -8,9 +8,12 @@ that is run again writes the same bytes to the same names. The manifest, written
 files with sizes and digests: what it doesn't list is not part of the archive.
 
 Payloads of `least` bytes or more that occur again are revisit records, which refer to the record
-with the smallest page_id; headers and digests are made anew from the payloads. Null payloads are
-empty, null page_ids sort first and are only referred to by rows that are null too, and among rows
-of one page_id and payload the first is the response. An empty table gives a manifest without files.
+with the smallest page_id by its record id, address and date; headers and digests are made anew from
+the payloads, and checked with the payload's length when read. A file begins with a warcinfo record.
+Null payloads are empty, null page_ids sort first and are only referred to by rows that are null too,
+and among rows of one page_id and payload the first by url is the response. Payloads of any length are
+one record. An empty table gives a manifest without files; other columns than page_id, url and html
+are not read.
 """
 
 from __future__ import annotations
@@ -46,16 +49,26 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record; a revisit has the HTTP header alone."""
-    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{url}/{digest}/{revisit}")
+def _record_id(page_id: int | None, url: str | None, digest: str, revisit: bool) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{url}/{digest}/{revisit}')}>"
+
+
+def warcinfo(name: str) -> bytes:
+    """The record that a file begins with."""
+    block = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode()
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: tuple[int | None, str | None] | None, revisit: bool) -> bytes:
+    """One WARC record; a revisit has the HTTP header alone. refers_to: page_id and url of the response."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{own}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, url, digest, revisit)}", f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {_one_line(url)}"] if url else []), f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
-        *(["X-Page-ID: " + str(page_id)] if page_id is not None else []), *([f"X-Refers-To-Page-ID: {refers_to}"] if revisit and refers_to is not None else []),
-        *([f"WARC-Profile: {_PROFILE}"] if revisit else []), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+        *(["X-Page-ID: " + str(page_id)] if page_id is not None else []), *([f"X-Refers-To-Page-ID: {refers_to[0]}"] if revisit and refers_to[0] is not None else []),
+        *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(*refers_to, digest, False)}", f"WARC-Refers-To-Date: {DATE}"] if revisit else []), *([f"WARC-Refers-To-Target-URI: {_one_line(refers_to[1])}"] if revisit and refers_to[1] else []), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -76,22 +89,26 @@ class _Rolling:
             self.temp = f"{self.dir}/_temporary-files/{uuid.uuid4().hex}"
             self.fs.create_dir(f"{self.dir}/_temporary-files", recursive=True)
             self.out, self.sha, self.size, self.records, self.first = self.fs.open_output_stream(self.temp), hashlib.sha256(), 0, 0, page_id
-        member = gzip.compress(raw, 6, mtime=0)
-        self.out.write(member)
-        self.sha.update(member)
-        self.size += len(member)
+            self.name = f"pages-{self.piece:07d}-{self.seq:05d}.warc.gz"
+            self._put(warcinfo(self.name))
+        self._put(raw)
         self.records += 1
         self.last = page_id
         if self.size >= self.roll:
             self.close()
 
+    def _put(self, raw: bytes) -> None:
+        member = gzip.compress(raw, 6, mtime=0)
+        self.out.write(member)
+        self.sha.update(member)
+        self.size += len(member)
+
     def close(self) -> None:
         if self.out is None:
             return
         self.out.close()
-        name = f"pages-{self.piece:07d}-{self.seq:05d}.warc.gz"
-        self.fs.move(self.temp, f"{self.dir}/{name}")
-        self.done.append((name, self.records, self.size, self.sha.hexdigest(), self.first, self.last))
+        self.fs.move(self.temp, f"{self.dir}/{self.name}")
+        self.done.append((self.name, self.records, self.size, self.sha.hexdigest(), self.first, self.last))
         self.out, self.seq = None, self.seq + 1
 
 
@@ -110,12 +127,12 @@ def _write(batches: Iterator[pa.RecordBatch], uri: str, roll_bytes: int) -> Iter
             if page_id != page:
                 page, refs, seen = page_id, {}, set()
             if note == 0:
-                refs[digest] = first
+                refs[digest] = (first, url)
                 continue
             payload = html or b""
             digest = hashlib.sha256(payload).hexdigest()
             known = digest in refs
-            revisit = known and (refs[digest] != page_id or digest in seen)
+            revisit = known and (refs[digest][0] != page_id or digest in seen)
             seen.add(digest)
             out.add(page_id, record(page_id, url, payload, digest, refs.get(digest), revisit))
     if out is not None:
@@ -151,10 +168,11 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, roll_bytes: int
         v = np.searchsorted(np.array(cuts, np.int64), col.fillna(0).astype("int64").to_numpy(), "right")
         return pd.Series(np.where(null, 0, v), index=col.index)
 
-    long = pages.where(F.length("html") >= least).select("page_id", "digest")
-    again = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    notes = long.join(again, "digest").where("first is not null").select("page_id", "digest", "first").distinct()
-    rows = pages.select("page_id", F.lit(1).alias("note"), "digest", F.lit(None).cast("long").alias("first"), "url", "html").unionByName(notes.select("page_id", F.lit(0).alias("note"), "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html")))
+    long = pages.where(F.length("html") >= least).select("page_id", "digest", "url")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    again = long.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("url"))
+    notes = long.drop("url").join(again, "digest").where("first is not null").select("page_id", "digest", "first", "url").distinct()
+    rows = pages.select("page_id", F.lit(1).alias("note"), "digest", F.lit(None).cast("long").alias("first"), "url", "html").unionByName(notes.select("page_id", F.lit(0).alias("note"), "digest", "first", "url", F.lit(None).cast("binary").alias("html")))
     rows = rows.withColumn("piece", piece("page_id", F.col("page_id").isNull()))
     rows = rows.repartitionById(len(cuts) + 1, F.col("piece")).sortWithinPartitions("piece", "page_id", "note", "digest", "url")
     files = sorted(tuple(r) for r in rows.mapInArrow(lambda b: _write(b, uri, roll_bytes), _FILES).collect())
@@ -203,11 +221,15 @@ def _read(batches: Iterator[pa.RecordBatch], uri: str, payloads: bool) -> Iterat
             rows, size = [], 0
             with fs.open_input_stream(f"{at}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                 for head, block in records(stream):
+                    if head["warc-type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest = head["warc-payload-digest"].removeprefix("sha256:")
                     if hashlib.sha256(block).hexdigest() != head["warc-block-digest"].removeprefix("sha256:") or (head["warc-type"] == "response" and hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"damaged record in {name}")
                     length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                    if head["warc-type"] == "response" and length != len(payload):
+                        raise ValueError(f"a payload of {len(payload)} bytes in {name} instead of {length}")
                     page, to = head.get("x-page-id"), head.get("x-refers-to-page-id")
                     rows.append((int(page) if page else None, length, digest, head["warc-type"], int(to) if to else None, head.get("warc-target-uri"), payload if payloads and head["warc-type"] == "response" else None))
                     size += len(block) if payloads else 100

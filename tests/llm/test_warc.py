@@ -54,11 +54,35 @@ def test_records_sort_and_files_roll(spark, tmp_path):
         raw = (tmp_path / "a" / f["file"]).read_bytes()
         assert len(raw) == f["bytes"] and hashlib.sha256(raw).hexdigest() == f["sha256"]
         heads = [h for h, _ in warc.records(gzip.open(tmp_path / "a" / f["file"]))]
+        assert heads[0]["warc-type"] == "warcinfo" and heads[0]["warc-filename"] == f["file"]
+        heads = heads[1:]
         assert len(heads) == f["records"]
         ids += [int(h.get("x-page-id", -1)) for h in heads]
     assert ids == sorted(ids)
 
 
+def test_revisits_name_their_response(spark, tmp_path):
+    rows, df = pages(spark)
+    by_id, revisits = {}, []
+    for f in warc.write_warc(df, str(tmp_path / "a"))["files"]:
+        for h, _ in warc.records(gzip.open(tmp_path / "a" / f["file"])):
+            by_id[h["warc-record-id"]] = h
+            revisits += [h] * (h["warc-type"] == "revisit")
+    assert len(by_id) >= len(set(rows)) and len(revisits) > 30
+    for h in revisits:
+        to = by_id[h["warc-refers-to"]]
+        assert to["warc-type"] == "response" and to["warc-payload-digest"] == h["warc-payload-digest"]
+        assert to["x-page-id"] == h["x-refers-to-page-id"] and to.get("warc-target-uri") == h.get("warc-refers-to-target-uri")
+
+
+def test_a_payload_of_many_megabytes(spark, tmp_path):
+    html = "<p>" + "long page " * 2_000_000
+    warc.write_warc(spark.createDataFrame([(1, "u", html), (2, "v", html)], "page_id long, url string, html string"), str(tmp_path / "a"))
+    got = {r.page_id: r for r in warc.read_warc(spark, str(tmp_path / "a"), payloads=False).collect()}
+    assert {(r.payload_bytes, r.payload_digest) for r in got.values()} == {(len(html), hashlib.sha256(html.encode()).hexdigest())}
+    assert (got[1].record_type, got[2].record_type, got[2].refers_to) == ("response", "revisit", 1)
+
+
 def test_damage_is_found(spark, tmp_path):
     _, df = pages(spark)
     name = warc.write_warc(df, str(tmp_path / "a"))["files"][0]["file"]

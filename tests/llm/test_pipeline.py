@@ -47,7 +47,7 @@ def fails(text):
 def brute(rows):
     kept = [r for r in rows if not fails(r[1])]
     clean = dict(brute_lines([(r[0], r[1]) for r in kept]))
-    kept = [(*r[:1], clean[r[0]], *r[2:]) for r in kept if len(r[1]) - len(clean[r[0]]) <= corpus_pipeline.MOST_LOST * len(r[1])]
+    kept = [(*r[:1], clean[r[0]], *r[2:]) for r in kept if clean[r[0]] == r[1] or WORD.search(clean[r[0]])]
     least = {i: c for i, _, c in brute_components([(r[0], r[1]) for r in kept], 5, 80, 100)}
     kept = [r for r in kept if least[r[0]] == r[0]]
     size, by = {r[0]: len(WORD.findall(r[1])) for r in kept}, defaultdict(int)
@@ -92,6 +92,15 @@ def test_stages_keep_columns_and_take_hard_cases(spark, docs, clashing, empty):
             assert out.count() <= 3 * df.count()
 
 
+def test_near_duplicates_keep_other_texts_of_a_repeated_id(spark, random_prose):
+    rng = random.Random(8)
+    a, b, c = (random_prose(rng, 90) for _ in range(3))
+    rows = [(3, a), (104, a), (104, b), (None, c), (None, c), (None, a), (105, None), (105, None), (106, "")]
+    df = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=str)
+    assert got == sorted([(3, a), (104, b), (None, c), (105, None), (105, None), (106, "")], key=str)
+
+
 def test_line_dedup_keeps_own_words_of_documents_that_lose_most(spark, random_prose):
     rng = random.Random(6)
     shared, own = [random_prose(rng, 40) for _ in range(9)], "a few words of its own that recur nowhere else"

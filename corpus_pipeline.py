@@ -1,8 +1,18 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, mixing and packing, in that order.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
-last return the columns of `documents`; run() writes each stage's rows to the shared folder and
-reads them again, so that a lost executor costs one stage at most.
+last return the columns of `documents`, whatever others docs has and whatever their names; run()
+writes each stage's rows to the shared folder and reads them again, so that a lost executor costs one
+stage at most. Each stage takes nulls in any column, empty and very long texts, repeated rows and
+empty tables (which give empty tables):
+
+- quality_rules drops null and empty texts, which have no words, and judges repeated rows alike.
+- line_dedup keeps null texts and rows without a doc_id as they are; of documents that share a line or
+  passage the one with the smallest doc_id keeps it.
+- near_duplicates keeps the row with the smallest doc_id of each group, one of equal rows, and all
+  without words; rows with repeated or no doc_id are told apart by their texts.
+- mixing takes null sources for one source, and null texts for 0 words; equal doc_ids go together.
+- packing takes null texts for empty ones, of one token, and cuts long texts into pieces.
 """
 
 from __future__ import annotations
@@ -18,8 +28,6 @@ from rasterlake.llm.common import WORD, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Five-word shingles and a similarity of 0.8 or more.
 SHINGLE_WORDS, NUM, DEN = 5, 80, 100
-#: Share of its text that a document may lose to line dedup: all but the whole.
-MOST_LOST = 1 - 1e-9
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,27 +37,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur in others; those with no word left go."""
+    """Documents without the lines and passages that recur in others; those with no word left go."""
     out = line_templates.dedup_lines(docs.select(*COLUMNS))
     left = F.char_length("text")
-    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, left.cast("long")).otherwise(F.col("n_chars").cast("long"))).select(*COLUMNS)
+    cut = F.col("n_dropped") + F.col("n_passages") > 0
+    out = out.where(~cut | F.col("text").rlike(WORD))
+    return out.withColumn("n_chars", F.when(cut, left.cast("long")).otherwise(F.col("n_chars").cast("long"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_join.jaccard_components(docs, SHINGLE_WORDS, NUM, DEN)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    # Repeated rows of one doc_id and text are one group; which of them stays makes no difference.
-    twice = written(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "repeated")
-    if not twice.limit(1).count():
-        return kept
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_anti")
-    more = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_semi")
-    null = more.where("doc_id is null")
-    return once.unionByName(more.where("doc_id is not null").dropDuplicates(["doc_id", "text"])).unionByName(null)
+    return jaccard_join.one_of_each(docs.select(*COLUMNS), SHINGLE_WORDS, NUM, DEN)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

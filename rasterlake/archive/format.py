@@ -14,6 +14,8 @@ import json
 import struct
 import zlib
 from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
+from typing import BinaryIO
 
 import numpy as np
 
@@ -70,7 +72,13 @@ def segments_of(data: bytes) -> tuple[str, int, list[tiff.Segment]]:
         return "bytes", 1, [tiff.Segment(0, len(data))] if data else []
 
 
-def pack(data: bytes, name: str = "", codec: str = "zlib", parity: Parity | None = None, preview: bytes = b"") -> bytes:
+def now() -> str:
+    """The time in UTC, as a manifest tells it."""
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def pack(data: bytes, name: str = "", codec: str = "zlib", parity: Parity | None = None, preview: bytes = b"", made: str | None = None) -> bytes:
+    """An archive of data that has been decoded and compared. made: the time in its provenance, now if not given."""
     own = codecs.codec_of(codec)
     container, turn, found = segments_of(data)
     body, listed = [], []
@@ -80,7 +88,7 @@ def pack(data: bytes, name: str = "", codec: str = "zlib", parity: Parity | None
         body += parts
         listed.append({"offset": s.offset, "len": s.len, "codec": codec, "parts": [len(p) for p in parts], "spec": asdict(s.spec) if s.spec else None})
     inside = b"".join(body)
-    manifest = {"version": VERSION, "container": container, "orientation": turn, "original": {"name": name, "len": len(data), "sha256": hashlib.sha256(data).hexdigest()}, "body": {"len": len(inside), "sha256": hashlib.sha256(inside).hexdigest()}, "segments": listed, "provenance": {"software": "rasterlake"}, "parity": asdict(parity) if parity else None}
+    manifest = {"version": VERSION, "container": container, "orientation": turn, "original": {"name": name, "len": len(data), "sha256": hashlib.sha256(data).hexdigest()}, "body": {"len": len(inside), "sha256": hashlib.sha256(inside).hexdigest()}, "segments": listed, "provenance": {"software": "rasterlake", "codec": codec, "made": made or now()}, "parity": asdict(parity) if parity else None}
     text = json.dumps(manifest, separators=(",", ":")).encode()
     head = preview + MAGIC + inside + text * COPIES
     extra = _parity_section(head, parity) if parity else b""
@@ -90,8 +98,8 @@ def pack(data: bytes, name: str = "", codec: str = "zlib", parity: Parity | None
     return out
 
 
-def footer(raw: bytes) -> Footer:
-    """The last intact copy."""
+def footer(raw: bytes, total: int | None = None) -> Footer:
+    """The last intact copy; raw may be an archive's end alone, of `total` bytes in all."""
     for i in range(COPIES):
         at = len(raw) - _FOOTER.size * (i + 1)
         if at < 0:
@@ -101,8 +109,8 @@ def footer(raw: bytes) -> Footer:
             if version > VERSION:
                 raise ArchiveError("version", f"format {version}")
             f = Footer(preview, body, manifest, parity, digest)
-            if f.protected + parity + COPIES * _FOOTER.size != len(raw):
-                raise ArchiveError("truncated", f"{len(raw)} bytes")
+            if f.protected + parity + COPIES * _FOOTER.size != (len(raw) if total is None else total):
+                raise ArchiveError("truncated", f"{len(raw) if total is None else total} bytes")
             return f
     raise ArchiveError("footer", "no intact footer")
 
@@ -227,13 +235,46 @@ def scan(raw: bytes) -> list[tuple[int, int, int, bool]]:
     return [(i, int(b[: p.data].sum()), int(b[p.data :].sum()), int(b.sum()) <= p.parity) for i, b in enumerate(bad) if b.any()]
 
 
-def repair(raw: bytes) -> bytes:
-    """The archive with every damaged shard made again, one stripe at a time; ArchiveError if a stripe has too many."""
+def patches(raw: bytes) -> list[tuple[int, bytes]]:
+    """(place, bytes) of what repairs an archive: damaged shards made again, one stripe at a time, then any damaged
+    checksum table and footer. ArchiveError if a stripe has too many bad shards."""
     f, p, every, good = _section(raw)
-    every = every.copy()
-    for i in np.flatnonzero(~good.all(axis=1)):
+    stripes, out = len(every), []
+    bad = np.flatnonzero(~good.all(axis=1))
+    for i in bad:
         if (~good[i]).sum() > p.parity:
             raise ArchiveError("unrepairable", f"stripe {i}: {int((~good[i]).sum())} bad shards")
-        every[i] = gf256.repaired(every[i], good[i], p.data)
-    head = every[:, : p.data].tobytes()[: f.protected]
-    return head + _parity_section(head, p) + f.packed() * COPIES
+    size = stripes * (p.data + p.parity) * 4 + 4
+    extra = f.protected + 12 + 2 * size
+    sums = _checks(every)
+    for i in bad:
+        whole = gf256.repaired(every[i].copy(), good[i], p.data)
+        sums[i] = _checks(whole[None])[0]
+        for j in np.flatnonzero(~good[i]):
+            at = (i * p.data + j) * p.shard if j < p.data else extra + (i * p.parity + j - p.data) * p.shard
+            end = min(at + p.shard, f.protected) if j < p.data else at + p.shard
+            if end > at:
+                out.append((int(at), whole[j].tobytes()[: end - at]))
+    table = sums.astype(np.uint32).tobytes()
+    table += struct.pack("<I", zlib.crc32(table))
+    for at, right in ((f.protected, struct.pack("<III", p.data, p.parity, p.shard) + table * 2), (len(raw) - COPIES * FOOTER_SIZE, f.packed() * COPIES)):
+        if raw[at : at + len(right)] != right:
+            out.append((at, right))
+    return out
+
+
+def repair(raw: bytes) -> bytes:
+    """The archive with its patches."""
+    out = bytearray(raw)
+    for at, right in patches(raw):
+        out[at : at + len(right)] = right
+    return bytes(out)
+
+
+def preview_of(f: BinaryIO) -> bytes:
+    """The preview that an archive begins with, read alone; empty if it has none."""
+    size = tiff.size_of(f)
+    f.seek(max(0, size - COPIES * FOOTER_SIZE))
+    foot = footer(f.read(COPIES * FOOTER_SIZE), size)
+    f.seek(0)
+    return f.read(foot.preview)

@@ -137,6 +137,53 @@ def type_name(code: Column) -> Column:
     return F.coalesce(out, F.lit("unknown"))
 
 
+def type_note(code: Column, count: Column) -> Column:
+    """An entry's type and how many values it has: short[3]."""
+    return F.concat(type_name(code), F.lit("["), count.cast("string"), F.lit("]"))
+
+
+def matrix_rows(fractions: Column) -> Column:
+    """Nine fractions as three lines of three numbers of six decimals; null for any other count."""
+    number = F.transform(fractions, lambda r: F.when(r["d"] == 0, F.lit(0.0)).otherwise(r["n"].cast("double") / r["d"]))
+    return F.when(F.size(fractions) == 9, _matrix(number))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _matrix(values: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or len(v) != 9 else ["  ".join(f"{x:9.6f}" for x in v[i : i + 3]) for i in (0, 3, 6)] for v in values], dtype=object)
+
+
+def dms_text(deg: Column, minutes: Column, seconds: Column) -> Column:
+    """Degrees, minutes and seconds as 51\u00b030'0.00"."""
+    return F.concat(_places(deg, 0), F.lit("\u00b0"), _places(minutes, 0), F.lit("'"), _places(seconds, 2), F.lit('"'))
+
+
+def degrees_text(value: Column, positive: str, negative: str) -> Column:
+    """Degrees without a sign: four decimals and the letter of the hemisphere."""
+    return F.concat(_places(F.abs(value), 4), F.lit("\u00b0 "), F.when(value < 0, F.lit(negative)).otherwise(F.lit(positive)))
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, as 2026-01-31T12:00:00Z, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def holds(original: Column, derived: Column, archive: Column) -> Column:
+    """The original's name where the archive's own name does not follow from it; empty where it does."""
+    return F.when(derived == archive, F.lit("")).otherwise(original)
+
+
+def overhead_percent(parity: Column, data: Column) -> Column:
+    """Parity as a share of the data it protects, in percent."""
+    return F.try_divide(parity.cast("double") * 100.0, data.cast("double"))
+
+
+def apex_shutter_text(v: Column) -> Column:
+    """Exposure of an APEX shutter value: whole tenths from one second on, else 1/n s."""
+    s = apex_seconds(v)
+    return F.when(s >= 1, F.concat(_places(s, 1), F.lit(" s"))).otherwise(F.concat(F.lit("1/"), _places(1 / s, 0), F.lit(" s")))
+
+
 def rendered(items: Column, most: int = 8) -> Column:
     """The first items of an array of strings, and how many there are where some are left out."""
     shown = F.array_join(F.slice(items, 1, most), ", ")
@@ -184,10 +231,18 @@ def camera_name(make: Column, model: Column) -> Column:
     return F.when(F.lower(model).startswith(F.lower(make)), model).otherwise(F.concat_ws(" ", make, model))
 
 
-def dynamic_range(bits: Column, sample_format: Column, raw: Column) -> Column:
-    """What bit depth and sample format tell of a file's range; null where they tell nothing."""
+def dynamic_range(bits: Column, sample_format: Column, raw: Column, profile: Column | None = None) -> Column:
+    """What a colour profile, bit depth and sample format tell of a file's range; null where they tell nothing.
+
+    profile: the struct of sources.icc. Its transfer curve, or else its description, comes first.
+    """
+    hdr = F.lit(None).cast("string")
+    if profile is not None:
+        coded = F.concat_ws(", ", F.lit("HDR"), profile["transfer"], profile["primaries"])
+        hdr = F.when(profile["hdr"] & profile["transfer"].isNotNull(), coded).when(profile["hdr"], F.concat(F.lit("HDR, "), F.coalesce(profile["description"], F.lit("declared by ICC profile"))))
     return (
-        F.when(sample_format == 3, F.lit("floating point, scene-linear, unbounded"))
+        F.when(hdr.isNotNull(), hdr)
+        .when(sample_format == 3, F.lit("floating point, scene-linear, unbounded"))
         .when(raw & (bits >= 12), F.concat(F.lit("high, "), bits.cast("string"), F.lit("-bit linear sensor data")))
         .when(bits == 8, F.lit("standard, 8-bit, display-referred"))
     )

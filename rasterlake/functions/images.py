@@ -43,6 +43,11 @@ def _means(a: np.ndarray, n: int, axis: int) -> np.ndarray:
     return (np.take(total, high, axis) - np.take(total, low, axis)) / count
 
 
+def area_means(a: np.ndarray, w: int, h: int) -> np.ndarray:
+    """(h, w, ...) means over the source pixels that each target pixel touches."""
+    return _means(_means(a, h, 0), w, 1)
+
+
 def downscaled(rgb: np.ndarray, w: int, h: int, transfer: str = "srgb") -> np.ndarray:
     """(h, w, 3) linear light of an (H, W, 3) image of 8 or 16 bits, by area means.
 
@@ -51,7 +56,7 @@ def downscaled(rgb: np.ndarray, w: int, h: int, transfer: str = "srgb") -> np.nd
     if rgb.dtype.itemsize == 2 and transfer == "srgb":
         rgb = (rgb >> 8).astype(np.uint8)
     light = curve(transfer, rgb.astype(np.float64) / (65535 if rgb.dtype.itemsize == 2 else 255))
-    return _means(_means(light, h, 0), w, 1)
+    return area_means(light, w, h)
 
 
 def upright(a: np.ndarray, orientation: int) -> np.ndarray:

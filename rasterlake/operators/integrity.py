@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def digests(objects: DataFrame, key: str, content: str, prefix: int = 16) -> DataFrame:
+    """(key, total_len, digest, prefix): length in bytes, SHA-256 in hex and its first digits, which name an object."""
+    digest = F.sha2(F.col(content), 256)
+    return objects.select(key, F.octet_length(content).alias("total_len"), digest.alias("digest"), F.substring(digest, 1, prefix).alias("prefix"))
+
+
 def shards(objects: DataFrame, key: str, content: str, size: int, data_shards: int, pad: bytes | str = b"\x00") -> DataFrame:
     """(key, shard_no, stripe_no, bytes): content (binary, or a string) in pieces of size, the last one padded."""
     n = F.greatest(F.ceil(F.length(content) / F.lit(size)), F.lit(1)).cast("int")

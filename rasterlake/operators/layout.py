@@ -11,19 +11,48 @@ from pyspark.sql.window import Window
 
 
 def tile(regions: DataFrame, objects: DataFrame, key: str) -> DataFrame:
-    """(key, seg_no, src_offset, len, kind): the regions of each object and verbatim segments between.
+    """(key, seg_no, src_offset, len, kind, status): the regions of each object and verbatim segments between.
 
-    regions: key, src_offset, len. objects: key, total_len. One shuffle by key serves the window and
-    the union's numbering.
+    regions: key, src_offset, len. objects: key, total_len. Each region makes its own row, the gap
+    before it and, the last one, the end of the object, so that both tables are read once and one
+    shuffle by key serves join, windows and numbering. An object whose regions overlap or go past its
+    end has one row, with that status and no segment.
     """
-    by = Window.partitionBy(key).orderBy("src_offset", "len")
-    r = regions.select(key, "src_offset", "len").withColumn("cursor", F.coalesce(F.lag(F.col("src_offset") + F.col("len")).over(by), F.lit(0)))
-    gaps = r.where("src_offset > cursor").select(key, F.col("cursor").alias("src_offset"), (F.col("src_offset") - F.col("cursor")).alias("len"), F.lit("verbatim").alias("kind"))
-    ends = r.groupBy(key).agg(F.max(F.col("src_offset") + F.col("len")).alias("end"))
-    tail = objects.select(key, "total_len").join(ends, key, "left").withColumn("end", F.coalesce("end", F.lit(0))).where("total_len > end")
-    tail = tail.select(key, F.col("end").alias("src_offset"), (F.col("total_len") - F.col("end")).alias("len"), F.lit("verbatim").alias("kind"))
-    out = r.select(key, "src_offset", "len", F.lit("image").alias("kind")).unionByName(gaps).unionByName(tail)
-    return out.withColumn("seg_no", F.row_number().over(Window.partitionBy(key).orderBy("src_offset")).cast("long") - 1)
+    key_only, by = Window.partitionBy(key), Window.partitionBy(key).orderBy("src_offset", "len")
+    c = F.col
+    r = objects.select(key, "total_len").join(regions.select(key, "src_offset", "len"), key, "left")
+    r = r.withColumn("__end", c("src_offset") + c("len"))
+    r = r.withColumn("__cursor", F.coalesce(F.max("__end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    r = r.withColumn("__last", F.lead(F.lit(1)).over(by).isNull()).withColumn("__overlap", F.coalesce(F.max((c("src_offset") < c("__cursor")).cast("int")).over(key_only), F.lit(0)) == 1)
+    r = r.withColumn("status", F.when(c("__overlap"), "overlap").when(F.max("__end").over(key_only) > c("total_len"), "past the end").otherwise("ok"))
+    piece = lambda at, n, kind: F.struct(at.cast("long").alias("src_offset"), n.cast("long").alias("len"), F.lit(kind).alias("kind"))
+    none = F.lit(None).cast("struct<src_offset:bigint,len:bigint,kind:string>")
+    reach = F.coalesce("__end", F.lit(0))
+    parts = F.array(
+        F.when(c("src_offset") > c("__cursor"), piece(c("__cursor"), c("src_offset") - c("__cursor"), "verbatim")),
+        F.when(c("src_offset").isNotNull(), piece(c("src_offset"), c("len"), "image")),
+        F.when(c("__last") & (c("total_len") > reach), piece(reach, c("total_len") - reach, "verbatim")),
+    )
+    whole = F.filter(parts, lambda x: x.isNotNull())
+    bad = F.when(c("__last"), F.array(none)).otherwise(F.array().cast("array<struct<src_offset:bigint,len:bigint,kind:string>>"))
+    out = r.select(key, "status", F.explode(F.when(c("status") == "ok", whole).otherwise(bad)).alias("s"))
+    out = out.select(key, "s.src_offset", "s.len", "s.kind", "status")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("src_offset", "len")).cast("long") - 1
+    return out.select(key, F.when(c("status") == "ok", number).alias("seg_no"), "src_offset", "len", "kind", "status")
+
+
+def smallest(segments: DataFrame, key: str) -> DataFrame:
+    """(key, seg_no, len) of each object's smallest image, the first of equal ones: what a preview is made from."""
+    image = segments.where("kind = 'image'")
+    return image.groupBy(key).agg(F.min_by("seg_no", F.struct("len", "seg_no")).alias("seg_no"), F.min("len").alias("len"))
+
+
+def planned(segments: DataFrame, key: str, share: float) -> DataFrame:
+    """(key, segments, payload_len, skeleton_len, stored): what an archive would hold, pixels at `share` of their size."""
+    image = F.col("kind") == "image"
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("len"))), F.lit(0))
+    p = segments.groupBy(key).agg(F.count(F.lit(1)).alias("segments"), n(image).alias("payload_len"), n(~image).alias("skeleton_len"))
+    return p.withColumn("stored", (F.ceil(F.col("payload_len") * share) + F.col("skeleton_len")).cast("long"))
 
 
 def validate(segments: DataFrame, objects: DataFrame, key: str) -> DataFrame:

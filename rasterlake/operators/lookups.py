@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,21 +42,46 @@ def stored_segments(segments: DataFrame, blobs: DataFrame, on: list[str], strict
     return out.withColumn("stored", F.coalesce("__stored", F.lit(0))).drop("__stored")
 
 
+def _cells(max_km: float) -> tuple[Column, Column]:
+    """(band of latitude, how many cells its band has) for columns __lat and __band.
+
+    Bands are as high as max_km. A cell of a band is as wide as max_km is at the highest latitude
+    that a place within reach can have, so that places within reach lie in neighbouring cells.
+    """
+    high = max_km / 111.0
+    top = F.least(F.greatest(F.abs(F.col("__band") - 1), F.abs(F.col("__band") + 2)) * high, F.lit(90.0))
+    share = math.sin(min(max_km / 6371.0088, math.pi / 2))
+    wide = F.cos(F.radians(top))
+    width = F.when(wide > share * 1.001, F.degrees(F.asin(F.least(share / F.greatest(wide, F.lit(1e-9)), F.lit(1.0)))) * 1.001).otherwise(F.lit(360.0))
+    return F.floor(F.col("__lat") / high), F.greatest(F.floor(360.0 / width), F.lit(1)).cast("int")
+
+
 def nearest_place(points: DataFrame, places: DataFrame, key: str, max_km: float) -> DataFrame:
     """(key, city, country, km): the nearest place within max_km, or a much larger one hardly further.
 
     points: key, lat, lon; invalid ones have no row. places: city, country, lat, lon, population.
-    Both sides are dealt by bands of latitude as high as max_km, so a point meets the places of
-    three bands and no others; a point's candidates are reduced in one aggregate before the shuffle.
+    Points meet the places of their cell of latitude and longitude and of those around it, by an
+    equi-join (places are broadcast if Spark finds them small). Candidates are never sorted or sent:
+    one aggregate keeps each point's nearest place, a second the largest notable one, and both have
+    partial results in every task.
     """
-    band = max_km / 111.0
+    band, n = _cells(max_km)
     ok = F.col("lat").between(-90, 90) & ~F.isnan("lat") & ~F.isnan("lon") & (F.abs("lon") < float("inf"))
-    p = points.where(ok).select(key, F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).withColumn("__band", F.floor(F.col("__lat") / band))
-    c = places.select("city", "country", "lat", "lon", "population").withColumn("__band", F.explode(F.array(*(F.floor(F.col("lat") / band) + i for i in (-1, 0, 1)))))
-    hits = p.join(c, "__band").where(F.abs(F.col("lat") - F.col("__lat")) <= band).withColumn("km", haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= max_km)
-    first = Window.partitionBy(key).orderBy("km", "city", "country")
-    whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hits = hits.withColumn("__km", F.first("km").over(whole)).withColumn("__people", F.first("population").over(whole))
+    at = lambda lon: F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / (360.0 / F.col("__n"))).cast("int"), F.col("__n"))
+    p = points.where(ok).select(key, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    p = p.withColumn("__band", band).withColumn("__n", n).withColumn("__cell", at(F.col("__lon")))
+    c = places.where(ok).select("city", "country", "lat", "lon", "population").withColumn("__lat", F.col("lat"))
+    c = c.withColumn("__band", F.explode(F.array(*(band + i for i in (-1, 0, 1))))).withColumn("__n", n)
+    c = c.withColumn("__cell", F.explode(F.array_distinct(F.array(*(F.pmod(at(F.col("lon")) + i, F.col("__n")) for i in (-1, 0, 1)))))).drop("__lat", "__n")
+
+    def near(points: DataFrame) -> DataFrame:
+        km = haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))
+        return points.join(c, ["__band", "__cell"]).withColumn("km", km).where(F.col("km") <= max_km)
+
+    place = F.struct("city", "country", "km")
+    first = near(p).groupBy(key).agg(F.min(F.struct("km", "city", "country", "population")).alias("__first"), F.max_by(place, F.struct(-F.col("km"), "city", "country")).alias("__near"))
+    first = first.select(key, F.col("__first.km").alias("__km"), F.col("__first.population").alias("__people"), "__near")
     notable = (F.col("km") <= F.col("__km") + SLACK_KM) & (F.col("population") >= NOTABLE * F.col("__people"))
-    best = F.struct(F.when(notable, F.lit(1)).otherwise(0).alias("notable"), F.when(notable, F.col("population")).otherwise(0).alias("people"), (-F.col("km")).alias("near"))
-    return hits.groupBy(key).agg(F.max_by(F.struct("city", "country", "km"), F.struct(best, F.col("city"), F.col("country"))).alias("b")).select(key, "b.city", "b.country", "b.km")
+    large = near(p.join(first.drop("__near"), key)).where(notable).groupBy(key).agg(F.max_by(place, F.struct("population", -F.col("km"), "city", "country")).alias("__large"))
+    out = first.join(large, key, "left").withColumn("b", F.coalesce("__large", "__near"))
+    return out.select(key, "b.city", "b.country", "b.km")

@@ -40,6 +40,11 @@ def with_enum_text(fields: DataFrame, name: str = "name", value: str = "value")
     return out.withColumn("shown", F.when(F.col("__text").isNull(), number).otherwise(F.concat("__text", F.lit(" ("), number, F.lit(")")))).drop("__name", "__value", "__text")
 
 
+def field_counts(fields: DataFrame, by: str = "label") -> DataFrame:
+    """(by, field_count, unknown_count): entries of each directory, and how many have no name."""
+    return fields.groupBy(by).agg(F.count(F.lit(1)).alias("field_count"), F.count_if(F.col("name").isNull()).alias("unknown_count"))
+
+
 def in_groups(label: Column, groups: list[str]) -> Column:
     """Whether a directory's label begins with any of groups, in either case; all without groups."""
     return F.lit(True) if not groups else F.coalesce(_any(F.lower(label).startswith(g.lower()) for g in groups), F.lit(False))

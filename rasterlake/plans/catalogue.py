@@ -11,10 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import colour, dictionaries, formats
-from ..operators import integrity, layout, lookups, pixels, tags
+from ..operators import export, facets, integrity, layout, lookups, pixels, stats, tags
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +46,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.tile(regions(spark, sf_dir), objects(spark, sf_dir), "doc_id")
+    return layout.tile(regions(spark, sf_dir), objects(spark, sf_dir), "doc_id").drop("status")
 
 
 _SEGMENTS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -80,14 +79,29 @@ def payload_skeleton(spark, sf_dir):
 
 @query(_SEGMENTS + "SELECT doc_id, min_by(seg_no, (len, seg_no)) AS seg_no, min(len) AS len FROM seg WHERE kind = 'image' GROUP BY doc_id")
 def smallest_preview(spark, sf_dir):
-    image = segments(spark, sf_dir).where("kind = 'image'")
-    return image.groupBy("doc_id").agg(F.min_by("seg_no", F.struct("len", "seg_no")).alias("seg_no"), F.min("len").alias("len"))
+    return layout.smallest(segments(spark, sf_dir), "doc_id")
+
+
+@query(_SEGMENTS + "SELECT doc_id, count(*) AS segments, coalesce(sum(len) FILTER (kind = 'image'), 0) AS payload_len, coalesce(sum(len) FILTER (kind = 'verbatim'), 0) AS skeleton_len, (ceil(coalesce(sum(len) FILTER (kind = 'image'), 0) * 0.5::DOUBLE) + coalesce(sum(len) FILTER (kind = 'verbatim'), 0))::BIGINT AS stored FROM seg GROUP BY doc_id")
+def planned_sizes(spark, sf_dir):
+    """A dry run: what archives of half the pixels' size would hold."""
+    return layout.planned(segments(spark, sf_dir), "doc_id", 0.5)
+
+
+@query("""WITH r AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT o, CASE WHEN o % 3 = 1 AND n > 1 THEN 'overlap' WHEN o % 3 = 2 THEN 'past the end' ELSE 'ok' END AS status, CASE WHEN (o % 3 = 1 AND n > 1) OR o % 3 = 2 THEN 0 ELSE n + 1 END AS segments FROM r GROUP BY o, n""")
+def layout_status(spark, sf_dir):
+    """Layouts whose regions overlap or go past the end are told, not tiled."""
+    li = table(spark, sf_dir, "lineitem").withColumn("ten", lit(10))
+    r = layout.run_offsets(li, "l_orderkey", _ORDER, "ten").select(c("l_orderkey").alias("o"), (c("start") + F.when(c("l_orderkey") % 3 == 1, 0).otherwise(0)).cast("long").alias("src_offset"), F.when((c("l_orderkey") % 3 == 1) & (c("start") == 0), 11).otherwise(10).cast("long").alias("len"))
+    objects = r.groupBy("o").agg((F.max(c("src_offset") + c("len")) + F.when(c("o") % 3 == 2, -1).otherwise(5)).alias("total_len"))
+    out = layout.tile(r, objects, "o")
+    return out.groupBy("o", "status").agg(F.count("seg_no").alias("segments"))
 
 
 @query("SELECT doc_id, strlen(text) AS total_len, sha256(text) AS digest, substr(sha256(text), 1, 16) AS prefix FROM documents")
 def object_digest(spark, sf_dir):
-    digest = F.sha2("text", 256)
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("total_len"), digest.alias("digest"), F.substring(digest, 1, 16).alias("prefix"))
+    return integrity.digests(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("""WITH s AS (SELECT doc_id, greatest((strlen(text) + 1023) // 1024, 1) AS shards FROM documents), t AS (SELECT *, (shards + 31) // 32 AS stripes FROM s)
@@ -175,7 +189,7 @@ def tag_lookup(spark, sf_dir):
 
 @query(_ENTRIES + "SELECT label, count(*) AS field_count, count(*) FILTER (name IS NULL) AS unknown_count FROM f GROUP BY label")
 def unknown_count(spark, sf_dir):
-    return _entries(spark, sf_dir).groupBy("label").agg(F.count(lit(1)).alias("field_count"), F.count_if(c("name").isNull()).alias("unknown_count"))
+    return tags.field_counts(_entries(spark, sf_dir))
 
 
 @query(_ENTRIES + "SELECT event_id, label, name FROM f WHERE name IS NOT NULL AND (lower(name) LIKE '%date%' OR lower(name) LIKE '%lat%')")
@@ -260,6 +274,13 @@ def segment_blob_join(spark, sf_dir):
     return lookups.stored_segments(table(spark, sf_dir, "orders").select(c("o_orderkey").alias("o")), blobs, ["o"], strict=True)
 
 
+@query("""WITH b AS (SELECT l_orderkey AS o, sum(l_quantity::BIGINT)::BIGINT AS stored FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey)
+SELECT o_orderkey AS o, coalesce(stored, 0) AS stored, 'ok' AS status FROM orders LEFT JOIN b ON o_orderkey = b.o""")
+def segment_blob_tolerant(spark, sf_dir):
+    blobs = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 0").groupBy(c("l_orderkey").alias("o")).agg(F.sum(c("l_quantity").cast("long")).alias("stored"))
+    return lookups.stored_segments(table(spark, sf_dir, "orders").select(c("o_orderkey").alias("o")), blobs, ["o"], strict=False)
+
+
 _PLACES = """WITH p AS (SELECT c_custkey AS k, (c_custkey * 7919 % 18000) / 100.0::DOUBLE - 90 AS lat, (c_custkey * 104729 % 36000) / 100.0::DOUBLE - 180 AS lon FROM customer),
 t AS (SELECT s_name AS city, s_nationkey::VARCHAR AS country, (s_suppkey * 6151 % 18000) / 100.0::DOUBLE - 90 AS lat, (s_suppkey * 75011 % 36000) / 100.0::DOUBLE - 180 AS lon, (s_suppkey * 977 % 1000 + 1) * 1000 AS population FROM supplier),
 h AS (SELECT k, city, country, population, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(t.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - p.lon) / 2), 2))) AS km FROM p JOIN t ON abs(t.lat - p.lat) <= 1500 / 111.0::DOUBLE),
@@ -269,12 +290,14 @@ best AS (SELECT k, city, country, km FROM j QUALIFY row_number() OVER (PARTITION
 """
 
 
-def _nearest(spark, sf_dir) -> DataFrame:
+def _nearest(spark, sf_dir, odd: bool = False) -> DataFrame:
     def at(key: str, a: int, b: int) -> list[Column]:
         return [((c(key) * a % 18000) / 100.0 - 90).alias("lat"), ((c(key) * b % 36000) / 100.0 - 180).alias("lon")]
 
     points = table(spark, sf_dir, "customer").select(c("c_custkey").alias("k"), *at("c_custkey", 7919, 104729))
     places = table(spark, sf_dir, "supplier").select(c("s_name").alias("city"), c("s_nationkey").cast("string").alias("country"), *at("s_suppkey", 6151, 75011), ((c("s_suppkey") * 977 % 1000 + 1) * 1000).alias("population"))
+    if odd:
+        points = points.withColumn("lat", F.when(c("k") % 5 == 0, c("lat") + 200).otherwise(c("lat"))).withColumn("lon", F.when(c("k") % 5 == 1, lit(float("nan"))).otherwise(c("lon")))
     return lookups.nearest_place(points, places, "k", 1500.0)
 
 
@@ -283,6 +306,12 @@ def nearest_city(spark, sf_dir):
     return _nearest(spark, sf_dir).withColumn("km", F.round("km", 4))
 
 
+@query(_PLACES.replace("FROM customer)", "FROM customer WHERE c_custkey % 5 > 1)") + "SELECT k, city, country, round(km, 4) AS km FROM best")
+def nearest_of_sane_points(spark, sf_dir):
+    """Points off the globe or without numbers have no place."""
+    return _nearest(spark, sf_dir, odd=True).withColumn("km", F.round("km", 4))
+
+
 @query(_PLACES + "SELECT k, CASE WHEN km < 5 THEN city || ', ' || country ELSE 'near ' || city || ', ' || country || printf(' (%.0f km)', km) END AS shown FROM best")
 def nearest_label(spark, sf_dir):
     return _nearest(spark, sf_dir).select("k", formats.nearest_label(c("city"), c("country"), c("km")).alias("shown"))
@@ -406,25 +435,6 @@ def tone_curve(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(colour.srgb_to_linear(v), 6).alias("srgb"), F.round(colour.pq_to_linear(v), 6).alias("pq"), F.round(colour.hlg_to_linear(v), 6).alias("hlg"), F.round(colour.tone_gain(y), 6).alias("gain"))
 
 
-_WALK = """WITH RECURSIVE node(id, parent, name) AS (SELECT 'r' || {0}, CAST(NULL AS STRING), r_name FROM {1} UNION ALL SELECT 'n' || {2}, 'r' || {3}, n_name FROM {4}),
-walk(id, path, depth) AS (SELECT id, name, 0 FROM node WHERE parent IS NULL UNION ALL SELECT node.id, walk.path || '/' || node.name, depth + 1 FROM node JOIN walk ON node.parent = walk.id)
-SELECT id, path, depth FROM walk"""
-
-
-@query(_WALK.format("r_regionkey", "region", "n_nationkey", "n_regionkey", "nation"))
-def directory_walk(spark, sf_dir):
-    return spark.sql(_WALK.format("r_regionkey", "{region}", "n_nationkey", "n_regionkey", "{nation}"), region=table(spark, sf_dir, "region"), nation=table(spark, sf_dir, "nation"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 > 3 THEN 'unsupported' WHEN o_orderkey % 6 = 0 THEN 'corrupt' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 6 BETWEEN 1 AND 3 THEN o_orderkey % 6 END AS version FROM orders""")
-def version_gate(spark, sf_dir):
-    v = c("o_orderkey") % 6
-    manifest = F.to_json(F.struct(F.when(v > 0, v).alias("version")))
-    read = F.from_json(manifest, "version long")["version"]
-    status = F.when(read.isNull(), "corrupt").when(read > 3, "unsupported").otherwise("ok")
-    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), F.when(status == "ok", read).alias("version"))
-
-
 @query("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'FAILED' WHEN doc_id % 2 = 0 THEN 'ok (quick)' ELSE 'ok (full)' END AS verdict FROM documents JOIN labels USING (doc_id)""")
 def verify_verdicts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -434,25 +444,25 @@ def verify_verdicts(spark, sf_dir):
     return d.select("doc_id", integrity.verdict(n, n, found, digest, c("doc_id") % 2 == 0).alias("verdict"))
 
 
-@query("""SELECT user_id, count(*) AS n_values, CASE WHEN count(*) <= 64 THEN string_agg(event_id::VARCHAR, ',' ORDER BY event_id) END AS raw FROM events GROUP BY user_id""")
+@query(_GRID + ", x AS (SELECT vec_id, list_concat(px, px)[1:(vec_id % 80 + 1)::INT] AS v FROM g) SELECT vec_id, len(v) AS n_values, CASE WHEN len(v) <= 64 THEN '[' || array_to_string(v, ',') || ']' END AS raw FROM x")
 def json_raw(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(lit(1)).alias("n_values"), F.slice(F.sort_array(F.collect_list("event_id")), 1, 65).alias("v"))
-    return e.select("user_id", "n_values", F.when(c("n_values") <= 64, F.array_join(F.transform("v", lambda x: x.cast("string")), ",")).alias("raw"))
+    """Lists of up to 64 values as JSON; longer ones are left out."""
+    e = _grid(spark, sf_dir).select("vec_id", F.slice(F.concat("px", "px"), 1, (c("vec_id") % 80 + 1).cast("int")).alias("v"))
+    return e.select("vec_id", F.size("v").alias("n_values"), export.capped(c("v")).alias("raw"))
 
 
 @query(f"""SELECT vec_id, array_to_string(list_transform(embedding[1:k], lambda x: {_TRIM.format(6, "x::DOUBLE")})[1:8], ', ') || CASE WHEN k > 8 THEN ' ⋯ (' || k || ' values)' ELSE '' END AS shown
 FROM (SELECT *, vec_id % 16 + 1 AS k FROM embeddings)""")
 def render_truncated(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, (c("vec_id") % 16 + 1).cast("int")).alias("v"))
-    shown = e.select("vec_id", F.size("v").alias("k"), F.posexplode(F.slice("v", 1, 8)).alias("i", "x")).withColumn("x", formats.without_zeros(formats.decimals(c("x").cast("double"), lit(6))))
-    items = shown.groupBy("vec_id", "k").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    text = F.array_join(F.transform("v", lambda s: s["x"]), ", ")
-    return items.select("vec_id", F.when(c("k") > 8, F.concat(text, lit(" ⋯ ("), c("k").cast("string"), lit(" values)"))).otherwise(text).alias("shown"))
+    v = F.transform(F.slice("embedding", 1, (c("vec_id") % 16 + 1).cast("int")), lambda x: x.cast("double"))
+    value = F.struct(lit("reals").alias("tag"), v.alias("reals"), lit(None).cast("array<struct<n:bigint,d:bigint>>").alias("rats"))
+    entries = table(spark, sf_dir, "embeddings").select("vec_id", value.alias("value"))
+    return facets.shown_numbers(entries, ["vec_id"]).withColumnRenamed("numbers", "shown")
 
 
 @query("SELECT l_orderkey, max(l_quantity) AS peak, sum(l_quantity) AS total, bool_or(l_returnflag = 'R') AS any_returned, bool_and(l_quantity > 5) AS all_large FROM lineitem GROUP BY l_orderkey")
 def peak_metrics(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("peak"), F.sum("l_quantity").alias("total"), F.bool_or(c("l_returnflag") == "R").alias("any_returned"), F.bool_and(c("l_quantity") > 5).alias("all_large"))
+    return stats.peaks(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", any_of={"any_returned": c("l_returnflag") == "R"}, all_of={"all_large": c("l_quantity") > 5})
 
 
 def _kernel(docs: DataFrame, work, schema: str) -> DataFrame:
@@ -503,22 +513,11 @@ def archive_roundtrip(spark, sf_dir):
         broken = bytearray(raw)
         broken[len(raw) // 5] ^= 0xFF
         mended = fmt.repair(bytes(broken))
-        fmt.verify(mended)
-        back = fmt.unpack(mended)
-        yield doc_id, len(back), hashlib.sha256(back).hexdigest(), "ok (full)", mended == raw
-
-    return _kernel(table(spark, sf_dir, "documents"), work, "doc_id long, original long, digest string, verdict string, repaired boolean")
-
-
-@query("SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY event_type")
-def stream_ingest(spark, sf_dir):
-    """Events as a stream of files that is read once and ends, summed into a table of the session's memory."""
-    import uuid
+        back, want = fmt.unpack(mended), fmt.manifest(mended)["original"]
+        yield doc_id, len(back), hashlib.sha256(back).hexdigest(), want["len"], want["sha256"], mended == raw
 
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"ingest_{uuid.uuid4().hex}"
-    events.groupBy("event_type").agg(F.count(lit(1)).alias("n"), F.sum("value").alias("total")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    found = _kernel(table(spark, sf_dir, "documents"), work, "doc_id long, original long, digest string, want_len long, want string, repaired boolean")
+    return found.select("doc_id", "original", "digest", integrity.verdict(c("original"), c("want_len"), c("digest"), c("want"), lit(False)).alias("verdict"), "repaired")
 
 
 _RANGE = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 14 ELSE 16 END AS bits, p_size % 4 AS fmt, p_partkey % 3 = 0 AS raw, p_partkey % 11 AS turn FROM part"
@@ -554,8 +553,8 @@ def proportion_bar(spark, sf_dir):
 @query("""SELECT user_id, event_id, event_type, value > coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raised FROM events""")
 def peak_phase(spark, sf_dir):
     """Which step raised the highest value so far."""
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (c("value") > F.coalesce(F.max("value").over(before), lit(0.0))).alias("raised"))
+    steps = stats.raised(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return steps.select("user_id", "event_id", "event_type", "raised")
 
 
 @query(_SEGMENTS + "SELECT doc_id, seg_no, len, kind FROM seg WHERE kind = 'image' AND len >= 400")

@@ -46,6 +46,10 @@ def parse(raw: bytes) -> dict:
         elif name == b"cicp" and size >= 12:
             p, t = body[8], body[9]
             out |= {"primaries": PRIMARIES.get(p, "unknown primaries"), "transfer": TRANSFER.get(t, "unknown transfer"), "hdr": t in (16, 18), "curve": {16: "pq", 18: "hlg"}.get(t, "srgb"), "bt2020": p == 9}
+    if out["transfer"] is None and out["description"]:
+        # A profile without code points may be told by its name: fixed values, names of standards.
+        name = out["description"].lower()
+        out["hdr"] = any(x in name for x in ("2100", "2084", "hlg", " pq")) or name.endswith("pq")
     return out
 
 

@@ -7,6 +7,7 @@ same to spark.read, one partition for each group of files.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from . import tiff
 
 VALUE = "struct<tag:string,text:string,ints:array<bigint>,rats:array<struct<n:bigint,d:bigint>>,reals:array<double>,bin_len:bigint,why:string>"
-ENTRIES = f"path string, ifd_ord int, ifd_kind string, ifd_n int, label string, ifd_offset bigint, ent_ord int, tag int, dtype int, count bigint, value_offset bigint, inline boolean, bytes binary, value {VALUE}, status string, error_detail string"
+ENTRIES = f"path string, container string, little_endian boolean, ifd_ord int, ifd_kind string, ifd_n int, label string, ifd_offset bigint, ent_ord int, tag int, dtype int, count bigint, value_offset bigint, inline boolean, bytes binary, value {VALUE}, status string, error_detail string"
 SEGMENTS = "path string, container string, total_len bigint, orientation smallint, seg_no int, src_offset bigint, len bigint, kind string, spec struct<width:bigint,height:bigint,bits:int,samples:int,layout:string,le:boolean>, status string, error_detail string"
 _BLANK = {"text": None, "ints": None, "rats": None, "reals": None, "bin_len": None, "why": None}
 
@@ -33,30 +34,40 @@ def _open(path: str):
 def entry_rows(path: str) -> Iterator[tuple]:
     try:
         with _open(path) as f:
-            if is_archive_file(f):
+            kept = is_archive_file(f)
+            if kept:
                 import io
 
                 from ..archive import format as fmt
 
                 f.seek(0)
                 f = io.BytesIO(fmt.skeleton(f.read()))
-            mark, found = tiff.directories(tiff.window(f))
+            w = tiff.window(f)
+            mark, found = tiff.directories(w)
+        container = f"{'archive of ' * kept}{'jpeg' if w.base else 'tiff'}"
         for i, d in enumerate(found):
             for j, e in enumerate(d.entries):
-                yield (path, i, d.kind, d.n, d.label, d.offset, j, e.tag, e.dtype, e.count, e.value_offset, e.inline, e.data, _BLANK | tiff.value(mark, e), "ok", e.unreadable)
+                yield (path, container, mark == "<", i, d.kind, d.n, d.label, d.offset, j, e.tag, e.dtype, e.count, e.value_offset, e.inline, e.data, _BLANK | tiff.value(mark, e), "ok", e.unreadable)
     except (ValueError, OSError) as why:
-        yield (path, *[None] * 13, "FAILED", str(why))
+        yield (path, *[None] * 15, "FAILED", str(why))
 
 
 def is_archive_file(f) -> bool:
-    """Whether a file ends with an archive's footer."""
+    """Whether a file ends with an archive's footer, by its checksum, and has the mark where it says."""
     from ..archive import format as fmt
 
     size = tiff.size_of(f)
     f.seek(max(0, size - fmt.COPIES * fmt.FOOTER_SIZE))
-    tail = f.read(fmt.COPIES * fmt.FOOTER_SIZE)
+    try:
+        foot = fmt.footer(f.read(fmt.COPIES * fmt.FOOTER_SIZE), size)
+    except fmt.ArchiveError:
+        return False
+    finally:
+        f.seek(0)
+    f.seek(foot.preview)
+    mark = f.read(len(fmt.MAGIC))
     f.seek(0)
-    return fmt.FOOT in tail
+    return mark == fmt.MAGIC
 
 
 def segment_rows(path: str) -> Iterator[tuple]:
@@ -106,7 +117,10 @@ class _Files(InputPartition):
 
 class _EntryReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.paths, self.group = options["paths"].split(","), int(options.get("filesPerPartition", "64"))
+        # Paths with commas are given one a line, or as a list in JSON.
+        given = options["paths"]
+        self.paths = json.loads(given) if given.startswith("[") else given.split("\n" if "\n" in given else ",")
+        self.group = int(options.get("filesPerPartition", "64"))
 
     def partitions(self):
         return [_Files(self.paths[i : i + self.group]) for i in range(0, len(self.paths), self.group)]
@@ -117,7 +131,7 @@ class _EntryReader(DataSourceReader):
 
 
 class ImageEntries(DataSource):
-    """spark.read.format("image_entries").option("paths", "a.tif,b.jpg").load()"""
+    """spark.read.format("image_entries").option("paths", "a.tif,b.jpg").load(); paths may also be a JSON list."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import json
 import struct
 
 import numpy as np
@@ -13,6 +14,7 @@ from rasterlake.archive import codecs, jobs
 from rasterlake.archive import format as fmt
 from rasterlake.functions import colour, gf256, images
 from rasterlake.operators import facets
+from rasterlake.sources import build
 from rasterlake.sources import icc as profiles
 from rasterlake.sources import images as sources
 from rasterlake.sources import tiff as reader
@@ -175,7 +177,8 @@ def test_entries_fields_and_summary(spark, folder):
     f = {r["name"]: r for r in facets.fields(e).where("path like '%.jpg'").collect()}
     shown = {k: f[k].display for k in ("ExposureTime", "FNumber", "FocalLength", "ISOSpeedRatings", "DateTime", "PhotometricInterpretation", "AsShotNeutral", "Artist", "GPSLatitudeRef")}
     assert shown == {"ExposureTime": "1/125 s", "FNumber": "f/2.8", "FocalLength": "45 mm", "ISOSpeedRatings": "ISO 400", "DateTime": "2018-04-09T19:23:29", "PhotometricInterpretation": "4242", "AsShotNeutral": "0.447106", "Artist": "Anna", "GPSLatitudeRef": "S"}
-    assert f["ColorMatrix1"].display == ", ".join(["1/3"] * 9)
+    assert f["ColorMatrix1"].display == ", ".join(["1/3"] * 8) + " ⋯ (9 values)" and f["ColorMatrix1"].matrix == ["  ".join([" 0.333333"] * 3)] * 3
+    assert (f["ISOSpeedRatings"].type_note, f["ColorMatrix1"].type_note) == ("SHORT[1]", "SRATIONAL[9]")
     hidden = {r["name"]: r for r in facets.fields(e, redact=True).collect()}
     assert hidden["Artist"].display == "<redacted>" and hidden["Artist"].value is None and len(hidden) == len({r["name"] for r in facets.fields(e).collect()})
     assert facets.fields(e, everything=True).where("tag = 64321").count() == 1
@@ -246,3 +249,94 @@ def test_stream_reads_each_file_once(spark, folder):
     (folder / "in" / "d.txt").write_bytes(b"rot")
     now = spark.read.format("binaryFile").load(str(folder / "in")).select("path", F.sha2("content", 256).alias("digest"))
     assert [r.path[-5:] for r in ingest.changed(now, known).collect()] == ["d.txt"]
+
+
+def test_archives_begin_with_a_preview_and_tell_of_themselves(spark, folder):
+    (folder / "in" / "rgb.tif").write_bytes(image(900, 600, 3, 2, 8, orientation=6)[0])
+    out = jobs.archive(paths(spark, folder), str(folder / "out"), edge=64).collect()
+    kept = spark.createDataFrame([(r.target,) for r in out], "path string")
+    first = {r.path.rpartition("/")[2]: r.preview for r in jobs.stored_previews(kept).collect()}
+    assert first["rgb.rla.tif"][:4] == b"\x89PNG" and first["a.rla.tif"] is None and first["c.rla.txt"] is None
+    assert (folder / "out" / "rgb.rla.tif").read_bytes().startswith(first["rgb.rla.tif"])
+    m = {r.manifest.original.name: r.manifest for r in jobs.manifests(kept).collect()}
+    assert m["a.tif"].provenance.codec == "zlib" and len(m["a.tif"].provenance.made) == 20
+    by = {r.path.rpartition("/")[2]: r for r in out}
+    assert by["a.tif"].payload_len == 2 << 20 and by["a.tif"].sha256 == hashlib.sha256((folder / "in" / "a.tif").read_bytes()).hexdigest() and by["a.tif"].peak_rss > 0
+    assert {r.status for r in jobs.repair(kept).collect()} == {"no parity"}
+    assert not sources.is_archive_file(io.BytesIO(fmt.FOOT * 40)) and sources.is_archive_file(io.BytesIO((folder / "out" / "a.rla.tif").read_bytes()))
+
+
+def test_chunked_copies_count_and_hash():
+    data = bytes(range(256)) * 41
+    out = io.BytesIO()
+    assert jobs.copied(io.BytesIO(data), out, 100) == (len(data), hashlib.sha256(data).hexdigest()) and out.getvalue() == data
+
+
+def test_patches_are_what_was_damaged():
+    raw = fmt.pack(bytes(range(256)) * 300, "x", "identity", fmt.Parity(4, 2, 1024))
+    f = fmt.footer(raw)
+    for places in ([50], [50, 5000, 70_000], [f.protected + 20], [f.protected + f.parity - 5], [len(raw) - 3], [f.protected + 20, 90, len(raw) - 3]):
+        broken = bytearray(raw)
+        for at in places:
+            broken[at] ^= 255
+        assert fmt.repair(bytes(broken)) == raw
+        assert sum(len(x) for _, x in fmt.patches(bytes(broken))) < 4096 + len(places) * 1024
+    assert fmt.patches(raw) == []
+
+
+def test_profiles_without_code_points_are_told_by_name():
+    for name, hdr in (("Rec. 2100 PQ", True), ("My HLG screen", True), ("sRGB", False), ("Sunset pq", True)):
+        assert profiles.parse(build.colour_profile(description=name))["hdr"] is hdr
+
+
+def test_built_files_are_read_again():
+    for mark in "<>":
+        t = build.Tiff(mark)
+        raw = t.done(t.directory([(271, 2, "Maker"), (33434, 5, (1, 8)), (256, 4, 7), (330, 4, t.directory([(270, 2, "below")]))]))
+        own, found = entries(raw)
+        assert own == mark and [d.label for d in found] == ["IFD0", "SubIFD0"] and reader.value(own, found[1].first(270))["text"] == "below"
+
+
+def test_command_line(spark, folder, capsys):
+    from rasterlake.__main__ import main
+
+    (folder / "in" / "rgb.tif").write_bytes(image(900, 600, 3, 2, 8, orientation=6)[0])
+    rgb, photo = str(folder / "in" / "rgb.tif"), str(folder / "in" / "b.jpg")
+    assert main(["exif", photo], spark) == 0 and "Canon EOS" in capsys.readouterr().out
+    assert main(["exif", "--json", "--redact", photo], spark) == 0
+    read = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    found = {t["name"]: t for d in read["directories"] for t in d["tags"]}
+    assert found["ExposureTime"]["raw"] == [[10, 1250]] and found["Artist"]["redacted"] and "raw" not in found["Artist"]
+    assert main(["archive", "--dry-run", rgb], spark) == 0 and "1620000" in capsys.readouterr().out
+    assert main(["archive", "--out", str(folder / "o"), "--parity", "6", "--stats", rgb], spark) == 0 and "/s" in capsys.readouterr().out
+    assert main(["verify", str(folder / "o" / "rgb.rla.tif")], spark) == 0
+    assert main(["thumb", "--out", str(folder / "t"), rgb], spark) == 0 and (folder / "t" / "rgb.tif.png").read_bytes()[:4] == b"\x89PNG"
+    assert main(["verify", rgb], spark) == 1
+
+
+def test_paths_with_commas(spark, folder):
+    (folder / "in" / "a,b.tif").write_bytes((folder / "in" / "a.tif").read_bytes())
+    sources.register(spark)
+    names = json.dumps([str(folder / "in" / "a,b.tif")])
+    assert spark.read.format("image_entries").option("paths", names).load().where("status = 'ok'").count() > 5
+
+
+def test_nearest_place_in_a_hot_spot_and_at_the_edges(spark):
+    from rasterlake.operators import lookups
+
+    places = spark.createDataFrame([("pole", "A", 89.9, 10.0, 5), ("date line", "B", 10.0, 179.9, 5), ("town", "C", 48.85, 2.29, 100), ("city", "C", 48.86, 2.35, 2_000_000)], "city string, country string, lat double, lon double, population long")
+    points = [(1, 89.8, -170.0), (2, 10.1, -179.8), (3, 48.85, 2.295), (4, -40.0, -140.0), (5, 95.0, 0.0), (6, float("nan"), 0.0), (7, 0.0, float("inf"))] + [(100 + i, 48.85, 2.29) for i in range(2000)]
+    got = {r.k: r.city for r in lookups.nearest_place(spark.createDataFrame(points, "k int, lat double, lon double"), places, "k", 200.0).collect()}
+    assert (got.pop(1), got.pop(2), got.pop(3)) == ("pole", "date line", "city") and set(got) == set(range(100, 2100)) and set(got.values()) == {"city"}
+
+
+def test_large_images_and_odd_arrays(spark):
+    from rasterlake.operators import pixels
+
+    w, h = 600, 400
+    px = np.arange(w * h)
+    df = spark.createDataFrame([(px.tolist(), w, h), ([1, 2, 3], 2, 2), (None, 2, 2)], "px array<long>, w int, h int")
+    c = F.col
+    out = df.select(pixels.cfa_merge(pixels.cfa_split(c("px"), c("w"), c("h")), c("w"), c("h")).alias("same"), pixels.area_average(c("px"), c("w"), c("h"), 3, 2).alias("mean"), pixels.oriented(c("px"), c("w"), c("h"), 3).alias("turned")).collect()
+    assert out[0].same == px.tolist() and len(out[0].mean) == 6 and out[0].turned == px[::-1].tolist()
+    assert out[1].same is None and out[1].mean is None and out[2].turned is None

@@ -40,14 +40,15 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .common import written
+from .groups import GROUP_BYTES, STRETCH, Answers, Tally, by_piece, packed_keys, pieces_for, planes, unpacked_keys, unplanes
+from .groups import batch as _batch
+from .groups import packed as _packed
+from .groups import texts_of as _texts
+from .groups import unpacked as _unpacked
 
 DEPTH = 5
-#: Bytes of text in a group, and of text that is worked on at once.
-GROUP_BYTES, STRETCH = 16 << 20, 1 << 20
-#: Keys that a task holds before it adds up equal ones, and that a group has at most before it ends.
-HELD, GROUP_KEYS = 4 << 20, 2 << 20
-#: Text for each piece, and least and most pieces; asked keys for each task that answers.
-PIECE_BYTES, LEAST_PIECES, MOST_PIECES, ANSWERED = 16 << 20, 16, 4096, 16 << 20
+#: Keys that a group has at most before it ends; asked keys for each task that answers.
+GROUP_KEYS, ANSWERED = 2 << 20, 16 << 20
 #: Sorted keys of whole two-byte contexts that are worked out at once.
 TREE_KEYS = 1 << 17
 HELD_OUT = 10
@@ -96,102 +97,7 @@ def codes(before: list[bytes], body: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return out[keep], first
 
 
-def planes(values: np.ndarray) -> bytes:
-    """The values byte by byte, all lowest bytes first: what is zero throughout compresses away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def unplanes(raw: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences."""
-    return planes(np.diff(keys, prepend=U64(0)))
-
-
-def unpacked_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(raw, U64), dtype=U64)
-
-
-def piece_of(keys: np.ndarray, pieces: int) -> np.ndarray:
-    return (kernels.mix(keys) % U64(pieces)).astype(np.int64)
-
-
-def by_piece(pieces: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """(piece, its ascending keys, their values) of ascending keys."""
-    at = piece_of(keys, pieces)
-    order = np.argsort(at, kind="stable")
-    keys, values = keys[order], [v[order] for v in values]
-    ends = np.searchsorted(at[order], np.arange(pieces + 1))
-    for p in np.flatnonzero(ends[1:] > ends[:-1]):
-        part = slice(ends[p], ends[p + 1])
-        yield int(p), keys[part], *(v[part] for v in values)
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate([k for k, _ in parts])
-    n = np.concatenate([x for _, x in parts])
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n
-
-
-class Tally:
-    """Counts by key, added up whenever many are held."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = self.distinct = 0
-
-    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.parts.append((keys, n))
-        self.held += len(keys)
-        if self.held > 2 * self.distinct + HELD:
-            self.sum()
-
-    def sum(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        self.parts = [_summed(self.parts)] if len(self.parts) > 1 else self.parts
-        self.held = self.distinct = len(self.parts[0][0])
-        return self.parts[0]
-
-
 _ASKED = "kind int, part int, seq int, piece int, texts binary, ids binary, sizes binary, keys binary, counts binary, n long"
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-
-
-def _batch(schema: str, size: int, **columns) -> pa.RecordBatch:
-    """Columns by name; a scalar stands for all rows, and columns left out are null."""
-    out, names = [], []
-    for name, kind in (x.split() for x in schema.split(", ")):
-        value = columns.get(name)
-        if not isinstance(value, (pa.Array, np.ndarray, list)):
-            value = [value] * size
-        out.append(value.cast(_TYPES[kind]) if isinstance(value, pa.Array) else pa.array(value, _TYPES[kind]))
-        names.append(name)
-    return pa.RecordBatch.from_arrays(out, names)
-
-
-def _texts(column) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
-def _packed(ids: list, texts: list[bytes]) -> dict:
-    """Documents as columns of one row; a size below 0 tells a null id."""
-    sizes = np.array([len(t) if i is not None else -1 - len(t) for i, t in zip(ids, texts, strict=True)], np.int64)
-    return {"texts": [zlib.compress(b"".join(texts), 1)], "ids": [np.array([i or 0 for i in ids], np.int64).tobytes()], "sizes": [sizes.tobytes()]}
-
-
-def _unpacked(texts: bytes, ids: bytes, sizes: bytes) -> tuple[list, list[bytes]]:
-    raw, own, n = zlib.decompress(texts), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(sizes, np.int64)
-    ends = np.cumsum(np.where(n < 0, -1 - n, n)).tolist()
-    return [i if x >= 0 else None for i, x in zip(own, n, strict=True)], [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-
 def _tally(tallies: dict[int, Tally], texts: list[bytes], learnt: np.ndarray) -> None:
     """Adds the keys of texts, and how often those that are learnt from have them."""
     def add(kind: int, keys: np.ndarray, trains: np.ndarray) -> None:
@@ -443,28 +349,6 @@ def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_REPLIES, 1, kind=kind, part=part, seq=seq, piece=piece, answers=[planes(got if kind == WORD else got.astype(np.float32))])
 
 
-class Answers:
-    """What a group was told: values by key, looked up through a table of slots."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        self.shift = U64(64 - max(10, int(2 * len(keys)).bit_length()))
-        at = self._slot(self.keys)
-        self.slots = np.zeros(1 << int(64 - self.shift), np.int32)
-        self.slots[at] = np.arange(len(keys), dtype=np.int32)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """All keys are known: every one was asked for."""
-        place = self.slots[self._slot(keys)]
-        other = np.flatnonzero(self.keys[place] != keys)
-        place[other] = np.searchsorted(self.keys, keys[other])
-        return self.values[place]
-
-
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, n_bytes long, score double"
 
 
@@ -528,7 +412,7 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    pieces = min(max(size // PIECE_BYTES, LEAST_PIECES), MOST_PIECES)
+    pieces = pieces_for(size)
     asked = written(docs.mapInArrow(lambda b: _ask(b, pieces), _ASKED), "asked", "zstd")
     keys = asked.where(F.col("kind") < TEXT)
     n_keys, parts, groups, texts = asked.agg(

@@ -4,9 +4,9 @@ Texts with the same shingle set form a class, and classes are joined. Two classe
 `boundary` shingles are found by subsets: for sizes s and u they must share `need(s, u)`
 shingles, so both enumerate their subsets of just that size. All other pairs are found by
 inverted lists: a set of size n posts its n - ceil(t n) + 1 rarest shingles, and a linked pair
-has one of them in common. "Rarest" is by counts over all texts in a table of fixed width; any
-fixed order is correct, a good one keeps frequent shingles out of the lists. The boundary is the
-one with the least cost, by the sizes present and the length of the lists that they would scan.
+has one of them in common. "Rarest" is by exact counts over all texts, ties by hash: groups of texts
+ask for the counts of their shingles (see groups.py). Shingles that occur once are in no list. The
+boundary is the one with the least cost, by the sizes present and the lists that they would scan.
 
 In the common order, the first shingle that a linked pair shares is posted by both, at ranks i and j
 from 0, and nothing before it is shared: they share at most min(n - i, m - j). A list makes only the
@@ -41,15 +41,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels
 from .common import remove, written
+from .groups import GROUP_BYTES, STRETCH, Answers, Tally, batch, by_piece, packed, packed_keys, pieces_for, planes, unpacked, unpacked_keys, unplanes
 
-#: Cells of the table of shingle counts and of one piece of it.
-WIDTH, PIECE = 1 << 21, 1 << 16
 #: Largest set for which subsets are considered.
 MOST_SMALL = 16
 #: Cost of comparing a pair, in postings.
@@ -89,10 +89,6 @@ def best_boundary(sizes: dict[int, tuple[int, float]], num: int, den: int) -> in
     return min(range(MOST_SMALL + 1), key=lambda x: (cost(x), -x))
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - int(math.log2(WIDTH)))).astype(np.int64)
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     for b in batches:
         yield b.column("doc_id").to_pylist(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
@@ -102,48 +98,72 @@ def _class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_CLASSES = "doc_id long, n_shingles long, cid long, small binary, piece int, counts binary"
-
-
-def _classes(batches, k: int):
-    counts = np.zeros(WIDTH, np.uint32)
-    for ids, texts in _texts(batches):
-        out = []
-        for doc_id, s in zip(ids, kernels.shingle_sets(texts, k), strict=True):
-            np.add.at(counts, _cells(s), 1)
-            out.append((doc_id, len(s), _class_id(s) if len(s) else None, s.tobytes() if 0 < len(s) <= MOST_SMALL else None))
-        if out:
-            cols = list(zip(*out, strict=True))
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _CLASSES.split(", ")])
-    pieces = [i for i in range(WIDTH // PIECE) if counts[i * PIECE : (i + 1) * PIECE].any()]
-    if pieces:
-        n = len(pieces)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array(pieces, pa.int32()), pa.array([counts[i * PIECE : (i + 1) * PIECE].tobytes() for i in pieces], pa.binary())], names=[x.split()[0] for x in _CLASSES.split(", ")])
-
-
-def _summed(batches):
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, c in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            total[i] = total.get(i, 0) + np.frombuffer(c, np.uint32).astype(np.uint64)
-    if total:
-        # one byte a cell: the count on a scale of eighths of a power of two
-        scaled = [np.round(8 * np.log2(1.0 + v)).clip(0, 255).astype(np.uint8).tobytes() for v in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(scaled, pa.binary())], names=["piece", "counts"])
+_ASKED = "kind int, part int, seq int, piece int, doc_id long, n_shingles long, cid long, texts binary, ids binary, sizes binary, keys binary, counts binary, met double"
+ROW, TEXT, KEYS, SMALL = 0, 1, 2, 3
 
 
-def frequency_table(classes: DataFrame) -> np.ndarray:
-    """Counts of all texts' shingles by cell, of fixed width whatever the input."""
-    pieces = classes.where("piece is not null").select("piece", "counts").repartitionById(WIDTH // PIECE, F.col("piece"))
-    table = np.zeros(WIDTH, np.uint8)
-    for r in pieces.mapInArrow(_summed, "piece int, counts binary").collect():
-        table[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, np.uint8)
-    return table
+def _ask(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, pieces: int) -> Iterator[pa.RecordBatch]:
+    """Each document's class; by group, the packed texts of its classes, their shingles with counts, and what
+    postings of its small sets meet in the group."""
+    part, seq, size = TaskContext.get().partitionId(), 0, 0
+    tally, seen, small = Tally(), set(), []
 
+    def asked():
+        keys, n = tally.sum()
+        for p, own, c in by_piece(pieces, keys, n):
+            yield batch(_ASKED, 1, kind=KEYS, part=part, seq=seq, piece=p, keys=[packed_keys(own)], counts=[planes(c.astype(np.uint32))])
+        if small:
+            met = []
+            for s in small:
+                c = np.sort(n[np.searchsorted(keys, s)])[: prefix(len(s), num, den)]
+                met.append(float((c - 1).mean()))
+            yield batch(_ASKED, len(small), kind=SMALL, part=part, seq=seq, n_shingles=np.array([len(s) for s in small]), met=np.array(met))
 
-def _rarest(s: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
-    return s[np.lexsort((s, table[_cells(s)]))[:n]]
+    for ids, texts in _texts(batches):
+        at = 0
+        while at < len(texts):
+            end, room = at, STRETCH
+            while end < len(texts) and (room > 0 or end == at):
+                room -= len(texts[end])
+                end += 1
+            cids, sizes, new, kept = [], [], [], []
+            for t, s in zip(texts[at:end], kernels.shingle_sets(texts[at:end], k), strict=True):
+                cids.append(_class_id(s) if len(s) else None)
+                sizes.append(len(s))
+                if len(s) and cids[-1] not in seen:
+                    seen.add(cids[-1])
+                    new.append(s)
+                    kept.append(t)
+                    if len(s) <= MOST_SMALL:
+                        small.append(s)
+            yield batch(_ASKED, end - at, kind=ROW, part=part, seq=seq, doc_id=ids[at:end], n_shingles=np.array(sizes), cid=cids)
+            if new:
+                yield batch(_ASKED, 1, kind=TEXT, part=part, seq=seq, **packed([0] * len(kept), kept))
+                tally.add(*np.unique(np.concatenate(new), return_counts=True))
+            size += sum(map(len, texts[at:end]))
+            at = end
+            if size >= GROUP_BYTES:
+                yield from asked()
+                tally, seen, small, size, seq = Tally(), set(), [], 0, seq + 1
+    yield from asked()
+
+
+_TOLD = "kind int, part int, seq int, piece int, texts binary, ids binary, sizes binary, answers binary"
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For all questions of a piece: the counts of each group's keys over all groups, in their order."""
+    tallies: dict[int, Tally] = {}
+    asked = []
+    for b in batches:
+        for part, seq, piece, keys, n in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "piece", "keys", "counts")), strict=True):
+            own = unpacked_keys(keys)
+            tallies.setdefault(piece, Tally()).add(own, unplanes(n, np.uint32).astype(np.int64))
+            asked.append((part, seq, piece, keys))
+    for part, seq, piece, raw in asked:
+        keys, n = tallies[piece].sum()
+        got = n[np.searchsorted(keys, unpacked_keys(raw))]
+        yield batch(_TOLD, 1, kind=KEYS, part=part, seq=seq, piece=piece, answers=[planes(np.minimum(got, 0xFFFFFFFF).astype(np.uint32))])
 
 
 def _subsets(s: np.ndarray, boundary: int, num: int, den: int) -> Iterator[int]:
@@ -168,26 +188,54 @@ def may_be_near(num: int, den: int) -> Column:
     return den * most >= num * (F.col("n_a") + F.col("n_b") - most)
 
 
-def _signatures(batches, k: int, table, boundary: int, num: int, den: int):
-    table, seen = table.value, set()
-    for _, texts in _texts(batches):
-        cids, sizes, sigs, lefts, bits = [], [], [], [], []
-        for s in kernels.shingle_sets(texts, k):
-            n = len(s)
-            if not n or (cid := _class_id(s)) in seen:
-                continue
-            seen.add(cid)
-            own = list(_subsets(s, boundary, num, den)) if n <= boundary else []
-            left = [n] * len(own)
-            if n > boundary or den * n // num > boundary:
-                own += _rarest(s, table, prefix(n, num, den)).view(np.int64).tolist()
-                left += range(n, n - prefix(n, num, den), -1)
-            cids.append(cid)
-            sizes.append(n)
-            sigs.append(own)
-            lefts.append(left)
-            bits.append(sketch(s))
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lefts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["cid", "n", "sigs", "lefts", "bits"])
+def _signatures(batches: Iterator[pa.RecordBatch], k: int, boundary: int, num: int, den: int, pieces: int) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by group: each class's signatures, what is left of its set at each, and its sketch."""
+    of, texts, told = None, [], {}
+
+    def finished():
+        tally = Tally()
+        for row in texts:
+            sets = list(kernels.shingle_sets(unpacked(*row)[1], k))
+            keys = np.unique(np.concatenate(sets))
+            tally.add(keys, np.zeros(len(keys), np.int64))
+        parts = [(own, unplanes(told[p], np.uint32)) for p, own in by_piece(pieces, tally.sum()[0])]
+        if not parts:
+            return
+        count_of = Answers(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for row in texts:
+            cids, sizes, sigs, lefts, bits = [], [], [], [], []
+            for s in kernels.shingle_sets(unpacked(*row)[1], k):
+                n = len(s)
+                own = np.array(list(_subsets(s, boundary, num, den)) if n <= boundary else [], np.int64)
+                left = np.full(len(own), n)
+                if n > boundary or den * n // num > boundary:
+                    count = count_of(s)
+                    first = np.lexsort((s, count))[: prefix(n, num, den)]
+                    shared = count[first] > 1
+                    own = np.concatenate([own, s[first][shared].view(np.int64)])
+                    left = np.concatenate([left, (n - np.arange(len(first)))[shared]])
+                if len(own):
+                    cids.append(_class_id(s))
+                    sizes.append(n)
+                    sigs.append(own)
+                    lefts.append(left)
+                    bits.append(sketch(s))
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum([len(x) for x in sigs], dtype=np.int32)])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (sigs, lefts)]
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), *lists, pa.array(bits, pa.list_(pa.int64()))], names=["cid", "n", "sigs", "lefts", "bits"])
+
+    for b in batches:
+        for kind, part, seq, piece, answers, *row in zip(*(b.column(c).to_pylist() for c in ("kind", "part", "seq", "piece", "answers", "texts", "ids", "sizes")), strict=True):
+            if of != (part, seq):
+                if texts:
+                    yield from finished()
+                of, texts, told = (part, seq), [], {}
+            if kind == TEXT:
+                texts.append(row)
+            else:
+                told[piece] = answers
+    if texts:
+        yield from finished()
 
 
 def may_link(a: str, b: str, num: int, den: int) -> Column:
@@ -325,26 +373,18 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = written(docs.mapInArrow(lambda b: _classes(b, k), _CLASSES), "classes")
-    rows = classes.where("piece is null").select("doc_id", "n_shingles", "cid")
-    table = frequency_table(classes)
-    usual = float(np.median(table[table > 0])) if table.any() else 0.0
-    shared = spark.sparkContext.broadcast(table)
-
-    def met(batches):
-        for b in batches:
-            out = []
-            for s in b.column("small").to_pylist():
-                s = np.frombuffer(s, np.uint64)
-                lists = 2.0 ** (shared.value[_cells(_rarest(s, shared.value, prefix(len(s), num, den)))] / 8.0)
-                out.append((len(s), float(np.maximum(lists - 2.0 ** (usual / 8), 0).mean())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.float64())], names=["n", "met"])
-
-    small = classes.where("small is not null").dropDuplicates(["cid"]).select("small").mapInArrow(met, "n long, met double")
-    boundary = best_boundary({r.n: (r.sets, r.met) for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("met").alias("met")).collect()}, num, den)
-
-    signed = written(docs.mapInArrow(lambda b: _signatures(b, k, shared, boundary, num, den), "cid long, n long, sigs array<long>, lefts array<long>, bits array<long>"), "signatures")
+    pieces = pieces_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    asked = written(docs.mapInArrow(lambda b: _ask(b, k, num, den, pieces), _ASKED), "asked", "zstd")
+    rows = written(asked.where(F.col("kind") == ROW).select("doc_id", "n_shingles", "cid"), "classes")
+    parts, groups = (1 + (x or 0) for x in asked.agg(F.max("part"), F.max("seq")).first())
+    # A group's counts stand for all groups': they set the boundary alone.
+    sizes = asked.where(F.col("kind") == SMALL).groupBy("n_shingles").agg(F.count(F.lit(1)).alias("sets"), F.avg("met").alias("met")).collect()
+    boundary = best_boundary({r.n_shingles: (r.sets, r.met * parts * groups) for r in sizes}, num, den)
+    told = asked.where(F.col("kind") == KEYS).select("part", "seq", "piece", "keys", "counts").repartitionById(pieces, F.col("piece")).mapInArrow(_total, _TOLD)
+    told = told.unionByName(asked.where(F.col("kind") == TEXT).select("kind", "part", "seq", "texts", "ids", "sizes"), allowMissingColumns=True)
+    told = told.repartitionById(parts * groups, F.expr(f"seq * {parts} + part")).sortWithinPartitions("seq", "part")
+    signed = written(told.mapInArrow(lambda b: _signatures(b, k, boundary, num, den, pieces), "cid long, n long, sigs array<long>, lefts array<long>, bits array<long>"), "signatures")
+    remove(spark, asked)
     lists = shared_lists(signed)
     labels = class_labels(docs, rows, signed, lists, k, num, den)
     remove(spark, lists)

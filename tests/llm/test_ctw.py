@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from rasterlake.llm import ctw
+from rasterlake.llm import ctw, groups
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -104,7 +104,7 @@ def test_bytes_of_a_context_sum_to_one(rows):
     rng = random.Random(4)
     contexts = [bytes(ctw.DEPTH), *(rng.randbytes(ctw.DEPTH) for _ in range(5)), *((int(k) >> 8).to_bytes(ctw.DEPTH, "big")[::-1] for k in rng.sample(own.tolist(), 20))]
     asked = np.array([reversed_code(c, b) for c in contexts for b in range(256)], np.uint64)
-    keys, counts = ctw._summed([(own, n), (asked, np.zeros(len(asked), np.int64))])
+    keys, counts = groups.summed([(own, n), (asked, np.zeros(len(asked), np.int64))])
     got = dict(zip(keys.tolist(), ctw.log10_of(keys, counts, ctw.Top(*ctw.roots(keys, counts))), strict=True))
     for c in contexts:
         assert sum(10 ** got[reversed_code(c, b)] for b in range(256)) == pytest.approx(1, abs=1e-9)

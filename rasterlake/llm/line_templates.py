@@ -132,11 +132,13 @@ def recurring(lines: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(row, drop): for each row that loses lines, their positions from 0."""
-    lines = written(templates(docs), "lines")
+    """(row, drop): for each row that loses lines, their positions from 0; a table."""
+    lines = written(templates(docs), "lines", "zstd")
     again = written(recurring(lines), "recurring")
     gone = lines.join(again, "key").where(F.col("doc_id") != F.col("first"))
-    return gone.groupBy("row").agg(F.collect_set("pos").alias("drop"))
+    gone = written(gone.groupBy("row").agg(F.collect_set("pos").alias("drop")), "dropped")
+    remove(docs.sparkSession, lines, again)
+    return gone
 
 
 def _without_lines(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -223,20 +225,20 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.append_column("__text", pa.array([t for t, _ in made], pa.string())).append_column("n_passages", pa.array([n for _, n in made], pa.int64()))
 
 
-def _without_passages(thin: DataFrame) -> DataFrame:
-    """thin with __text without recurring passages, and n_passages."""
-    spark = thin.sparkSession
+def _without_passages(table: DataFrame) -> DataFrame:
+    """A written table with __text without recurring passages, and n_passages; the table goes."""
+    spark, thin = table.sparkSession, table
     key = F.when(F.col("doc_id").isNotNull() & F.col("__text").isNotNull(), F.xxhash64(F.col("doc_id"), F.col("__text")))
     thin = thin.withColumn("__row", key)
     own = thin.where("__row is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"))
     anchors = written(own.mapInArrow(_anchors, "key long, doc_id long, row long"), "anchors")
     lists = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
     hits = anchors.join(lists, "key").groupBy(F.col("row").alias("__of")).agg(F.collect_set("key").alias("__shared"))
-    noted = written(thin.join(hits.hint("merge"), thin["__row"] == hits["__of"], "left").drop("__of"), "noted")
-    remove(spark, anchors)
+    noted = written(thin.join(hits.hint("merge"), thin["__row"] == hits["__of"], "left").drop("__of"), "noted", "zstd")
+    remove(spark, anchors, table)
     some = noted.where("__shared is not null")
     windows = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"), F.col("__shared").alias("shared"))
-    windows = written(windows.mapInArrow(_passages, "key long, doc_id long, row long, pos int").distinct(), "windows")
+    windows = written(windows.mapInArrow(_passages, "key long, doc_id long, row long, pos int"), "windows", "zstd")
     again = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
     gone = windows.join(again, "key").where(F.col("doc_id") != F.col("first")).groupBy(F.col("row").alias("__of")).agg(F.collect_set("pos").alias("__starts"))
     some = some.join(gone, some["__row"] == gone["__of"], "left").drop("__of", "__row", "__shared")
@@ -249,6 +251,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with `text` without its recurring lines and passages, and n_lines, n_dropped (lines), n_passages, dropped_chars (code points)."""
     made = ("n_lines", "n_dropped", "n_passages", "dropped_chars")
     names = [x for x in docs.columns if x not in made]
-    out = _without_passages(written(_without_lines(docs, names), "without-lines"))
+    out = _without_passages(written(_without_lines(docs, names), "without-lines", "zstd"))
     out = out.withColumn("dropped_chars", F.coalesce(F.col("__before") - F.char_length("__text"), F.lit(0)).cast("long"))
     return out.select(*(F.col("__text").alias("text") if x == "text" else F.col(x) for x in names), *made)

@@ -13,6 +13,7 @@ import io
 import json
 import struct
 import zlib
+from bisect import bisect_right
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from typing import BinaryIO
@@ -127,9 +128,12 @@ def manifest(raw: bytes) -> dict:
     """The first copy with the right digest."""
     f = footer(raw)
     at = f.preview + len(MAGIC) + f.body
-    for i in range(COPIES):
-        text = raw[at + i * f.manifest : at + (i + 1) * f.manifest]
-        if hashlib.sha256(text).digest()[:8] == f.digest:
+    return _manifest([raw[at + i * f.manifest : at + (i + 1) * f.manifest] for i in range(COPIES)], f.digest)
+
+
+def _manifest(copies: list[bytes], digest: bytes) -> dict:
+    for text in copies:
+        if hashlib.sha256(text).digest()[:8] == digest:
             out = {"provenance": None, "parity": None, "orientation": 1} | json.loads(text)
             if out["version"] > VERSION:
                 raise ArchiveError("version", f"manifest {out['version']}")
@@ -188,6 +192,58 @@ def skeleton(raw: bytes) -> bytes:
     return b"".join(out)
 
 
+class Skeleton(io.RawIOBase):
+    """The original's bytes, with zeros for pixels, as a file to seek and read: only what is read is decoded.
+
+    Takes an archive as a file; holds its manifest and one decoded stretch of bytes at a time.
+    """
+
+    def __init__(self, f: BinaryIO) -> None:
+        size = tiff.size_of(f)
+        f.seek(max(0, size - COPIES * FOOTER_SIZE))
+        foot = footer(f.read(COPIES * FOOTER_SIZE), size)
+        self.f, self.body, self.place = f, foot.preview + len(MAGIC), 0
+        f.seek(self.body + foot.body)
+        text = f.read(foot.manifest * COPIES)
+        self.manifest = _manifest([text[i * foot.manifest : (i + 1) * foot.manifest] for i in range(COPIES)], foot.digest)
+        self.size = self.manifest["original"]["len"]
+        self.segments, at = [], 0
+        for s in self.manifest["segments"]:
+            self.segments.append((s["offset"], at, sum(s["parts"]), s))
+            at += sum(s["parts"])
+        self.held: tuple[int, bytes] = (-1, b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.place = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.place, io.SEEK_END: self.size}[whence]
+        return self.place
+
+    def tell(self) -> int:
+        return self.place
+
+    def read(self, n: int = -1) -> bytes:
+        end = self.size if n is None or n < 0 else min(self.place + n, self.size)
+        out = []
+        while self.place < end:
+            i = bisect_right(self.segments, self.place, key=lambda s: s[0]) - 1
+            offset, at, stored, s = self.segments[i]
+            stop = min(end, offset + s["len"])
+            if s["spec"]:
+                out.append(bytes(stop - self.place))
+            else:
+                if self.held[0] != i:
+                    self.f.seek(self.body + at)
+                    self.held = (i, codecs.codec_of(s["codec"]).decode(self.f.read(stored)))
+                out.append(self.held[1][self.place - offset : stop - offset])
+            self.place = stop
+        return b"".join(out)
+
+
 def _shards(head: bytes, p: Parity) -> np.ndarray:
     """(stripes, data, shard) bytes, zeros at the end."""
     n = max(-(-len(head) // p.shard), 1)

@@ -36,12 +36,9 @@ def entry_rows(path: str) -> Iterator[tuple]:
         with _open(path) as f:
             kept = is_archive_file(f)
             if kept:
-                import io
-
                 from ..archive import format as fmt
 
-                f.seek(0)
-                f = io.BytesIO(fmt.skeleton(f.read()))
+                f = fmt.Skeleton(f)
             w = tiff.window(f)
             mark, found = tiff.directories(w)
         container = f"{'archive of ' * kept}{'jpeg' if w.base else 'tiff'}"

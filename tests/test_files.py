@@ -272,6 +272,18 @@ def test_chunked_copies_count_and_hash():
     assert jobs.copied(io.BytesIO(data), out, 100) == (len(data), hashlib.sha256(data).hexdigest()) and out.getvalue() == data
 
 
+def test_skeletons_are_read_piece_by_piece():
+    raw = image(1024, 1024, 1, 32803)[0]
+    made = fmt.pack(raw, "a.tif", "zlib", preview=b"some preview")
+    f, whole = fmt.Skeleton(io.BytesIO(made)), fmt.skeleton(made)
+    rng = np.random.default_rng(2)
+    assert f.seek(0, io.SEEK_END) == len(raw)
+    for at, n in [(0, 8), (100, 0), (len(raw) - 5, 50), *((int(a), int(b)) for a, b in zip(rng.integers(0, len(raw), 40), rng.integers(0, 3000, 40), strict=True))]:
+        f.seek(at)
+        assert f.read(n) == whole[at : at + n]
+    assert fmt.unpack(made) == raw and fmt.Skeleton(io.BytesIO(fmt.pack(b"", "x", "identity"))).read() == b""
+
+
 def test_patches_are_what_was_damaged():
     raw = fmt.pack(bytes(range(256)) * 300, "x", "identity", fmt.Parity(4, 2, 1024))
     f = fmt.footer(raw)

@@ -92,6 +92,24 @@ def test_stages_keep_columns_and_take_hard_cases(spark, docs, clashing, empty):
             assert out.count() <= 3 * df.count()
 
 
+def test_stages_give_hard_rows_their_results(spark, docs, rows, empty, clashing):
+    """Nulls, empty texts, repeated rows and rows without an id, stage by stage as the module states."""
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    kept = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    want = sorted((str(r[0]), r[1]) for r in rows if not fails(r[1]))
+    assert sorted((str(r.doc_id), r.text) for r in kept) == want
+    lines = {(str(r.doc_id), r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert {("100", None), ("101", ""), ("102", " \n\t "), ("None", None), ("None", rows[0][1]), ("0", rows[0][1])} <= lines
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.where("doc_id = 101").count() <= 3 and mixed.where("source is null").count() == 0  # a source of no words takes nothing
+    for df in (docs, clashing):
+        pieces = corpus_pipeline.pack(spark, df, "").collect()
+        assert {str(r.doc_id) for r in pieces} == {str(r[0]) for r in rows}
+        assert sorted(r.length for r in pieces if r.doc_id in (100, 101)) == [1, 1]
+        assert sum(r.start == 0 for r in pieces) == len(rows)
+
+
 def test_near_duplicates_keep_other_texts_of_a_repeated_id(spark, random_prose):
     rng = random.Random(8)
     a, b, c = (random_prose(rng, 90) for _ in range(3))

@@ -5,7 +5,9 @@ Texts with the same shingle set form a class, and classes are joined. Two classe
 shingles, so both enumerate their subsets of just that size. All other pairs are found by
 inverted lists: a set of size n posts its n - ceil(t n) + 1 rarest shingles, and a linked pair
 has one of them in common. "Rarest" is by exact counts over all texts, ties by hash: groups of texts
-ask for the counts of their shingles (see groups.py). Shingles that occur once are in no list. The
+ask for the counts of their shingles (see groups.py), by the first bits of their hashes, as many as the
+corpus needs for few to share them. Shingles that occur once are in no list; one that shares its bits
+with another is in a list too many. The
 boundary is the one with the least cost, by the sizes present and the lists that they would scan.
 
 In the common order, the first shingle that a linked pair shares is posted by both, at ranks i and j
@@ -48,7 +50,7 @@ from pyspark.sql.window import Window
 
 from . import kernels
 from .common import remove, written
-from .groups import GROUP_BYTES, STRETCH, Answers, Tally, batch, by_piece, packed, packed_keys, pieces_for, planes, unpacked, unpacked_keys, unplanes
+from .groups import GROUP_BYTES, STRETCH, Answers, Tally, batch, packed, packed_keys, pieces_for, planes, unpacked, unpacked_keys, unplanes
 
 #: Largest set for which subsets are considered.
 MOST_SMALL = 16
@@ -102,7 +104,25 @@ _ASKED = "kind int, part int, seq int, piece int, doc_id long, n_shingles long,
 ROW, TEXT, KEYS, SMALL = 0, 1, 2, 3
 
 
-def _ask(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, pieces: int) -> Iterator[pa.RecordBatch]:
+def key_bits(size: int) -> int:
+    """Bits of a counted key for a corpus of so many bytes: sixteen times as many keys as bytes."""
+    return min(max(int(size).bit_length() + 4, 24), 62)
+
+
+def cut(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of hashes."""
+    return hashes >> np.uint64(64 - bits)
+
+
+def in_ranges(keys: np.ndarray, pieces: int, bits: int, *values: np.ndarray) -> Iterator[tuple]:
+    """(piece, keys, values) of ascending keys in equal ranges, so that neighbours stay neighbours."""
+    ends = np.searchsorted(keys, np.array([(p << bits) // pieces for p in range(pieces)] + [1 << bits], np.uint64))
+    for p in np.flatnonzero(ends[1:] > ends[:-1]):
+        part = slice(ends[p], ends[p + 1])
+        yield int(p), keys[part], *(v[part] for v in values)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, pieces: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Each document's class; by group, the packed texts of its classes, their shingles with counts, and what
     postings of its small sets meet in the group."""
     part, seq, size = TaskContext.get().partitionId(), 0, 0
@@ -110,12 +130,12 @@ def _ask(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, pieces:
 
     def asked():
         keys, n = tally.sum()
-        for p, own, c in by_piece(pieces, keys, n):
+        for p, own, c in in_ranges(keys, pieces, bits, n):
             yield batch(_ASKED, 1, kind=KEYS, part=part, seq=seq, piece=p, keys=[packed_keys(own)], counts=[planes(c.astype(np.uint32))])
         if small:
             met = []
             for s in small:
-                c = np.sort(n[np.searchsorted(keys, s)])[: prefix(len(s), num, den)]
+                c = np.sort(n[np.searchsorted(keys, cut(s, bits))])[: prefix(len(s), num, den)]
                 met.append(float((c - 1).mean()))
             yield batch(_ASKED, len(small), kind=SMALL, part=part, seq=seq, n_shingles=np.array([len(s) for s in small]), met=np.array(met))
 
@@ -139,7 +159,7 @@ def _ask(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, pieces:
             yield batch(_ASKED, end - at, kind=ROW, part=part, seq=seq, doc_id=ids[at:end], n_shingles=np.array(sizes), cid=cids)
             if new:
                 yield batch(_ASKED, 1, kind=TEXT, part=part, seq=seq, **packed([0] * len(kept), kept))
-                tally.add(*np.unique(np.concatenate(new), return_counts=True))
+                tally.add(*np.unique(cut(np.concatenate(new), bits), return_counts=True))
             size += sum(map(len, texts[at:end]))
             at = end
             if size >= GROUP_BYTES:
@@ -188,7 +208,7 @@ def may_be_near(num: int, den: int) -> Column:
     return den * most >= num * (F.col("n_a") + F.col("n_b") - most)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], k: int, boundary: int, num: int, den: int, pieces: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], k: int, boundary: int, num: int, den: int, pieces: int, key_size: int) -> Iterator[pa.RecordBatch]:
     """For rows sorted by group: each class's signatures, what is left of its set at each, and its sketch."""
     of, texts, told = None, [], {}
 
@@ -196,9 +216,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, boundary: int, num: i
         tally = Tally()
         for row in texts:
             sets = list(kernels.shingle_sets(unpacked(*row)[1], k))
-            keys = np.unique(np.concatenate(sets))
+            keys = np.unique(cut(np.concatenate(sets), key_size))
             tally.add(keys, np.zeros(len(keys), np.int64))
-        parts = [(own, unplanes(told[p], np.uint32)) for p, own in by_piece(pieces, tally.sum()[0])]
+        parts = [(own, unplanes(told[p], np.uint32)) for p, own in in_ranges(tally.sum()[0], pieces, key_size)]
         if not parts:
             return
         count_of = Answers(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -209,7 +229,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, boundary: int, num: i
                 own = np.array(list(_subsets(s, boundary, num, den)) if n <= boundary else [], np.int64)
                 left = np.full(len(own), n)
                 if n > boundary or den * n // num > boundary:
-                    count = count_of(s)
+                    count = count_of(cut(s, key_size))
                     first = np.lexsort((s, count))[: prefix(n, num, den)]
                     shared = count[first] > 1
                     own = np.concatenate([own, s[first][shared].view(np.int64)])
@@ -373,8 +393,9 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = pieces_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    asked = written(docs.mapInArrow(lambda b: _ask(b, k, num, den, pieces), _ASKED), "asked", "zstd")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces, bits = pieces_for(size), key_bits(size)
+    asked = written(docs.mapInArrow(lambda b: _ask(b, k, num, den, pieces, bits), _ASKED), "asked", "zstd")
     rows = written(asked.where(F.col("kind") == ROW).select("doc_id", "n_shingles", "cid"), "classes")
     parts, groups = (1 + (x or 0) for x in asked.agg(F.max("part"), F.max("seq")).first())
     # A group's counts stand for all groups': they set the boundary alone.
@@ -383,7 +404,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     told = asked.where(F.col("kind") == KEYS).select("part", "seq", "piece", "keys", "counts").repartitionById(pieces, F.col("piece")).mapInArrow(_total, _TOLD)
     told = told.unionByName(asked.where(F.col("kind") == TEXT).select("kind", "part", "seq", "texts", "ids", "sizes"), allowMissingColumns=True)
     told = told.repartitionById(parts * groups, F.expr(f"seq * {parts} + part")).sortWithinPartitions("seq", "part")
-    signed = written(told.mapInArrow(lambda b: _signatures(b, k, boundary, num, den, pieces), "cid long, n long, sigs array<long>, lefts array<long>, bits array<long>"), "signatures")
+    signed = written(told.mapInArrow(lambda b: _signatures(b, k, boundary, num, den, pieces, bits), "cid long, n long, sigs array<long>, lefts array<long>, bits array<long>"), "signatures")
     remove(spark, asked)
     lists = shared_lists(signed)
     labels = class_labels(docs, rows, signed, lists, k, num, den)

@@ -9,7 +9,9 @@ its target by half a document at most (rows that share a doc_id stand or fall to
 
 Only tables of one row a source, and a source's 4096 hash buckets, are ever sorted; the cut is
 looked for in one bucket. Null sources are a source of their own, the last; null texts have size 0;
-a source of size 0 takes nothing; an empty table gives an empty table.
+texts of any length count whole; a source of size 0 takes nothing; sources that fill at one level go
+by name, documents by hash, and repeated rows share a hash; an empty table gives an empty table.
+mixture() reads doc_id, source and text alone; mixed() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

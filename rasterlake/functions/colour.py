@@ -1,7 +1,7 @@
 """Transfer curves and tone mapping as column expressions, and as numpy for whole images.
 
 Fixed values: the constants of sRGB, of perceptual quantisation (SMPTE ST 2084), of hybrid log-gamma
-(ARIB STD-B67) and of the BT.2020 primaries.
+(ARIB STD-B67) and of the BT.2020 primaries, the white of 203 nits and the knee of the tone curve.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Fixed dictionaries of image metadata: tag names by directory, texts of enumerated values, ratios.
 
-Fixed values: the numbers, names and texts below are formats' and must be as they are.
+Fixed values: the numbers and names below are the formats'; the texts of enumerated values are wording
+that must match what readers are shown.
 """
 
 from __future__ import annotations

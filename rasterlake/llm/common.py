@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,23 +43,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Spark's setting by which a query's shuffle files go when it ends, not when the driver forgets it.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds of a write after which its shuffle files are worth a collection in the driver.
+LONG_WRITE = 2.0
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and outlives lost executors.
 
-    The shuffle files of the query that makes it are of no use afterwards and go with its end.
+    The shuffle files of the query that makes it are of no use afterwards. Spark deletes them on all
+    executors once the driver has collected the query, which is asked for after long writes.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    began = time.perf_counter()
+    df.write.option("compression", compression).parquet(path)
+    if time.perf_counter() - began > LONG_WRITE:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -45,19 +45,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 #: Seconds of a write after which its shuffle files are worth a collection in the driver.
 LONG_WRITE = 2.0
+_due: list[str] = []
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and outlives lost executors.
 
     The shuffle files of the query that makes it are of no use afterwards. Spark deletes them on all
-    executors once the driver has collected the query, which is asked for after long writes.
+    executors once the driver has collected the query, which is asked for after a long write and
+    again before the next one, when nothing holds the query any more.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if _due:
+        _due.clear()
+        spark.sparkContext._jvm.System.gc()
     began = time.perf_counter()
     df.write.option("compression", compression).parquet(path)
     if time.perf_counter() - began > LONG_WRITE:
+        _due.append(name)
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

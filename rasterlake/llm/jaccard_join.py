@@ -57,7 +57,7 @@ MOST_SMALL = 16
 #: Cost of comparing a pair, in postings.
 PAIR_COST = 8
 #: Growth of the ranks that a round compares.
-GROWTH = 16
+GROWTH = 4
 SKETCH_BITS = 512
 
 

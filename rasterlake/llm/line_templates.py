@@ -28,12 +28,15 @@ empty table gives an empty table. Other columns pass through, but those that are
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 from .common import remove, written
@@ -141,17 +144,30 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone
 
 
+@F.pandas_udf(T.BinaryType())
+def pack_text(texts: pd.Series) -> pd.Series:
+    """Texts as they travel through joins."""
+    return texts.map(lambda t: None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1))
+
+
+@F.pandas_udf(T.StringType())
+def unpack_text(packed: pd.Series) -> pd.Series:
+    return packed.map(lambda t: None if t is None else zlib.decompress(t).decode("utf-8", "surrogatepass"))
+
+
 def _without_lines(docs: DataFrame, names: list[str]) -> DataFrame:
     """docs with __text (its recurring lines dropped), n_lines, n_dropped and __before, its length before."""
     own = docs.select(*names).withColumn("__row", F.when(F.col("doc_id").isNotNull(), _row_key()))
-    out = own.join(dropped_lines(docs).select(F.col("row").alias("__of"), F.col("drop").alias("__drop")), F.col("__row") == F.col("__of"), "left").drop("__row", "__of")
+    own = own.withColumn("text", pack_text(F.col("text").cast("string")))
+    out = own.join(dropped_lines(docs).select(F.col("row").alias("__of"), F.col("drop").alias("__drop")), F.col("__row") == F.col("__of"), "left").drop("__row", "__of").withColumn("text", unpack_text("text"))
     out = out.withColumn("__lines", F.split(F.col("text").cast("string"), "\n", -1))
     kept = F.when(F.col("__drop").isNull(), F.col("__lines")).when(F.size("__drop") == F.size("__lines"), F.array().cast("array<string>")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__drop"), i)))
     out = out.withColumn("__kept", kept)
     text = F.when(F.col("__drop").isNull(), F.col("text").cast("string")).otherwise(F.array_join("__kept", "\n"))
     out = out.withColumn("__text", text).withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).withColumn("__before", F.char_length(F.col("text").cast("string")))
-    return out.drop("__drop", "__lines", "__kept")
+    # The text as it came has served its turn.
+    return out.drop("__drop", "__lines", "__kept").withColumn("text", F.lit(None).cast("string"))
 
 
 def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +250,10 @@ def _without_passages(table: DataFrame) -> DataFrame:
     anchors = written(own.mapInArrow(_anchors, "key long, doc_id long, row long"), "anchors")
     lists = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
     hits = anchors.join(lists, "key").groupBy(F.col("row").alias("__of")).agg(F.collect_set("key").alias("__shared"))
+    thin = thin.withColumn("__text", pack_text("__text"))
     noted = written(thin.join(hits.hint("merge"), thin["__row"] == hits["__of"], "left").drop("__of"), "noted", "zstd")
     remove(spark, anchors, table)
+    noted = noted.withColumn("__text", unpack_text("__text"))
     some = noted.where("__shared is not null")
     windows = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"), F.col("__shared").alias("shared"))
     windows = written(windows.mapInArrow(_passages, "key long, doc_id long, row long, pos int"), "windows", "zstd")

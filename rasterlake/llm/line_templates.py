@@ -204,7 +204,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all windows whose anchor is one of the row's shared ones."""
     for b in batches:
         for doc_id, row, text, keys in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "shared")), strict=True):
-            words, first = kernels.words([text.encode()], lower=False)
+            words, first = kernels.words([zlib.decompress(text)], lower=False)
             at, anchor = _grams(words, first)
             at = at[np.isin(anchor, np.array(keys, np.int64).view(U64))]
             up, down = kernels.rising(len(words) + 1)
@@ -236,7 +236,8 @@ def without_passages(text: str, starts: list[int]) -> tuple[str, int]:
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [without_passages(t, s) if s else (t, 0) for t, s in zip(b.column("__text").to_pylist(), b.column("__starts").to_pylist(), strict=True)]
+        texts = (zlib.decompress(t).decode("utf-8", "surrogatepass") for t in b.column("__text").to_pylist())
+        made = [without_passages(t, s) if s else (t, 0) for t, s in zip(texts, b.column("__starts").to_pylist(), strict=True)]
         out = b.drop_columns(["__text", "__starts"])
         yield out.append_column("__text", pa.array([t for t, _ in made], pa.string())).append_column("n_passages", pa.array([n for _, n in made], pa.int64()))
 
@@ -253,7 +254,7 @@ def _without_passages(table: DataFrame) -> DataFrame:
     thin = thin.withColumn("__text", pack_text("__text"))
     noted = written(thin.join(hits.hint("merge"), thin["__row"] == hits["__of"], "left").drop("__of"), "noted", "zstd")
     remove(spark, anchors, table)
-    noted = noted.withColumn("__text", unpack_text("__text"))
+    # Texts are unpacked where they are used, so that no task feeds two Python workers.
     some = noted.where("__shared is not null")
     windows = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"), F.col("__shared").alias("shared"))
     windows = written(windows.mapInArrow(_passages, "key long, doc_id long, row long, pos int"), "windows", "zstd")
@@ -261,8 +262,8 @@ def _without_passages(table: DataFrame) -> DataFrame:
     gone = windows.join(again, "key").where(F.col("doc_id") != F.col("first")).groupBy(F.col("row").alias("__of")).agg(F.collect_set("pos").alias("__starts"))
     some = some.join(gone, some["__row"] == gone["__of"], "left").drop("__of", "__row", "__shared")
     others = [x for x in some.columns if x not in ("__text", "__starts")]
-    done = some.mapInArrow(_apply, some.select(*others, F.col("__text"), F.lit(0).cast("long").alias("n_passages")).schema)
-    return noted.where("__shared is null").drop("__row", "__shared").withColumn("n_passages", F.lit(0).cast("long")).unionByName(done)
+    done = some.mapInArrow(_apply, some.select(*others, F.col("__text").cast("string"), F.lit(0).cast("long").alias("n_passages")).schema)
+    return noted.where("__shared is null").drop("__row", "__shared").withColumn("__text", unpack_text("__text")).withColumn("n_passages", F.lit(0).cast("long")).unionByName(done)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

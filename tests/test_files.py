@@ -342,6 +342,46 @@ def test_nearest_place_in_a_hot_spot_and_at_the_edges(spark):
     assert (got.pop(1), got.pop(2), got.pop(3)) == ("pole", "date line", "city") and set(got) == set(range(100, 2100)) and set(got.values()) == {"city"}
 
 
+def test_nearest_place_meets_few_places_and_finds_what_all_pairs_give(spark):
+    from rasterlake.operators import lookups
+
+    rng = np.random.default_rng(5)
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, 6000))).round(3), rng.uniform(-180, 180, 6000).round(3)
+    lat[:300], lon[:300] = 40 + rng.uniform(-0.1, 0.1, 300).round(2), 20 + rng.uniform(-0.1, 0.1, 300).round(2)
+    lat[300:340] = rng.choice([89.99, -89.99], 40)
+    people = [None if i % 97 == 0 else int(x) for i, x in enumerate(rng.integers(0, 1000, 6000))]
+    places = [(f"c{i % 700}", str(i % 5), float(lat[i]), float(lon[i]), people[i]) for i in range(4000)] + [("far", None, -80.0, 0.0, 1)]
+    points = [(int(i) - (i == 4001), float(lat[i]), float(lon[i])) for i in [*range(200), *range(300, 330), *range(4000, 6000), 4100]]
+    df = lookups.nearest_place(spark.createDataFrame(points, "k int, lat double, lon double"), spark.createDataFrame(places, "city string, country string, lat double, lon double, population long"), "k", 900.0)
+    got = {r.k: (r.city, r.country, round(r.km, 6)) for r in df.collect()}
+    assert len(got) == df.count()
+
+    la, lo = np.radians([p[2] for p in places]), np.radians([p[3] for p in places])
+    key, found = lambda x: (x is not None, x or ""), {}
+    for k, a, b in points:
+        h = np.sin((la - np.radians(a)) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(la) * np.sin((lo - np.radians(b)) / 2) ** 2
+        km = 2 * 6371.0088 * np.arcsin(np.sqrt(h))
+        found.setdefault(k, []).extend((round(km[i], 6), *places[i][:2], places[i][4]) for i in np.flatnonzero(km <= 900))
+    for k, near in found.items():
+        if not near:
+            assert k not in got
+            continue
+        first = min(near, key=lambda x: (x[0], key(x[1]), key(x[2]), x[3] is not None, x[3] or 0))
+        notable = [x for x in near if None not in (x[3], first[3]) and x[0] <= first[0] + 8 and x[3] >= 4 * first[3]]
+        best = max(notable, key=lambda x: (x[3], -x[0], key(x[1]), key(x[2])), default=None) or max(near, key=lambda x: (-x[0], key(x[1]), key(x[2])))
+        assert got[k] == (best[1], best[2], best[0]), k
+
+    def joined(plan):
+        """Rows that all joins of an executed plan made."""
+        name, rows = plan.nodeName(), 0
+        if "Join" in name:
+            rows = plan.metrics().apply("numOutputRows").value()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+        return rows + sum(map(joined, inner))
+
+    assert joined(df._jdf.queryExecution().executedPlan()) < 80 * len(points)
+
+
 def test_large_images_and_odd_arrays(spark):
     from rasterlake.operators import pixels
 

@@ -7,11 +7,11 @@ same in every run and cut into tokens like any other: secrets in many spellings,
 like them but are none (mail and network addresses, phone numbers, dates, versions, prices, links,
 words in mixed case).
 
-The model has a hard rule, in training as in use: only a token that `may_be_secret` can begin or go on
-with a secret. That is one of `CANDIDATE` characters or more with digits and letters or with a small
-letter before a capital, or one of `SHORT` or more with a digit or such a change within `REACH` tokens
-after a cue word. All other tokens are outside, and a path through tags falls apart at them. So texts
-are decoded in windows around the tokens that pass, with the same result as whole (a test says so).
+Every token has features and every position of a text is scored. Texts are decoded exactly as if whole:
+a token is outside for certain where that beats any other tag whatever stands around it, by a bound on
+all moves between tags (`Crf.certain`); such tokens part a text, and Viterbi decodes what lies between
+them (a test says that the result is that of whole texts). What depends on a token alone is kept by
+token, up to KEEP of them.
 
 Whole texts of any length are scanned; offsets are code points, ends exclusive. Null texts are empty
 and have no spans; repeated rows are scanned like any other; spans that start together go by kind; an
@@ -27,6 +27,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +38,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
-CANDIDATE, SHORT, REACH = 10, 6, 4
-#: Tokens before a token that its features look at, and words after it that a window takes in.
-BACK, AHEAD = 5, 2
+#: Characters of a long token, and tokens before a token that its features look at.
+LONG, BACK = 10, 5
+#: Tokens that are scored at once; tokens and characters of tokens that a process keeps scores of.
+BLOCK, KEEP, KEEP_CHARS = 1 << 15, 1 << 18, 4 << 20
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?|[^\sA-Za-z0-9+/_-]")
-_VALUE = r"[A-Za-z0-9+/_-]"
 _CUES = frozenset("password passwd passphrase pwd pass secret token key apikey api_key access_key private credential credentials auth authorization bearer login signature".split())
-#: What may begin a long candidate: a digit, or a small letter before a capital. And cue words as tokens.
-_HINT = re.compile(r"[0-9]+|[a-z](?=[A-Z])")
-_CUE = re.compile(rf"(?<!{_VALUE})(?:{'|'.join(sorted(_CUES, key=lambda x: (-len(x), x)))})(?!{_VALUE})", re.I | re.A)
 _CHANGE = re.compile(r"[a-z][A-Z]")
 _DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
-_SPACE = re.compile(r"\s")
+_RUN = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|([+/_=-])\1*")
 _HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "pk_", "xox", "eyJ", "AIza", "glpat-", "SG")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -63,51 +60,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _runs(token: str) -> str:
-    out = ""
-    for c in token[:64]:
-        k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c
-        if not out.endswith(k):
-            out += k
-    return out
+def _turns(token: str, most: int = 12) -> int:
+    """Runs of one kind of character, up to `most`."""
+    return sum(1 for _ in islice(_RUN.finditer(token), most)) if token.isascii() else 1
 
 
 def _entropy(token: str) -> float:
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
+    n, kinds = len(token), set(token)
+    if len(kinds) == n:
+        return math.log2(n)
+    return -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in kinds))
 
 
-def may_be_secret(tokens: list[str]) -> list[bool]:
-    """Which tokens the model lets be part of a secret."""
-    out, cue = [], -REACH - 1
-    for i, t in enumerate(tokens):
-        digit, change = bool(_DIGIT.search(t)), bool(_CHANGE.search(t))
-        long = len(t) >= CANDIDATE and (change or (digit and bool(_LETTER.search(t))))
-        out.append(long or (i - cue <= REACH and len(t) >= SHORT and (digit or change)))
-        if t.lower() in _CUES:
-            cue = i
-    return out
+def own_features(t: str) -> tuple[list[str], str]:
+    """(names of the features that a token alone decides, the kinds of its characters)."""
+    digits, n = sum(map(str.isdigit, t)), len(t)
+    upper, lower = any(map(str.isupper, t)), any(map(str.islower, t))
+    mixed = ("d" if digits else "") + ("U" if upper else "") + ("l" if lower else "")
+    words = [len(x) for x in re.findall("[a-z]+", t)]
+    f = ["bias", f"len:{min(n, 40) // 4}", f"mix:{mixed}", f"part:{4 * digits // n}", f"change:{bool(_CHANGE.search(t))} {n >= LONG}"]
+    f += [f"turns:{_turns(t) // 2}", f"bits:{int(_entropy(t) * 2)}", f"head:{t.startswith(_HEADS)}", f"slashes:{min(t.count('/'), 3)}", f"dashes:{min(t.count('-'), 5)}", f"low runs:{min(int(2 * sum(words) / max(len(words), 1)), 12)}"]
+    return f, mixed
+
+
+def _cue_features(mixed: str, n: int, near: bool) -> list[str]:
+    return [f"cue near:{near}", f"mix and cue:{mixed} {near} {min(n, 24) // 6}"]
+
+
+def _sign(low: str, cues: bool) -> str:
+    """What a neighbour shows of itself."""
+    return low if len(low) == 1 or (cues and low in _CUES) else "word"
 
 
 def token_features(tokens: list[str], of_text: list[str]) -> list[list[str]]:
     """Names of each token's features: shape, neighbouring words and of_text, those of its text."""
-    low, may = [t.lower() for t in tokens], may_be_secret(tokens)
+    low = [t.lower() for t in tokens]
     out = []
     for i, t in enumerate(tokens):
-        if not may[i]:
-            out.append([])
-            continue
-        digits, n = sum(c.isdigit() for c in t), len(t)
-        upper, lower = any(c.isupper() for c in t), any(c.islower() for c in t)
-        mixed = ("d" if digits else "") + ("U" if upper else "") + ("l" if lower else "")
-        near = any(x in _CUES for x in low[max(0, i - BACK) : i])
-        f = ["bias", f"len:{min(n, 40) // 4}", f"mix:{mixed}", f"part:{4 * digits // n}", f"cue near:{near}", f"mix and cue:{mixed} {near} {min(n, 24) // 6}"]
-        runs = _runs(t)
-        words = [len(x) for x in re.findall("[a-z]+", t)]
-        f += [f"turns:{min(len(runs), 12) // 2}", f"bits:{int(_entropy(t) * 2)}", f"head:{t.startswith(_HEADS)}", f"slashes:{min(t.count('/'), 3)}", f"dashes:{min(t.count('-'), 5)}", f"low runs:{min(int(2 * sum(words) / max(len(words), 1)), 12)}"]
-        f += [f"{'long' if n >= CANDIDATE else 'short'}+{x}" for x in of_text]
-        f += [f"before{d}:{low[i - d] if i >= d and (low[i - d] in _CUES or len(low[i - d]) == 1) else 'word' if i >= d else 'start'}" for d in (1, 2, 3)]
-        f += [f"after:{low[i + 1] if i + 1 < len(tokens) and len(low[i + 1]) == 1 else 'word' if i + 1 < len(tokens) else 'end'}"]
+        f, mixed = own_features(t)
+        f += _cue_features(mixed, len(t), any(x in _CUES for x in low[max(0, i - BACK) : i]))
+        f += [f"{'long' if len(t) >= LONG else 'short'}+{x}" for x in of_text]
+        f += [f"before{d}:{_sign(low[i - d], True) if i >= d else 'start'}" for d in (1, 2, 3)]
+        f += [f"after:{_sign(low[i + 1], False) if i + 1 < len(tokens) else 'end'}"]
         out.append(f)
     return out
 
@@ -124,16 +118,97 @@ class Crf:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray) -> None:
         self.names, self.weights, self.moves = names, weights, moves
+        self._forget()
+
+    def __reduce__(self):
+        return Crf, (self.names, self.weights, self.moves)
+
+    def sum_of(self, features: list[str]) -> np.ndarray:
+        return self.weights[[self.names[x] for x in features if x in self.names]].sum(axis=0)
 
     def scores(self, features: list[list[str]]) -> np.ndarray:
-        """By token and tag; a token without features is outside."""
-        out = np.array([self.weights[[self.names[x] for x in f if x in self.names]].sum(axis=0) for f in features])
-        out[[not f for f in features]] = (0, -1e9, -1e9)
+        """By token and tag."""
+        return np.array([self.sum_of(f) for f in features])
+
+    def _forget(self) -> None:
+        """Rows 0 and 1 stand for what is before and behind a text."""
+        self.rows: dict[str, int] = {}
+        self.shapes: dict[tuple, int] = {}
+        self.chars = 0
+        self.alone, self.before, self.after = np.zeros((1024, 2, 3)), np.zeros((1024, 3, 3)), np.zeros((1024, 3))
+        self.is_long, self.is_cue = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.before[0], self.after[1] = [self.sum_of([f"before{d}:start"]) for d in (1, 2, 3)], self.sum_of(["after:end"])
+
+    def _row(self, t: str) -> int:
+        """Tokens with the same features share a row."""
+        row = self.rows.get(t)
+        if row is not None:
+            return row
+        self.chars += len(t)
+        low, n = t.lower(), len(t)
+        sign = _sign(low, True)
+        if t.islower() and t.isascii() and t.isalpha():  # all that own_features() tells of plain words
+            shape = (n, int(_entropy(t) * 2), t.startswith(_HEADS), sign)
+        else:
+            f, mixed = own_features(t)
+            shape = (*f, mixed, n >= LONG, min(n, 24) // 6, sign)
+        row = self.shapes.get(shape)
+        if row is None:
+            row = self.shapes[shape] = len(self.shapes) + 2
+            if row == len(self.alone):
+                for name in ("alone", "before", "after", "is_long", "is_cue"):
+                    old = getattr(self, name)
+                    setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+            f, mixed = own_features(t)
+            self.alone[row] = [self.sum_of(f + _cue_features(mixed, n, near)) for near in (False, True)]
+            self.before[row] = [self.sum_of([f"before{d}:{sign}"]) for d in (1, 2, 3)]
+            self.after[row] = self.sum_of([f"after:{_sign(low, False)}"])
+            self.is_long[row], self.is_cue[row] = n >= LONG, low in _CUES
+        self.rows[t] = row
+        return row
+
+    def scores_of(self, tokens: list[str], of_text: np.ndarray) -> np.ndarray:
+        """What scores() gives for token_features(); of_text: the sums of a text's features for short and long tokens."""
+        if len(self.rows) > KEEP or self.chars > KEEP_CHARS:
+            self._forget()
+        found = list(map(self.rows.get, tokens))
+        if None in found:
+            found = [self._row(t) if r is None else r for t, r in zip(tokens, found, strict=True)]
+        r = np.array([0, 0, 0, *found, 1])
+        own = r[3:-1]
+        cues = np.concatenate([np.zeros(BACK + 1, np.int64), np.cumsum(self.is_cue[own])])
+        near = (cues[BACK:-1] > cues[: -BACK - 1]).astype(np.int64)
+        return self.alone[own, near] + of_text[self.is_long[own]] + self.before[r[2:-2], 0] + self.before[r[1:-3], 1] + self.before[r[:-4], 2] + self.after[r[4:]]
+
+    def certain(self, score: np.ndarray) -> np.ndarray:
+        """Tokens that are outside on the best path whatever the tags around them are.
+
+        Another tag of the token is made outside, and an inside one after it begin: if that gains for
+        all tags before and behind, the path was not the best.
+        """
+        m, out = self.moves, np.ones(len(score), bool)
+        then = np.concatenate([score[1:, BEGIN] - score[1:, INSIDE], np.zeros(1)])
+        for t in (BEGIN, INSIDE):
+            before = min([0.0, *(m[p, OUTSIDE] - m[p, t] for p in range(3) if m[p, t] > -1e8)])
+            behind = min(0.0, *(m[OUTSIDE, x] - m[t, x] for x in (OUTSIDE, BEGIN)))
+            inside = m[OUTSIDE, BEGIN] - m[t, INSIDE] + min(0.0, *(m[BEGIN, y] - m[INSIDE, y] for y in range(3)))
+            out &= score[:, OUTSIDE] - score[:, t] + before + np.minimum(behind, inside + then) > 1e-6
         return out
 
+    def between(self, score: np.ndarray, starts: bool, ends: bool) -> list[int]:
+        """The most likely tags of tokens between outside ones, or the edges of the text."""
+        score = score.copy()
+        if not starts:
+            score[0] += self.moves[OUTSIDE]
+        if not ends:
+            score[-1] += self.moves[:, OUTSIDE]
+        return self._path(score)
+
     def decode(self, features: list[list[str]]) -> list[int]:
         """The most likely tags: Viterbi."""
-        score = self.scores(features)
+        return self._path(self.scores(features))
+
+    def _path(self, score: np.ndarray) -> list[int]:
         best, back = score[0].copy(), []
         best[INSIDE] = -1e9
         for s in score[1:]:
@@ -163,9 +238,9 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
                 lambda: "eyJ" + some(lo + up + dg + "_-", 30, 60), lambda: "xoxb-" + some(dg, 10, 12) + "-" + some(lo + up + dg, 20, 24), lambda: some(lo + up + dg, 10, 14),
                 lambda: some(lo + up, 10, 44), lambda: some(lo + dg, 6, 9), lambda: some(lo + up + dg, 6, 9), lambda: some(dg, 8, 16), lambda: word() + some(dg, 2, 4), lambda: some(lo + up, 6, 10),
             ])()
-            if not may_be_secret(["key", value])[1]:
+            if not _DIGIT.search(value) and not _CHANGE.search(value):
                 value += some(dg, 2, 2)
-            if not may_be_secret([value])[0] or len(value) < 16 or rng.random() < 0.7:
+            if value.isdigit() or len(value) < 16 or rng.random() < 0.7:
                 parts.append((lead(), False))
             else:
                 parts.append((rng.choice(["", "use ", "see "]), False))
@@ -189,11 +264,11 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
 
 
 def tagged(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
-    """Tokens and tags of a text with known secrets; what the hard rule keeps outside is outside."""
+    """Tokens and tags of a text with known secrets."""
     found = list(_TOKEN.finditer(text))
-    may, tags, before = may_be_secret([m[0] for m in found]), [], None
-    for m, ok in zip(found, may, strict=True):
-        own = next((s for s in spans if s[0] <= m.start() < s[1]), None) if ok else None
+    tags, before = [], None
+    for m in found:
+        own = next((s for s in spans if s[0] <= m.start() < s[1]), None)
         tags.append(OUTSIDE if own is None else INSIDE if own == before else BEGIN)
         before = own
     return [m[0] for m in found], tags
@@ -256,78 +331,36 @@ def trained(sequences: int = 1600, rounds: int = 60, seed: int = 7, rate: float
     return Crf(names, w, m)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Stretches in order that hold all tokens which may_be_secret() passes, and perhaps others."""
-    value = lambda c: c.isascii() and (c.isalnum() or c in "+/_-")
-    out, end = [], 0
-    for m in _HINT.finditer(text):
-        if m.start() < end:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and value(text[a - 1]):
-            a -= 1
-        while b < len(text) and value(text[b]):
-            b += 1
-        end = b
-        if b - a >= CANDIDATE - 2:  # two signs of padding may follow
-            out.append((a, b))
-    for m in _CUE.finditer(text):
-        at = m.end()
-        for _ in range(REACH):
-            t = _TOKEN.search(text, at)
-            if t is None:
-                break
-            at = t.end()
-            if len(t[0]) >= SHORT:
-                out.append((t.start(), t.end()))
-    return sorted(out)
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of whole words around candidates, apart from each other."""
-    out: list[tuple[int, int]] = []
-    for a, b in candidates(text):
-        x = a
-        for _ in range(BACK + 1):  # the word that holds it, and as many before
-            while x > 0 and not text[x - 1].isspace():
-                x -= 1
-            if out and x <= out[-1][1]:
-                break
-            word = x
-            while x > 0 and text[x - 1].isspace():
-                x -= 1
-        else:
-            x = word
-        y = b
-        for i in range(AHEAD + 1):
-            while i and y < len(text) and text[y].isspace():
-                y += 1
-            found = _SPACE.search(text, y)
-            y = found.start() if found else len(text)
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
-
-
 def crf_spans(model: Crf, text: str) -> list[tuple[int, int]]:
-    of_text, found = None, []
-    for x, y in windows(text):
-        of_text = of_text or text_features(text)
-        tokens = list(_TOKEN.finditer(text, x, y))
-        if not tokens:
-            continue
-        tags = model.decode(token_features([t[0] for t in tokens], of_text))
-        at = None
-        for t, tag in zip(tokens, tags, strict=True):
-            if tag == BEGIN or (tag == INSIDE and at is None):
-                at = len(found)
-                found.append((t.start(), t.end()))
-            elif tag == INSIDE:
-                found[at] = (found[at][0], t.end())
-            else:
-                at = None
+    """Spans of all tokens that the model tags; a block of tokens at a time, up to one that is outside for certain."""
+    names = text_features(text)
+    of_text = np.array([model.sum_of([f"{x}+{y}" for y in names]) for x in ("short", "long")])
+    matches, found = _TOKEN.finditer(text), []
+    held: list[re.Match] = []
+    first, done, more = True, 0, True
+    while more:
+        new = list(islice(matches, BLOCK))
+        more = len(new) == BLOCK
+        held += new
+        if not held:
+            break
+        score = model.scores_of([m[0] for m in held], of_text)
+        sure, n = model.certain(score), len(held)
+        if more:  # what follows the last two tokens is not known
+            last = np.flatnonzero(sure[done : n - 2])
+            if not len(last):
+                continue
+            n = done + int(last[-1]) + 1
+        open_ = np.flatnonzero(~sure[done:n]) + done
+        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
+            a, b = int(run[0]), int(run[-1]) + 1
+            for i, tag in enumerate(model.between(score[a:b], first and a == 0, not more and b == n), a):
+                if tag == BEGIN:
+                    found.append((held[i].start(), held[i].end()))
+                elif tag == INSIDE:
+                    found[-1] = (found[-1][0], held[i].end())
+        keep = max(n - BACK, 0)
+        first, done, held = first and keep == 0, n - keep, held[keep:]
     return found
 
 

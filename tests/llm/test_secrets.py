@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from rasterlake.llm import secrets as s
@@ -86,6 +87,30 @@ def test_windows_give_the_spans_of_whole_texts(spark, model):
     assert all(a == b for a, b in spans) and sum(len(a) for a, _ in spans) > 500
 
 
+def test_every_token_can_be_part_of_a_secret(monkeypatch, model):
+    assert all(s.token_features("the plain words of any text , even é".split(), []))
+    eager = s.Crf({"cue near:True": 0}, np.array([[0.0, 5.0, 6.0]]), np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]]))
+    text = "passphrase correct horse battery staple x ! and more plain words"
+    assert [text[a:b] for a, b in s.crf_spans(eager, text)] == ["passphrase correct horse battery staple x"]
+    assert s.own_features("a" * 70 + "B1" * 30) != s.own_features("a" * 70)  # not its first characters alone
+    rng = random.Random(23)
+    weights = np.array([[rng.gauss(0, 1.5) for _ in range(3)] for _ in model.names])
+    for moves in (model.moves, np.array([[0.5, -1, -1e9], [2, -3, 1.5], [-1, 0.5, 1]])):
+        odd = s.Crf(model.names, weights, moves)
+        for block in (7, 64):
+            monkeypatch.setattr(s, "BLOCK", block)
+            for m in (odd, model):
+                for _ in range(30):
+                    text = "\n".join(s._made(rng)[0] for _ in range(rng.randint(1, 8)))
+                    assert s.crf_spans(m, text) == whole(m, text)
+                    tokens = [t[0] for t in s._TOKEN.finditer(text)]
+                    names = s.text_features(text)
+                    of_text = np.array([m.sum_of([f"{x}+{y}" for y in names]) for x in ("short", "long")])
+                    score = m.scores(s.token_features(tokens, names))
+                    assert np.allclose(m.scores_of(tokens, of_text), score)
+                    assert not np.array(m.decode(s.token_features(tokens, names)))[m.certain(score)].any()
+
+
 def test_secrets_without_digits_or_of_few_characters(model):
     for text, secret in (("the private key is QwErTyUiOpAsDfGhJk and more", "QwErTyUiOpAsDfGhJk"), ("passphrase: 482915736120 is it", "482915736120"), ("please login with password k3yx9z today", "k3yx9z"), ("Authorization: Bearer abcdEFGHijklMNOPqrst\n", "abcdEFGHijklMNOPqrst"), ("signature=aB3dE5fG7hJ9kL1mN3pQ5 there", "aB3dE5fG7hJ9kL1mN3pQ5")):
         assert secret in [text[a:b] for a, b in s.crf_spans(model, text)], text

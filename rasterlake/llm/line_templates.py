@@ -28,7 +28,6 @@ empty table gives an empty table. Other columns pass through, but those that are
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,15 +143,24 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone
 
 
+def packed(text: str) -> bytes:
+    """A text as it travels through joins: its length in bytes, and zstd."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 @F.pandas_udf(T.BinaryType())
 def pack_text(texts: pd.Series) -> pd.Series:
-    """Texts as they travel through joins."""
-    return texts.map(lambda t: None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1))
+    return texts.map(lambda t: None if t is None else packed(t))
 
 
 @F.pandas_udf(T.StringType())
-def unpack_text(packed: pd.Series) -> pd.Series:
-    return packed.map(lambda t: None if t is None else zlib.decompress(t).decode("utf-8", "surrogatepass"))
+def unpack_text(data: pd.Series) -> pd.Series:
+    return data.map(lambda t: None if t is None else unpacked(t).decode("utf-8", "surrogatepass"))
 
 
 def _without_lines(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -204,7 +212,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all windows whose anchor is one of the row's shared ones."""
     for b in batches:
         for doc_id, row, text, keys in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "shared")), strict=True):
-            words, first = kernels.words([zlib.decompress(text)], lower=False)
+            words, first = kernels.words([unpacked(text)], lower=False)
             at, anchor = _grams(words, first)
             at = at[np.isin(anchor, np.array(keys, np.int64).view(U64))]
             up, down = kernels.rising(len(words) + 1)
@@ -213,15 +221,13 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32))], names=["key", "doc_id", "row", "pos"])
 
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLANKS = re.compile(rb"[\x20\x09\x0B-\x0D]*")
 
 
 def without_passages(text: str, starts: list[int]) -> tuple[str, int]:
     """(the text without the words of the windows that begin at these words, stretches dropped)."""
     raw = text.encode()
-    begin = np.fromiter((m.start() for m in _WORD.finditer(raw)), np.int64)
-    end = np.fromiter((m.end() for m in _WORD.finditer(raw)), np.int64)
+    _, begin, end, _ = kernels.spans([raw])
     edge = np.zeros(len(begin) + 1, np.int64)
     np.add.at(edge, np.array(starts), 1)
     np.add.at(edge, np.array(starts) + PASSAGE, -1)
@@ -236,7 +242,7 @@ def without_passages(text: str, starts: list[int]) -> tuple[str, int]:
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = (zlib.decompress(t).decode("utf-8", "surrogatepass") for t in b.column("__text").to_pylist())
+        texts = (unpacked(t).decode("utf-8", "surrogatepass") for t in b.column("__text").to_pylist())
         made = [without_passages(t, s) if s else (t, 0) for t, s in zip(texts, b.column("__starts").to_pylist(), strict=True)]
         out = b.drop_columns(["__text", "__starts"])
         yield out.append_column("__text", pa.array([t for t, _ in made], pa.string())).append_column("n_passages", pa.array([n for _, n in made], pa.int64()))

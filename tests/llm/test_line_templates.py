@@ -132,3 +132,8 @@ def test_empty_table_and_clashing_names(empty, clashing, docs):
     out = lt.dedup_lines(clashing)
     assert out.columns == [c for c in clashing.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped", "n_passages", "dropped_chars"]
     assert out.count() == docs.count()
+
+
+def test_packed_texts_come_back():
+    for text in ("", "a", "é\ud800 x\n" * 3, "word " * 500_000):
+        assert lt.unpacked(lt.packed(text)).decode("utf-8", "surrogatepass") == text

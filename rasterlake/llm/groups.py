@@ -64,11 +64,22 @@ def by_piece(pieces: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tup
         yield int(p), keys[part], *(v[part] for v in values)
 
 
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The ascending distinct keys of all parts; the list is emptied, so that they are held once."""
+    key = np.concatenate(parts)
+    parts.clear()
+    key.sort()
+    return key[np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])] if len(key) else key
+
+
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending keys of all parts and their sums; the list is emptied, so that they are held once."""
     key = np.concatenate([k for k, _ in parts])
     n = np.concatenate([x for _, x in parts])
+    parts.clear()
     order = np.argsort(key)
-    key, n = key[order], n[order]
+    key = key[order]
+    n = n[order]
     first = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     return key[first], np.add.reduceat(n, first) if len(first) else n
 

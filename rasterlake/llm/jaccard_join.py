@@ -50,7 +50,7 @@ from pyspark.sql.window import Window
 
 from . import kernels
 from .common import remove, written
-from .groups import GROUP_BYTES, STRETCH, Answers, Tally, batch, packed, packed_keys, pieces_for, planes, unpacked, unpacked_keys, unplanes
+from .groups import GROUP_BYTES, STRETCH, Tally, batch, distinct, packed, packed_keys, pieces_for, planes, unpacked, unpacked_keys, unplanes
 
 #: Largest set for which subsets are considered.
 MOST_SMALL = 16
@@ -213,23 +213,21 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, boundary: int, num: i
     of, texts, told = None, [], {}
 
     def finished():
-        tally = Tally()
+        # Keys are dealt by ranges, so that the answers of all pieces, in order, are those to the ascending keys.
+        keys = distinct([np.unique(cut(np.concatenate(list(kernels.shingle_sets(unpacked(*row)[1], k))), key_size)) for row in texts])
+        counts = np.concatenate([unplanes(told.pop(p), np.uint32) for p in sorted(told)])
         for row in texts:
             sets = list(kernels.shingle_sets(unpacked(*row)[1], k))
-            keys = np.unique(cut(np.concatenate(sets), key_size))
-            tally.add(keys, np.zeros(len(keys), np.int64))
-        parts = [(own, unplanes(told[p], np.uint32)) for p, own in in_ranges(tally.sum()[0], pieces, key_size)]
-        if not parts:
-            return
-        count_of = Answers(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        for row in texts:
+            asked = cut(np.concatenate(sets), key_size)
+            order = np.argsort(asked)
+            found = np.empty(len(asked), np.uint32)
+            found[order] = counts[np.searchsorted(keys, asked[order])]
             cids, sizes, sigs, lefts, bits = [], [], [], [], []
-            for s in kernels.shingle_sets(unpacked(*row)[1], k):
+            for s, count in zip(sets, np.split(found, np.cumsum([len(s) for s in sets])[:-1]), strict=True):
                 n = len(s)
                 own = np.array(list(_subsets(s, boundary, num, den)) if n <= boundary else [], np.int64)
                 left = np.full(len(own), n)
                 if n > boundary or den * n // num > boundary:
-                    count = count_of(cut(s, key_size))
                     first = np.lexsort((s, count))[: prefix(n, num, den)]
                     shared = count[first] > 1
                     own = np.concatenate([own, s[first][shared].view(np.int64)])
@@ -254,6 +252,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, boundary: int, num: i
                 texts.append(row)
             else:
                 told[piece] = answers
+        b = kind = answers = row = None  # the last group is worked out without its packed rows
     if texts:
         yield from finished()
 

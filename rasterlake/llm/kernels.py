@@ -12,6 +12,8 @@ U64 = np.uint64
 #: Texts are worked on in groups of about so many bytes; a longer text is a group of its own, and
 #: is cut between words. Words as long as that are hashed apart, so that no array is longer.
 GROUP_BYTES = 3 << 19
+#: As much text for sets of shingles: arrays of eight bytes a byte of it, and powers for 1 << 19 places.
+SET_BYTES = (1 << 19) - 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -150,7 +152,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def shingle_sets(texts: Iterable[bytes], k: int, lower: bool = True) -> Iterator[np.ndarray]:
     """Each text's distinct shingle hashes, ascending."""
-    for group in grouped(texts):
+    for group in grouped(texts, SET_BYTES):
         h, first = shingles(*words(group, lower), k)
         owner = np.repeat(np.arange(len(group)), np.diff(first))
         order = np.lexsort((h, owner))

@@ -163,11 +163,17 @@ def unpack_text(data: pd.Series) -> pd.Series:
     return data.map(lambda t: None if t is None else unpacked(t).decode("utf-8", "surrogatepass"))
 
 
+# A caller's filter on the text would else be moved below, and a second worker unpack the texts for it.
+unpack_text = unpack_text.asNondeterministic()
+
+
 def _without_lines(docs: DataFrame, names: list[str]) -> DataFrame:
     """docs with __text (its recurring lines dropped), n_lines, n_dropped and __before, its length before."""
     own = docs.select(*names).withColumn("__row", F.when(F.col("doc_id").isNotNull(), _row_key()))
     own = own.withColumn("text", pack_text(F.col("text").cast("string")))
-    out = own.join(dropped_lines(docs).select(F.col("row").alias("__of"), F.col("drop").alias("__drop")), F.col("__row") == F.col("__of"), "left").drop("__row", "__of").withColumn("text", unpack_text("text"))
+    # The merge is asked for so that texts are packed and unpacked in different tasks, at every size.
+    gone = dropped_lines(docs).select(F.col("row").alias("__of"), F.col("drop").alias("__drop"))
+    out = own.join(gone.hint("merge"), F.col("__row") == F.col("__of"), "left").drop("__row", "__of").withColumn("text", unpack_text("text"))
     out = out.withColumn("__lines", F.split(F.col("text").cast("string"), "\n", -1))
     kept = F.when(F.col("__drop").isNull(), F.col("__lines")).when(F.size("__drop") == F.size("__lines"), F.array().cast("array<string>")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__drop"), i)))
     out = out.withColumn("__kept", kept)

@@ -124,3 +124,34 @@ def test_empty_table_and_clashing_names(empty, clashing, docs):
     assert jj.jaccard_components(empty).count() == 0
     key = lambda r: str(tuple(r))
     assert sorted(jj.jaccard_components(clashing).collect(), key=key) == sorted(jj.jaccard_components(docs).collect(), key=key)
+
+
+def test_a_group_is_signed_in_little_memory(monkeypatch):
+    """Tasks hold the keys and counts of a group, 16 MB of text, about once."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng, one = random.Random(3), type("Task", (), {"partitionId": lambda self: 0})
+    monkeypatch.setattr(jj, "TaskContext", type("Context", (), {"get": staticmethod(one)}))
+    texts = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(150)) for _ in range(4000)]
+    texts += [t + " end" for t in texts[:50]]
+    size = sum(map(len, texts))
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    of = (5, 80, 100)
+
+    def peak(made):
+        tracemalloc.start()
+        out = list(made)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return pa.Table.from_batches(out), most / size
+
+    bits = jj.key_bits(size)
+    asked, asking = peak(jj._ask(iter([docs]), *of, 16, bits))
+    told, _ = peak(jj._total(asked.filter(pc.equal(asked["kind"], jj.KEYS)).to_batches()))
+    group = pa.concat_tables([asked.filter(pc.equal(asked["kind"], jj.TEXT)).select(told.column_names[:-1]), told], promote_options="default")
+    signed, signing = peak(jj._signatures(iter(group.combine_chunks().to_batches()), of[0], 0, *of[1:], 16, bits))
+    assert asked.filter(pc.equal(asked["kind"], jj.ROW)).num_rows == len(texts) and signed.num_rows == 100
+    assert asking < 13 and signing < 8, (asking, signing)

@@ -127,3 +127,26 @@ def test_line_dedup_keeps_own_words_of_documents_that_lose_most(spark, random_pr
     df = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], SCHEMA)
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: (own, len(own))}
+
+
+def test_no_task_of_line_dedup_feeds_two_python_workers(spark, monkeypatch, corpus):
+    from rasterlake.llm import line_templates
+
+    def workers(plan):
+        """Python nodes of a stage; those below an exchange are others' tasks, and a union's branches are different tasks."""
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return workers(plan.executedPlan())
+        below = [workers(plan.children().apply(i)) for i in range(plan.children().size())]
+        found.append(max(below, default=0))
+        total = max(below, default=0) if plan.nodeName() == "Union" else 0 if "Exchange" in plan.nodeName() else sum(below)
+        return total + (plan.nodeName() in ("ArrowEvalPython", "MapInArrow"))
+
+    def noted(df, name, *more, write=line_templates.written):
+        found.append(workers(df._jdf.queryExecution().executedPlan()))
+        return write(df, name, *more)
+
+    found = []
+    monkeypatch.setattr(line_templates, "written", noted)
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(corpus, SCHEMA), "")
+    found.append(workers(out._jdf.queryExecution().executedPlan()))
+    assert max(found) == 1

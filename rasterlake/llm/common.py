@@ -48,6 +48,12 @@ LONG_WRITE = 2.0
 _due: list[str] = []
 
 
+def forget(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of queries that nothing holds any more."""
+    _due.clear()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and outlives lost executors.
 
@@ -58,8 +64,7 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     if _due:
-        _due.clear()
-        spark.sparkContext._jvm.System.gc()
+        forget(spark)
     began = time.perf_counter()
     df.write.option("compression", compression).parquet(path)
     if time.perf_counter() - began > LONG_WRITE:

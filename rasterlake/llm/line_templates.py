@@ -28,61 +28,84 @@ empty table gives an empty table. Other columns pass through, but those that are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import compress, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import remove, written
+from .common import forget, remove, written
+from .groups import GROUP_BYTES, batch, packed_keys, planes, unpacked_keys, unplanes
 
 LEAD, STRONG, LEAST = 4, 8, 3
 #: Occurrences that a line as it stands, and a masked form of fewer than STRONG constant tokens, need.
 EXACT, MASKED = 2, 50
 #: Words of a passage, and of the runs of which the least hash is its anchor.
 PASSAGE, GRAM = 50, 8
+#: Keys at which a group ends, keys of a piece, and least pieces.
+GROUP_KEYS, PIECE_KEYS, LEAST_PIECES = 2 << 20, 1 << 20, 16
 U64 = np.uint64
-_KEYS = "doc_id long, row long, pos int, key long, need int"
+#: What a group asks: its distinct keys in ascending order, the least doc_id of each, how far the largest is from it, and how often it has it.
+_ASKS = "part int, seq int, n long, keys binary, least binary, spread binary, times binary"
+#: What a group keeps for later: for each of its places, the number of the key; the places by line, or by text and word.
+_KEEPS = "owner binary, place binary, number binary, dropped binary"
+_DEALT = "part int, seq int, piece int, keys binary, least binary, spread binary, times binary"
+_TOLD = "part int, seq int, piece int, asked int, recurs binary, first binary"
+MADE = ("n_lines", "n_dropped", "n_passages", "dropped_chars")
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
-
-
-def line_keys(lines: list[bytes], lead: int = LEAD, strong: int = STRONG, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, occurrences it needs) of every template of every line.
+def line_keys(word: np.ndarray, fixed: np.ndarray, first: np.ndarray, lead: int = LEAD, strong: int = STRONG, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of every template of every line; a key is odd if it needs MASKED occurrences, even if EXACT ones.
 
     A token's hash is mixed with its place in the line, so that sums over places name a template.
     """
-    word, fixed, first = _tokens(lines)
     n = np.diff(first)
     place = np.arange(len(word)) - np.repeat(first[:-1], n)
     turn = (place.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
-    total, whole = (np.concatenate([np.zeros(1, U64), np.cumsum(kernels.mix(x + turn), dtype=U64)]) for x in (np.where(fixed, word, U64(0)), word))
+    field = np.flatnonzero(~fixed)
+    own = kernels.mix(word + turn)
+    whole = np.concatenate([np.zeros(1, U64), np.cumsum(own, dtype=U64)])
+    own[field] = kernels.mix(turn[field])
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(own, dtype=U64)])
     count = np.concatenate([np.zeros(1, np.int64), np.cumsum(fixed)])
     a, b = first[:-1], first[1:]
     head = a + np.minimum(lead, n)
     middle = head + np.maximum((n - lead) // 2, 0)
     wide = (n >= least) & (count[b] - count[a] >= least)
     plain = count[b] - count[a] == n
+    size = n.astype(U64) * U64(0xD1342543DE82EF95)
     # A line without a digit is its own masked form; that of a strong line stands for the line too.
     own = np.flatnonzero((n > 0) & ~plain & (count[b] - count[a] < strong))
-    out = [(own, kernels.mix((whole[b] - whole[a])[own] + n[own].astype(U64) * U64(0xD1342543DE82EF95) + U64(3)), np.full(len(own), EXACT))]
+    out = [(own, kernels.mix((whole[b] - whole[a])[own] + size[own] + U64(3)) & ~U64(1))]
     for kind, parts in enumerate((((a, b),), ((a, middle),), ((a, head), (middle, b)))):
         sums, const = np.zeros(len(n), U64), np.zeros(len(n), np.int64)
         for x, y in parts:
             sums += total[y] - total[x]
             const += count[y] - count[x]
         take = np.flatnonzero(wide | (plain & (n > 0)) if kind == 0 else wide & (const >= strong))
-        needed = np.where((const >= strong) | plain, EXACT, MASKED)
-        out.append((take, kernels.mix(sums[take] + n[take].astype(U64) * U64(0xD1342543DE82EF95) + U64(kind)), needed[take]))
+        weak = ~((const >= strong) | plain)[take]
+        out.append((take, kernels.mix(sums[take] + size[take] + U64(kind)) & ~U64(1) | weak.astype(U64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, whether it has no digit, the first word of each line and one more) of the texts' lines."""
+    if any(len(t) >= kernels.GROUP_BYTES for t in texts):
+        return _tokens([x for t in texts for x in t.split(b"\n")])
+    joined, start, end, _ = kernels.spans(texts)
+    fixed = np.ones(len(start), bool)
+    fixed[np.searchsorted(start, np.flatnonzero(joined - np.uint8(48) < 10), "right") - 1] = False
+    # Lines end at line breaks and at the blanks between texts.
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
+    ends = np.sort(np.concatenate([ends, np.flatnonzero(joined == 10)]))
+    return kernels.hashed(joined, start, end, lower=False), fixed, np.concatenate([np.zeros(1, np.int64), np.searchsorted(start, ends)])
+
+
 def _tokens(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, whether it has no digit, each line's first word); long lines are cut between words."""
     word, fixed, n = [], [], []
@@ -108,43 +131,8 @@ def _tokens(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([none.astype(U64), *word]), np.concatenate([none.astype(bool), *fixed]), np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([none, *n]))])
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        ids, rows, at = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy(), 0
-        for group in kernels.grouped(texts):
-            lines = [t.split(b"\n") for t in group]
-            n = np.array([len(x) for x in lines])
-            owner, pos = np.repeat(np.arange(len(group)), n) + at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            line, key, needed = line_keys([x for own in lines for x in own])
-            at += len(group)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[line]]), pa.array(rows[owner[line]]), pa.array(pos[line].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(needed.astype(np.int32))], names=[x.split()[0] for x in _KEYS.split(", ")])
-
-
-def templates(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, key, need) for every template of every line that may recur."""
-    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return own.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_templates, _KEYS)
-
-
-def recurring(lines: DataFrame) -> DataFrame:
-    """(key, first): templates that recur across documents, and the smallest doc_id that has each."""
-    t = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
-    return t.where((F.col("first") != F.col("last")) & (F.col("n") >= F.col("need"))).select("key", "first")
-
-
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(row, drop): for each row that loses lines, their positions from 0; a table."""
-    lines = written(templates(docs), "lines", "zstd")
-    again = written(recurring(lines), "recurring")
-    gone = lines.join(again, "key").where(F.col("doc_id") != F.col("first"))
-    gone = written(gone.groupBy("row").agg(F.collect_set("pos").alias("drop")), "dropped")
-    remove(docs.sparkSession, lines, again)
-    return gone
-
-
 def packed(text: str) -> bytes:
-    """A text as it travels through joins: its length in bytes, and zstd."""
+    """A text as its length in bytes and zstd, for tables of single texts."""
     raw = text.encode("utf-8", "surrogatepass")
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
@@ -153,35 +141,202 @@ def unpacked(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_text(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else packed(t))
-
-
-@F.pandas_udf(T.StringType())
-def unpack_text(data: pd.Series) -> pd.Series:
-    return data.map(lambda t: None if t is None else unpacked(t).decode("utf-8", "surrogatepass"))
-
-
-# A caller's filter on the text would else be moved below, and a second worker unpack the texts for it.
-unpack_text = unpack_text.asNondeterministic()
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts the keys, the first of each distinct key in it, each key's number among the distinct ones)."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    number = np.empty(len(own), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order, np.flatnonzero(new), number
+
+
+def _reduced(how: np.ufunc, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return how.reduceat(values, starts) if len(starts) else values[:0]
+
+
+def _asked(keys: list[np.ndarray], ids: list[np.ndarray]) -> dict:
+    """A group's question about its places' keys, whose documents are ids, and the number of each place's key."""
+    key, of = np.concatenate([np.zeros(0, U64), *keys]), np.concatenate([np.zeros(0, np.int64), *ids])
+    order, starts, number = _numbered(key)
+    of = of[order]
+    least = _reduced(np.minimum, of, starts)
+    return {
+        "n": len(starts),
+        "keys": [packed_keys(key[order[starts]])],
+        "least": [planes(least)],
+        "spread": [planes(_reduced(np.maximum, of, starts) - least)],
+        "times": [planes(np.diff(starts, append=len(key)).astype(np.uint32))],
+        "number": [planes(number)],
+    }
+
+
+def _deal(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.RecordBatch]:
+    """Questions by piece. Keys are dealt by ranges, so that answers in the order of pieces are in the order of keys."""
+    ends = np.array([(p << 64) // pieces for p in range(1, pieces)], U64)
+    for b in batches:
+        for part, seq, keys, *values in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "keys", "least", "spread", "times")), strict=True):
+            key = unpacked_keys(keys)
+            values = [unplanes(raw, kind) for raw, kind in zip(values, (np.int64, np.int64, np.uint32), strict=True)]
+            cuts = pairwise([0, *np.searchsorted(key, ends).tolist(), len(key)])
+            some = [(p, slice(x, y)) for p, (x, y) in enumerate(cuts) if y > x]
+            least, spread, times = ([planes(v[at]) for _, at in some] for v in values)
+            yield batch(_DEALT, len(some), part=part, seq=seq, piece=[p for p, _ in some], keys=[packed_keys(key[at]) for _, at in some], least=least, spread=spread, times=times)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], masked: bool) -> Iterator[pa.RecordBatch]:
+    """For all questions of a piece: which keys two documents have (odd ones, if masked, MASKED times), and the first that has each."""
+    parts, seqs, pieces, keys, least, most, times = [], [], [], [], [], [], []
+    for b in batches:
+        parts += b.column("part").to_pylist()
+        seqs += b.column("seq").to_pylist()
+        pieces += b.column("piece").to_pylist()
+        for key, low, spread, n in zip(*(b.column(c).to_pylist() for c in ("keys", "least", "spread", "times")), strict=True):
+            keys.append(unpacked_keys(key))
+            least.append(unplanes(low, np.int64))
+            most.append(least[-1] + unplanes(spread, np.int64))
+            times.append(unplanes(n, np.uint32).astype(np.int64))
+    if not keys:
+        return
+    ends = np.cumsum([len(x) for x in keys])
+    key = np.concatenate(keys)
+    order, starts, number = _numbered(key)
+    first, last, n = (_reduced(how, np.concatenate(x)[order], starts) for how, x in ((np.minimum, least), (np.maximum, most), (np.add, times)))
+    recurs = first != last
+    if masked:
+        recurs &= (n >= MASKED) | (key[order[starts]] & U64(1) == 0)
+    recurs, first = recurs[number], first[number]
+    spans = list(pairwise([0, *ends.tolist()]))
+    told = [np.packbits(recurs[x:y]).tobytes() for x, y in spans]
+    yield batch(_TOLD, len(spans), part=parts, seq=seqs, piece=pieces, asked=[y - x for x, y in spans], recurs=told, first=[planes(first[x:y][recurs[x:y]]) for x, y in spans])
+
+
+def _told(asked: DataFrame, masked: bool = False) -> DataFrame:
+    """(part, seq, piece, asked, recurs, first): the answers to a table of questions."""
+    keys = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pieces = max(int(keys) // PIECE_KEYS, LEAST_PIECES)
+    dealt = asked.select("part", "seq", "keys", "least", "spread", "times").mapInArrow(lambda b: _deal(b, pieces), _DEALT)
+    return dealt.repartitionById(pieces, F.col("piece")).mapInArrow(lambda b: _answer(b, masked), _TOLD)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict, np.ndarray, np.ndarray]]:
+    """(part, seq, columns, whether each of its keys recurs, and where first) of each group in rows sorted by group."""
+    of, held, told = None, {}, {}
+
+    def finished():
+        answers = [told[p] for p in sorted(told)]
+        told.clear()
+        recurs = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for n, bits, _ in answers)])
+        first = np.zeros(len(recurs), np.int64)
+        first[recurs] = np.concatenate([np.zeros(0, np.int64), *(unplanes(x, np.int64) for _, _, x in answers)])
+        return *of, held, recurs, first
 
+    for b in batches:
+        names = b.schema.names
+        for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            row = dict(zip(names, row, strict=True))
+            at = row.pop("part"), row.pop("seq")
+            if at != of:
+                if of:
+                    yield finished()
+                of, held = at, {}
+            piece, *answer = (row.pop(c) for c in ("piece", "asked", "recurs", "first"))
+            if piece is not None:
+                told[piece] = answer
+            held |= {k: v for k, v in row.items() if v is not None}
+        b = row = None
+    if of:
+        yield finished()
+
+
+def _blocks(rows: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(pa.BufferReader(rows))
+
+
+def _own(block: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:
+    """(all texts, the rows that have a doc_id and a text, their doc_ids, their texts)."""
+    ids, texts = block.column("__id"), block.column("text").cast(pa.binary()).to_pylist()
+    own = np.flatnonzero(np.array([t is not None for t in texts], bool) & ids.is_valid().to_numpy(zero_copy_only=False))
+    return texts, own, ids.fill_null(0).to_numpy(zero_copy_only=False)[own], [texts[i] for i in own]
+
+
+def _ask_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in groups, and what each asks about its lines."""
+    part, seq = TaskContext.get().partitionId(), 0
+    sink = pack = None
+    keys, ids, place, size, held, lines = [], [], [], 0, 0, 0
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1), use_threads=False)
+
+    def group():
+        pack.close()
+        return batch(f"{_ASKS}, {_KEEPS}, rows binary", 1, part=part, seq=seq, rows=[sink.getvalue().to_pybytes()], place=[planes(np.concatenate([np.zeros(0, np.int32), *place]))], **_asked(keys, ids))
 
-def _without_lines(docs: DataFrame, names: list[str]) -> DataFrame:
-    """docs with __text (its recurring lines dropped), n_lines, n_dropped and __before, its length before."""
-    own = docs.select(*names).withColumn("__row", F.when(F.col("doc_id").isNotNull(), _row_key()))
-    own = own.withColumn("text", pack_text(F.col("text").cast("string")))
-    # The merge is asked for so that texts are packed and unpacked in different tasks, at every size.
-    gone = dropped_lines(docs).select(F.col("row").alias("__of"), F.col("drop").alias("__drop"))
-    out = own.join(gone.hint("merge"), F.col("__row") == F.col("__of"), "left").drop("__row", "__of").withColumn("text", unpack_text("text"))
-    out = out.withColumn("__lines", F.split(F.col("text").cast("string"), "\n", -1))
-    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).when(F.size("__drop") == F.size("__lines"), F.array().cast("array<string>")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__drop"), i)))
-    out = out.withColumn("__kept", kept)
-    text = F.when(F.col("__drop").isNull(), F.col("text").cast("string")).otherwise(F.array_join("__kept", "\n"))
-    out = out.withColumn("__text", text).withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).withColumn("__before", F.char_length(F.col("text").cast("string")))
-    # The text as it came has served its turn.
-    return out.drop("__drop", "__lines", "__kept").withColumn("text", F.lit(None).cast("string"))
+    for b in batches:
+        at = 0
+        for some in kernels.grouped(t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()):
+            block = b.slice(at, len(some))
+            at += len(some)
+            if pack is None:
+                sink = pa.BufferOutputStream()
+                pack = pa.ipc.new_stream(sink, b.schema, options=options)
+            pack.write_batch(block)
+            size += sum(map(len, some)) + 64 * len(some)
+            _, _, own, texts = _own(block)
+            if texts:
+                n = np.array([t.count(b"\n") + 1 for t in texts])
+                line, key = line_keys(*_lines(texts))
+                keys.append(key)
+                ids.append(np.repeat(own, n)[line])
+                place.append((line + lines).astype(np.int32))
+                lines += int(n.sum())
+                held += len(key)
+            if size >= GROUP_BYTES or held >= GROUP_KEYS:
+                yield group()
+                sink = pack = None
+                keys, ids, place, size, held, lines, seq = [], [], [], 0, 0, 0, seq + 1
+    if pack is not None:
+        yield group()
+
+
+def _without_lines(texts: list[bytes], dropped: np.ndarray, at: int) -> tuple[list[bytes], np.ndarray, int]:
+    """(the texts without their dropped lines, how many each loses, the first line after them); theirs begin at line `at`."""
+    out, gone = [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        n = t.count(b"\n") + 1
+        own = dropped[at : at + n]
+        at += n
+        if own.any():
+            gone[i] = own.sum()
+            t = b"\n".join(compress(t.split(b"\n"), (~own).tolist()))
+        out.append(t)
+    return out, gone, at
+
+
+def _ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group's dropped lines, and what it asks about the anchors of what is left."""
+    for part, seq, held, recurs, first in _groups(batches):
+        place, number = unplanes(held["place"], np.int32), unplanes(held["number"], np.int32)
+        hit = np.flatnonzero(recurs[number])
+        hit = hit[np.argsort(place[hit])]
+        place, first = place[hit], first[number[hit]]
+        keys, ids, owner, dropped, lines = [], [], [], [], 0
+        for block in _blocks(held.pop("rows")):
+            _, _, own, texts = _own(block)
+            of = np.repeat(own, [t.count(b"\n") + 1 for t in texts])
+            some = slice(*np.searchsorted(place, [lines, lines + len(of)]))
+            line = place[some] - lines
+            drop = np.zeros(len(of), bool)
+            drop[line[of[line] != first[some]]] = True
+            lines += len(of)
+            dropped.append(drop)
+            left, _, _ = _without_lines(texts, drop, 0)
+            _, starts, anchor, text = _runs(left)
+            keys.append(anchor[starts])
+            ids.append(own[text[starts]])
+            owner.append(np.bincount(text[starts], minlength=len(left)).astype(np.int32))
+        none = np.zeros(0, np.int32)
+        yield batch(f"{_ASKS}, {_KEEPS}", 1, part=part, seq=seq, owner=[planes(np.concatenate([none, *owner]))], dropped=[np.packbits(np.concatenate([none.astype(bool), *dropped])).tobytes()], **_asked(keys, ids))
 
 
 def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,89 +354,124 @@ def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, least[at]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("text").cast(pa.binary()).to_pylist()
-        ids, rows, place = b.column("doc_id").to_numpy(), b.column("row").to_numpy(), 0
-        for group in kernels.grouped(texts):
-            words, first = kernels.words(group, lower=False)
-            at, anchor = _grams(words, first)
-            owner = np.searchsorted(first, at, "right") - 1 + place
-            new = np.ones(len(at), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-            owner, anchor = owner[new], anchor[new]
-            place += len(group)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[owner]), pa.array(rows[owner])], names=["key", "doc_id", "row"])
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all windows whose anchor is one of the row's shared ones."""
-    for b in batches:
-        for doc_id, row, text, keys in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "shared")), strict=True):
-            words, first = kernels.words([unpacked(text)], lower=False)
-            at, anchor = _grams(words, first)
-            at = at[np.isin(anchor, np.array(keys, np.int64).view(U64))]
+def _runs(texts: list[bytes]) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """((word hashes, each text's first, starts of windows), and of the windows: the first of each run of one anchor, their anchors, their texts).
+
+    Anchors are mixed once more: as least hashes they are small, and would all be dealt to the first pieces.
+    """
+    words, first = kernels.words(texts, lower=False) if texts else (np.zeros(0, U64), np.zeros(1, np.int64))
+    at, anchor = _grams(words, first)
+    text = np.searchsorted(first, at, "right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    return (words, first, at), np.flatnonzero(new), kernels.mix(anchor), text
+
+
+def _ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each group asks about the windows whose anchor two documents have."""
+    for part, seq, held, recurs, _ in _groups(batches):
+        runs, shared = unplanes(held["owner"], np.int32), recurs[unplanes(held["number"], np.int32)]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(runs)])
+        any_shared = np.concatenate([np.zeros(1, np.int64), np.cumsum(shared)])
+        any_shared = any_shared[ends[1:]] > any_shared[ends[:-1]]
+        dropped = np.unpackbits(np.frombuffer(held["dropped"], np.uint8)).astype(bool)
+        keys, ids, owner, place, lines, base = [], [], [], [], 0, 0
+        for block in _blocks(held.pop("rows")):
+            _, _, own, texts = _own(block)
+            n = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+            before = lines + np.cumsum(n) - n
+            lines += int(n.sum())
+            some = np.flatnonzero(any_shared[base : base + len(texts)])
+            left = [_without_lines([texts[i]], dropped, before[i])[0][0] for i in some]
+            (words, first, at), starts, _, text = _runs(left)
+            told = np.concatenate([np.zeros(0, bool), *(shared[ends[base + i] : ends[base + i + 1]] for i in some)])
+            take = np.repeat(told, np.diff(starts, append=len(at)))
+            at, text = at[take], text[take]
             up, down = kernels.rising(len(words) + 1)
             total = np.concatenate([np.zeros(1, U64), np.cumsum(words * up[: len(words)], dtype=U64)])
-            key = kernels.mix((total[at + PASSAGE] - total[at]) * down[at])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32))], names=["key", "doc_id", "row", "pos"])
+            keys.append(kernels.mix((total[at + PASSAGE] - total[at]) * down[at]))
+            ids.append(own[some[text]])
+            place.append((at - first[text]).astype(np.int32))
+            counts = np.zeros(len(texts), np.int32)
+            counts[some] = np.bincount(text, minlength=len(some))
+            owner.append(counts)
+            base += len(texts)
+        none = np.zeros(0, np.int32)
+        yield batch(f"{_ASKS}, {_KEEPS}", 1, part=part, seq=seq, owner=[planes(np.concatenate([none, *owner]))], place=[planes(np.concatenate([none, *place]))], dropped=[held["dropped"]], **_asked(keys, ids))
 
 
 _BLANKS = re.compile(rb"[\x20\x09\x0B-\x0D]*")
 
 
-def without_passages(text: str, starts: list[int]) -> tuple[str, int]:
+def without_passages(raw: bytes, starts: np.ndarray) -> tuple[bytes, int]:
     """(the text without the words of the windows that begin at these words, stretches dropped)."""
-    raw = text.encode()
     _, begin, end, _ = kernels.spans([raw])
     edge = np.zeros(len(begin) + 1, np.int64)
-    np.add.at(edge, np.array(starts), 1)
-    np.add.at(edge, np.array(starts) + PASSAGE, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + PASSAGE, -1)
     gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     first, last = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1]) - 1
     out, at = [], 0
-    for a, z in zip(begin[first], end[last], strict=True):
+    for a, z in zip(begin[first].tolist(), end[last].tolist(), strict=True):
         out.append(raw[at:a])
         at = _BLANKS.match(raw, z).end()
-    return b"".join([*out, raw[at:]]).decode(), len(first)
+    return b"".join([*out, raw[at:]]), len(first)
+
+
+def _chars(text: bytes) -> int:
+    """Code points: bytes that do not continue one."""
+    return int(np.count_nonzero(np.frombuffer(text, np.int8) >= -64))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = (unpacked(t).decode("utf-8", "surrogatepass") for t in b.column("__text").to_pylist())
-        made = [without_passages(t, s) if s else (t, 0) for t, s in zip(texts, b.column("__starts").to_pylist(), strict=True)]
-        out = b.drop_columns(["__text", "__starts"])
-        yield out.append_column("__text", pa.array([t for t, _ in made], pa.string())).append_column("n_passages", pa.array([n for _, n in made], pa.int64()))
-
-
-def _without_passages(table: DataFrame) -> DataFrame:
-    """A written table with __text without recurring passages, and n_passages; the table goes."""
-    spark, thin = table.sparkSession, table
-    key = F.when(F.col("doc_id").isNotNull() & F.col("__text").isNotNull(), F.xxhash64(F.col("doc_id"), F.col("__text")))
-    thin = thin.withColumn("__row", key)
-    own = thin.where("__row is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"))
-    anchors = written(own.mapInArrow(_anchors, "key long, doc_id long, row long"), "anchors")
-    lists = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    hits = anchors.join(lists, "key").groupBy(F.col("row").alias("__of")).agg(F.collect_set("key").alias("__shared"))
-    thin = thin.withColumn("__text", pack_text("__text"))
-    noted = written(thin.join(hits.hint("merge"), thin["__row"] == hits["__of"], "left").drop("__of"), "noted", "zstd")
-    remove(spark, anchors, table)
-    # Texts are unpacked where they are used, so that no task feeds two Python workers.
-    some = noted.where("__shared is not null")
-    windows = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__text").alias("text"), F.col("__shared").alias("shared"))
-    windows = written(windows.mapInArrow(_passages, "key long, doc_id long, row long, pos int"), "windows", "zstd")
-    again = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
-    gone = windows.join(again, "key").where(F.col("doc_id") != F.col("first")).groupBy(F.col("row").alias("__of")).agg(F.collect_set("pos").alias("__starts"))
-    some = some.join(gone, some["__row"] == gone["__of"], "left").drop("__of", "__row", "__shared")
-    others = [x for x in some.columns if x not in ("__text", "__starts")]
-    done = some.mapInArrow(_apply, some.select(*others, F.col("__text").cast("string"), F.lit(0).cast("long").alias("n_passages")).schema)
-    return noted.where("__shared is null").drop("__row", "__shared").withColumn("__text", unpack_text("__text")).withColumn("n_passages", F.lit(0).cast("long")).unionByName(done)
+    """The groups' rows without the lines and windows that recur."""
+    for _, _, held, recurs, first in _groups(batches):
+        windows, place, number = (unplanes(held[c], np.int32) for c in ("owner", "place", "number"))
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(windows)])
+        dropped = np.unpackbits(np.frombuffer(held["dropped"], np.uint8)).astype(bool)
+        lines = base = 0
+        for block in _blocks(held.pop("rows")):
+            texts, own, ids, before = _own(block)
+            made = {c: np.zeros(len(texts), np.int64) for c in MADE}
+            made["n_lines"][:] = [0 if t is None else t.count(b"\n") + 1 for t in texts]
+            left, made["n_dropped"][own], lines = _without_lines(before, dropped, lines)
+            here = number[ends[base] : ends[base + len(own)]]
+            gone = recurs[here] & (first[here] != np.repeat(ids, windows[base : base + len(own)]))
+            many = np.concatenate([np.zeros(1, np.int64), np.cumsum(gone)])
+            for i, row in enumerate(own.tolist()):
+                x, y = ends[base + i] - ends[base], ends[base + i + 1] - ends[base]
+                if many[y] > many[x]:
+                    left[i], made["n_passages"][row] = without_passages(left[i], place[ends[base] + x : ends[base] + y][gone[x:y]])
+                if len(left[i]) < len(before[i]):
+                    made["dropped_chars"][row] = _chars(before[i]) - _chars(left[i])
+                texts[row] = left[i]
+            base += len(own)
+            columns = [pa.array(texts, pa.binary()).view(pa.string()) if c == "text" else block.column(c) for c in block.schema.names if c != "__id"]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(made[c]) for c in MADE)], names=[*(c for c in block.schema.names if c != "__id"), *MADE])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with `text` without its recurring lines and passages, and n_lines, n_dropped (lines), n_passages, dropped_chars (code points)."""
-    made = ("n_lines", "n_dropped", "n_passages", "dropped_chars")
-    names = [x for x in docs.columns if x not in made]
-    out = _without_passages(written(_without_lines(docs, names), "without-lines", "zstd"))
-    out = out.withColumn("dropped_chars", F.coalesce(F.col("__before") - F.char_length("__text"), F.lit(0)).cast("long"))
-    return out.select(*(F.col("__text").alias("text") if x == "text" else F.col(x) for x in names), *made)
+    spark = docs.sparkSession
+    names = [x for x in docs.columns if x not in MADE]
+    own = docs.select(*(F.col(x).cast("string").alias(x) if x == "text" else F.col(x) for x in names), F.col("doc_id").cast("long").alias("__id"))
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(x, T.LongType()) for x in MADE)])
+    packs = written(own.mapInArrow(_ask_lines, f"{_ASKS}, {_KEEPS}, rows binary"), "packs", "zstd")
+    parts, seqs, groups = packs.agg(F.max("part"), F.max("seq"), F.count("part")).first()
+    parts, seqs = 1 + (parts or 0), 1 + (seqs or 0)
+    tasks = min(parts * seqs, 4 * max(groups, 1))
+
+    def told(keeps: DataFrame, work: Callable, schema, masked: bool = False) -> DataFrame:
+        """What work makes of every group, of what it kept and of the answers to what it asked."""
+        rows = packs.select("part", "seq", "rows").unionByName(keeps.select("part", "seq", "owner", "place", "number", "dropped"), allowMissingColumns=True)
+        rows = rows.unionByName(_told(keeps, masked), allowMissingColumns=True)
+        # One group a task, unless a few tasks have made most groups.
+        rows = rows.repartitionById(tasks, F.expr(f"int((bigint(seq) * {parts} + part) % {tasks})"))
+        return rows.sortWithinPartitions("part", "seq").mapInArrow(work, schema)
+
+    anchors = written(told(packs, _ask_anchors, f"{_ASKS}, {_KEEPS}", masked=True), "anchors", "zstd")
+    windows = written(told(anchors, _ask_windows, f"{_ASKS}, {_KEEPS}"), "windows", "zstd")
+    remove(spark, anchors)
+    # The caller's query shuffles the rows once more.
+    forget(spark)
+    return told(windows, _apply, schema)

@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from rasterlake.llm import line_templates as lt
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,3 +139,42 @@ def test_empty_table_and_clashing_names(empty, clashing, docs):
 def test_packed_texts_come_back():
     for text in ("", "a", "é\ud800 x\n" * 3, "word " * 500_000):
         assert lt.unpacked(lt.packed(text)).decode("utf-8", "surrogatepass") == text
+
+
+def test_no_key_travels_as_a_row(spark, monkeypatch, random_prose):
+    """Tables have one row for each group of rows, whatever lines and windows there are."""
+    rng = random.Random(9)
+    passage = random_prose(rng, 70)
+    rows = [(i, f"{LINE}\n{random_prose(rng, 5)}\n{random_prose(rng, 4)} {passage}\n{LINE}") for i in range(40)]
+    tables = []
+
+    def counted(df, name, *more, write=lt.written):
+        table = write(df, name, *more)
+        tables.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(lt, "written", counted)
+    got = sorted(((r.doc_id, r.text) for r in lt.dedup_lines(made(spark, rows).coalesce(2)).collect()), key=str)
+    assert got == brute(rows)
+    assert tables and max(n for _, n in tables) <= 2, tables
+
+
+def test_groups_of_one_task_meet(spark):
+    half = 150_000  # a row counts for 64 bytes at least
+    docs = spark.range(0, 2 * half, 1, 1).selectExpr("id AS doc_id", f"concat('ab ', id % {half}) AS text")
+    got = lt.dedup_lines(docs).selectExpr(f"doc_id >= {half} AS later", "text", "n_dropped")
+    assert got.where("later = (text = '') AND n_dropped = int(later)").count() == got.count() == 2 * half
+
+
+def test_lines_of_texts_found_at_once_are_those_found_one_by_one(random_prose):
+    rng = random.Random(10)
+    texts = [b"", b"\n", b"a", b"7\n\n x9 \r\n", b" \n b 1\tc\n", random_prose(rng, 50).replace(" e", "\n1").encode(), "\u00e9 \u00a0 \ufffd5\n".encode(), b""]
+    for some in (texts, texts[:1], texts[::-1]):
+        for a, b in zip(lt._lines(some), lt._tokens([x for t in some for x in t.split(b"\n")]), strict=True):
+            assert np.array_equal(a, b)
+
+
+def test_anchors_are_dealt_evenly(random_prose):
+    _, starts, anchor, _ = lt._runs([random_prose(random.Random(11), 60_000).encode()])
+    n = np.bincount((anchor[starts] >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert n.sum() > 1000 and n.max() < 2 * n.min()
